@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, minhash, mixing
+from . import decontamination, line_dedup, minhash, mixing, phrase_dedup, suffix_dedup
 from .common import table
 from .oracles import ORACLES
 
@@ -19,6 +20,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = phrase_dedup.remove_phrases(table(spark, sf_dir, "documents").select("doc_id", "text"), window=35, keep_text=False)
+    return d.select("doc_id", F.col("phrase_dedup.n_units").alias("n_words"), "phrase_dedup.n_removed", "phrase_dedup.kept_sha256")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = decontamination.find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), window=10)
     c = "contamination"
@@ -30,7 +36,12 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "near_dup.n_shingles", "near_dup.component_id", "near_dup.kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_mixing, op5_decontamination, op6_minhash_near_dedup)}
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=200, keep_text=False)
+    return d.select("doc_id", F.col("suffix_dedup.n_units").alias("n_bytes"), "suffix_dedup.n_removed", "suffix_dedup.n_spans", "suffix_dedup.kept_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_mixing, op4_substring_dedup, op5_decontamination, op6_minhash_near_dedup, op9_suffix_array_dedup)}
 
 
 def queries() -> dict:
