@@ -48,4 +48,13 @@ r AS (SELECT doc_id AS a, doc_id AS root FROM documents UNION SELECT l.b, r.root
 k AS (SELECT a AS doc_id, min(root) AS component_id FROM r GROUP BY a)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN k USING (doc_id)"""
 
-ORACLES = {"op1_line_dedup": OP1, "op3_mixing": OP3, "op5_decontamination": OP5, "op6_minhash_near_dedup": OP6}
+OP7 = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND list_bool_and([coalesce(isfinite(x), false) FOR x IN e]) AND list_bool_or([x <> 0 FOR x IN e])),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS root FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.a),
+k AS (SELECT a AS vec_id, min(root) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM k LEFT JOIN n USING (vec_id)"""
+
+ORACLES = {"op7_embedding_near_dedup": OP7, "op1_line_dedup": OP1, "op3_mixing": OP3, "op5_decontamination": OP5, "op6_minhash_near_dedup": OP6}

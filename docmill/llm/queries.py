@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, minhash, mixing, phrase_dedup, suffix_dedup
+from . import decontamination, embedding_dedup, line_dedup, lm, minhash, mixing, phrase_dedup, suffix_dedup
 from .common import table
 from .oracles import ORACLES
 
@@ -15,6 +15,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", "line_dedup.kept_sha256")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = lm.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "lm.held_out", "lm.n_tokens", "lm.n_known", "lm.train_tokens", "lm.base_score", "lm.score")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), weights=(5, 2, 1), share=1.0, most=3)
     return d.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
@@ -36,12 +41,17 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "near_dup.n_shingles", "near_dup.component_id", "near_dup.kept")
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.93)
+    return d.select("vec_id", "near_vec.n_links", "near_vec.component_id", "near_vec.kept")
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=200, keep_text=False)
     return d.select("doc_id", F.col("suffix_dedup.n_units").alias("n_bytes"), "suffix_dedup.n_removed", "suffix_dedup.n_spans", "suffix_dedup.kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_mixing, op4_substring_dedup, op5_decontamination, op6_minhash_near_dedup, op9_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_lm_scoring, op3_mixing, op4_substring_dedup, op5_decontamination, op6_minhash_near_dedup, op7_embedding_near_dedup, op9_suffix_array_dedup)}
 
 
 def queries() -> dict:
