@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, line_dedup, lm, minhash, mixing, phrase_dedup, suffix_dedup
+from . import decontamination, embedding_dedup, line_dedup, lm, minhash, mixing, phrase_dedup, quality, suffix_dedup, toxicity
 from .common import table
 from .oracles import ORACLES
 
@@ -46,12 +46,22 @@ def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("vec_id", "near_vec.n_links", "near_vec.component_id", "near_vec.kept")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = toxicity.score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"), keep_text=False)
+    return d.select("doc_id", "toxicity.held_out", "toxicity.score", "toxicity.predicted")
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), window=200, keep_text=False)
     return d.select("doc_id", F.col("suffix_dedup.n_units").alias("n_bytes"), "suffix_dedup.n_removed", "suffix_dedup.n_spans", "suffix_dedup.kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_lm_scoring, op3_mixing, op4_substring_dedup, op5_decontamination, op6_minhash_near_dedup, op7_embedding_near_dedup, op9_suffix_array_dedup)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = quality.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return d.select("doc_id", "quality.held_out", "quality.score", "quality.predicted")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_lm_scoring, op3_mixing, op4_substring_dedup, op5_decontamination, op6_minhash_near_dedup, op7_embedding_near_dedup, op8_toxicity, op9_suffix_array_dedup, op10_quality_classifier)}
 
 
 def queries() -> dict:
