@@ -18,11 +18,14 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, free_name, small, staged, text_key
 
-ITEM_WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: What separates words, as a pattern and as characters.
+BETWEEN = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+SEPARATORS = "".join(chr(c) for c in range(128) if not chr(c).isdigit() and not "a" <= chr(c) <= "z")
 
 
 def item_words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(ITEM_WORD), F.lit(0))
+    inner = F.btrim(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(SEPARATORS))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, BETWEEN))
 
 
 def windows_of(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -41,7 +44,7 @@ def find_contamination(
     tokens = windows.select("words", "items", F.posexplode("words").alias("at", "word")).withColumn("token", F.xxhash64("word"))
     words = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("th"), F.transform(item_words(F.col(text_col)), lambda x: F.xxhash64(x)).alias("tokens"))
     wanted = tokens.select("token").distinct()
-    seen = words.select(F.explode("tokens").alias("token")).join(small(wanted), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    seen = staged(words.select(F.explode("tokens").alias("token")).join(small(wanted), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n")), "token-counts")
     # The rarest token of each window; a token that no document has rules its window out.
     ranked = tokens.join(small(seen), "token", "left").withColumn("r", F.row_number().over(W.partitionBy("words").orderBy(F.coalesce("n", F.lit(0)), "token", "at")))
     prefixes = staged(ranked.where((F.col("r") == 1) & F.col("n").isNotNull()).select("token", "at", "words", "items"), "benchmark-prefixes")
@@ -52,8 +55,8 @@ def find_contamination(
     spots = found.groupBy("id", "th").agg(F.collect_set(F.struct("start", "words", "items")).alias("spots"))
     spots = spots.select(F.col("id").alias("__dm_id"), F.col("th").alias("__dm_th"), F.col("spots").alias("__dm_spots"))
     name, inner = free_name(docs, "contamination"), free_name(docs, "__dm_words")
-    d = docs.withColumn(inner, item_words(F.col(text_col)))
-    d = d.join(spots, F.col(id_col).eqNullSafe(F.col("__dm_id")) & (text_key(F.col(text_col)) == F.col("__dm_th")), "left")
+    d = docs.join(spots, F.col(id_col).eqNullSafe(F.col("__dm_id")) & (text_key(F.col(text_col)) == F.col("__dm_th")), "left")
+    d = d.withColumn(inner, item_words(F.col(text_col)))  # behind the join, so that only texts are shuffled
     real = F.filter(F.coalesce("__dm_spots", F.expr("cast(array() as array<struct<start:int,words:array<string>,items:array<string>>>)")), lambda s: F.slice(F.col(inner), s["start"] + 1, F.size(s["words"])) == s["words"])
     d = d.withColumn("__dm_spots", real)
     hit = F.size(F.array_distinct(F.flatten(F.transform("__dm_spots", lambda s: F.sequence(s["start"], s["start"] + F.size(s["words"]) - 1))))).cast("long")
