@@ -231,7 +231,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             z = np.clip(a + b * np.minimum([of(t) for t in texts], 20.0), -700, 700) if len(texts) else np.zeros(0)
-            p = 1 / (1 + np.exp(-z))
+            p = np.where(z <= -700, 0.0, 1 / (1 + np.exp(-z)))
             figures = pa.StructArray.from_arrays([batch.column(batch.num_columns - 1), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array([decoder.restored(t) for t in texts] if keep_text else [None] * len(texts), pa.string())], names=["held_out", "score", "predicted", "restored"])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], figures], names=[*batch.schema.names[:-1], name])
 
