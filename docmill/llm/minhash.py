@@ -24,12 +24,11 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import TO_LOWER, U, mixed, slices, word_hashes, word_spans
+from .blocks import TO_LOWER, U, as_binary, mixed, slices, word_hashes, word_spans
 from .common import free_name, small, staged, text_key
 from .graph import components
 
@@ -115,18 +114,19 @@ def signature_table(docs: DataFrame, id_col: str, text_col: str, shingle: int, c
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, threshold_percent: int) -> DataFrame:
     """Of pairs (a, b) those whose whole shingle sets are similar enough; texts: (id, text) of all classes at hand."""
 
-    def sets(column: pa.Array) -> list[frozenset]:
-        out = []
-        for text in pc.cast(column, pa.binary()).to_pylist():
-            w = text.lower().split()
-            out.append(frozenset(zip(*[w[j:] for j in range(shingle)], strict=False)) if len(w) >= shingle else frozenset([tuple(w)]))
-        return out
+    def shingles(text: bytes) -> set:
+        w = text.lower().split()
+        return set(zip(*[w[j:] for j in range(shingle)], strict=False)) if len(w) >= shingle else {tuple(w)}
+
+    def similar(a: bytes, b: bytes) -> bool:
+        x, y = shingles(a), shingles(b)
+        shared = len(x & y)
+        return 100 * shared >= threshold_percent * (len(x) + len(y) - shared)
 
     def run(batches):
-        for batch in batches:
-            a, b = sets(batch.column(2)), sets(batch.column(3))
-            shared = [len(x & y) for x, y in zip(a, b, strict=True)]
-            good = pa.array([100 * s >= threshold_percent * (len(x) + len(y) - s) for s, x, y in zip(shared, a, b, strict=True)], pa.bool_())
+        for batch in batches:  # the sets of one pair at a time
+            a, b = as_binary(batch.column(2)), as_binary(batch.column(3))
+            good = pa.array([similar(a[i].as_py(), b[i].as_py()) for i in range(batch.num_rows)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(good)
 
     both = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
