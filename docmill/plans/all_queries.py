@@ -1 +1,2 @@
 """Imports every module that registers queries."""
+from . import text_queries  # noqa: F401
