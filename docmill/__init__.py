@@ -1 +1,10 @@
-"""docmill: document-knowledge analytics as plain Spark DataFrame functions."""
+"""docmill: document-knowledge analytics as plain Spark DataFrame functions.
+
+Functions that run in Python workers travel by value, so executors need no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
