@@ -117,29 +117,33 @@ def contexts_of(docs: DataFrame, requests: DataFrame, w: Windows) -> DataFrame:
 
 
 def hot_ranges(contexts: DataFrame, w: Windows) -> DataFrame:
-    """(id, th, lo, hi) of contexts whose anchor has very many: window hashes are counted over the cluster."""
-    schema = T.StructType([contexts.schema["id"], *T._parse_datatype_string("th long, pos int, n long, a long, o int, h long").fields])
+    """(id, th, lo, hi) of contexts whose anchor has very many: window hashes are counted over the cluster.
+
+    Rows of windows are narrow: a hash of anchor and offset, one of the window, and the context's number.
+    """
+    contexts = contexts.withColumn("cid", F.xxhash64("a", "c"))
 
     def run(batches):
         for batch in batches:
-            body = as_binary(batch.column(batch.schema.get_field_index("body")))
-            left, col = batch.column(batch.schema.get_field_index("left")).to_numpy(), {k: batch.column(batch.schema.get_field_index(k)) for k in ("id", "th", "pos", "n", "a")}
+            body = as_binary(batch.column(3))
+            cid, left, a = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(U)
             offsets = np.frombuffer(body.buffers()[1], np.int64)[: len(body) + 1]
             values, owner = w.units(np.frombuffer(body.buffers()[2] or b"", np.uint8), offsets)
             h = grams(values, w.length)
             if not len(h):
                 continue
-            whole = owner[: len(h)] == owner[w.length - 1 :]
+            own = owner[: len(h)]
             counts = np.bincount(owner, minlength=len(body))
-            inside = np.arange(len(h)) - np.concatenate([[0], np.cumsum(counts)[:-1]])[owner[: len(h)]]
-            o = left[owner[: len(h)]] - inside
-            ok = np.flatnonzero(whole & (o >= 0) & (o <= w.most_left))
-            at = pa.array(owner[ok])
-            yield pa.RecordBatch.from_arrays([*(col[k].take(at) for k in ("id", "th", "pos", "n", "a")), pa.array(o[ok].astype(np.int32)), pa.array(h[ok].view(np.int64))], names=schema.names)
-
-    windows = contexts.mapInArrow(run, schema)
-    again = windows.groupBy("a", "o", "h").agg(F.sum("n").alias("m")).where("m > 1").drop("m")
-    return windows.where("n = 1").join(again, ["a", "o", "h"]).groupBy("id", "th", "pos").agg(F.max("o").alias("most"), F.min("o").alias("least")).select("id", "th", (F.col("pos") - F.col("most")).alias("lo"), (F.col("pos") + w.length - F.col("least")).alias("hi"))
+            o = left[own] - (np.arange(len(h)) - np.concatenate([[0], np.cumsum(counts)[:-1]])[own])
+            ok = np.flatnonzero((own == owner[w.length - 1 :]) & (o >= 0) & (o <= w.most_left))
+            at = pa.array(own[ok])
+            place = mixed(a[own[ok]] + o[ok].astype(U))
+            yield pa.RecordBatch.from_arrays([cid.take(at), pa.array(o[ok].astype(np.int16)), batch.column(4).take(at), pa.array(place.view(np.int64)), pa.array(h[ok].view(np.int64))], names=["cid", "o", "n", "k", "h"])
+
+    windows = contexts.select("cid", "left", "a", "body", F.least("n", F.lit(2)).cast("short").alias("n")).mapInArrow(run, "cid long, o short, n short, k long, h long")
+    again = windows.groupBy("k", "h").agg(F.sum("n").alias("m")).where("m > 1").select("k", "h")
+    found = windows.where("n = 1").drop("n").join(again, ["k", "h"]).groupBy("cid").agg(F.max("o").alias("most"), F.min("o").alias("least"))
+    return contexts.select("cid", "id", "th", "pos").join(found, "cid").select("id", "th", (F.col("pos") - F.col("most")).alias("lo"), (F.col("pos") + w.length - F.col("least")).alias("hi"))
 
 
 def repeated_ranges(docs: DataFrame, w: Windows, resolve: Callable[[pa.Table], pa.Table], shard_contexts: int, hot_contexts: int) -> DataFrame:

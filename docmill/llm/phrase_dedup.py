@@ -61,7 +61,7 @@ def locate(window: int, gram: int):
     return resolve
 
 
-def remove_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 8, shard_contexts: int = 3000, hot_contexts: int = 3000, keep_text: bool = True) -> DataFrame:
+def remove_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, gram: int = 8, shard_contexts: int = 3000, hot_contexts: int = 1000, keep_text: bool = True) -> DataFrame:
     """docs with a struct column phrase_dedup: n_units (words), n_removed, n_spans, kept_sha256, spans, kept."""
     w = Windows(window, min(gram, window), True)
     texts = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
