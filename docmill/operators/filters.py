@@ -125,3 +125,15 @@ def admission(df: DataFrame, limits: DataFrame, least_bytes: int = 1) -> DataFra
 
 def numbered(df: DataFrame, partition: list[str], order: list, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(W.partitionBy(*partition).orderBy(*order)))
+
+
+def global_rank(df: DataFrame, by: Column, key: str, name: str = "rank") -> DataFrame:
+    """Rank from 1 over all rows by a column of few values, then a unique key: counts per value, then ranks within it.
+
+    Only the counts of the values meet in one task, never the rows.
+    """
+    d = df.withColumn("__v", by)
+    counts = d.groupBy("__v").agg(F.count("*").alias("__n"))
+    skip = counts.select(F.col("__v").alias("__w"), (F.sum("__n").over(W.orderBy("__v").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__skip"))
+    within = F.row_number().over(W.partitionBy("__v").orderBy(key))
+    return d.withColumn("__r", within).join(skip, F.col("__v") == F.col("__w")).withColumn(name, F.col("__skip") + F.col("__r")).drop("__v", "__w", "__skip", "__r")

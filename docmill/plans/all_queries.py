@@ -1,2 +1,3 @@
 """Imports every module that registers queries."""
 from . import text_queries  # noqa: F401
+from . import report_queries  # noqa: F401
