@@ -65,17 +65,19 @@ def powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes: polynomial, then finalised."""
-    if not len(starts):
-        return np.zeros(0, U)
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+    """A 64-bit hash of each word's bytes: polynomial, then finalised. Works on some words at a time, to stay in cache."""
+    out = np.zeros(len(starts), U)
     lengths = ends - starts
-    total = int(lengths.sum())
-    begin = np.zeros(len(lengths), np.int64)
-    np.cumsum(lengths[:-1], out=begin[1:])
-    inside = np.arange(total) - np.repeat(begin, lengths)
-    values = (data[inside + np.repeat(starts, lengths)].astype(U) + U(1)) * powers(int(lengths.max()))[inside]
-    return mixed(np.add.reduceat(values, begin) + lengths.astype(U))
+    up = powers(int(lengths.max(initial=0)))
+    for at in range(0, len(starts), step):
+        own = lengths[at : at + step]
+        begin = np.zeros(len(own), np.int64)
+        np.cumsum(own[:-1], out=begin[1:])
+        inside = np.arange(int(own.sum())) - np.repeat(begin, own)
+        values = (data[inside + np.repeat(starts[at : at + step], own)].astype(U) + U(1)) * up[inside]
+        out[at : at + step] = mixed(np.add.reduceat(values, begin) + own.astype(U))
+    return out
 
 
 def grams(values: np.ndarray, k: int) -> np.ndarray:

@@ -61,3 +61,13 @@ def text_key(text: Column) -> Column:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, to be broadcast if a count shows at most so many rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def joined_back(docs: DataFrame, figures: DataFrame, id_col: str, text_col: str, how: str = "inner") -> DataFrame:
+    """docs with the columns of figures, which has one row for each (__dm_id, __dm_th).
+
+    The text's key is a column before the join, so a text that nobody asks for is not shuffled.
+    """
+    key = free_name(docs, "__dm_key")
+    keyed = docs.withColumn(key, text_key(F.col(text_col)))
+    return keyed.join(figures, F.col(id_col).eqNullSafe(F.col("__dm_id")) & (F.col(key) == F.col("__dm_th")), how)

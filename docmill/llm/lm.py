@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import TO_LOWER, U, mixed, slices, word_hashes, word_spans
-from .common import free_name, staged, text_key
+from .common import free_name, joined_back, staged, text_key
 
 END = U(0x51ED270B7A2F9C41)
 BLOCK_BYTES = 12 << 20
@@ -184,7 +184,7 @@ def run_starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(fresh)
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, prior: float = 300.0, shard_bytes: int = 27 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, prior: float = 300.0, shard_bytes: int = 20 << 20) -> DataFrame:
     """docs with a struct column lm: held_out, n_tokens, n_known, train_tokens, base_score, score."""
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 0
     texts = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("th"), F.col(text_col).alias("text"), held.alias("held"))
@@ -301,5 +301,4 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scored = parts.groupBy("block").applyInArrow(united, final)
     per = scored.groupBy("id", "th").agg(*[F.first(c).alias(c) for c in final.names[2:]]).withColumnsRenamed({c: f"__dm_{c}" for c in final.names})
     figures = F.struct(F.col("__dm_held").alias("held_out"), F.col("__dm_n_tokens").alias("n_tokens"), F.col("__dm_n_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("__dm_base").alias("base_score"), F.col("__dm_score").alias("score"))
-    joined = docs.join(per, F.col(id_col).eqNullSafe(F.col("__dm_id")) & (text_key(F.col(text_col)) == F.col("__dm_th")))
-    return joined.select(*[F.col(c) for c in docs.columns], figures.alias(free_name(docs, "lm")))
+    return joined_back(docs, per, id_col, text_col).select(*[F.col(c) for c in docs.columns], figures.alias(free_name(docs, "lm")))
