@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import TO_LOWER, U, as_binary, mixed, slices, word_hashes, word_spans
-from .common import free_name, small, staged, text_key
+from .common import free_name, joined_back, small, staged, text_key
 from .graph import components
 
 BLOCK_BYTES = 1 << 20
@@ -191,7 +191,7 @@ def near_duplicates(
     member = member.join(least, "component").select("s1", "s2", "least")
     out = rows.join(member, ["s1", "s2"], "left").groupBy("id", "th").agg(F.first("n_shingles").alias("n"), F.first("least").alias("least"), F.count("*").alias("copies"))
     out = out.select(F.col("id").alias("__dm_id"), F.col("th").alias("__dm_th"), F.col("n").alias("__dm_n"), F.col("least").alias("__dm_least"))
-    d = docs.join(out, F.col(id_col).eqNullSafe(F.col("__dm_id")) & (text_key(F.col(text_col)) == F.col("__dm_th")))
+    d = joined_back(docs, out, id_col, text_col)
     component = F.coalesce("__dm_least", F.col(id_col))
     figures = F.struct(F.col("__dm_n").alias("n_shingles"), component.alias("component_id"), F.col(id_col).eqNullSafe(component).alias("kept"))
     return d.select(*[F.col(x) for x in docs.columns], figures.alias(free_name(docs, "near_dup")))
