@@ -9,7 +9,9 @@ confirmed on their full shingle sets.
 
 Members of one list are first tied to a hub in it; later rounds compare only members of different components, so a
 large group of near copies yields about as many pairs as members, and no link between components is lost. Only
-components, not all links, are returned.
+components, not all links, are returned. Two bounds keep pairs that cannot pass out of the lists' joins: sketches of
+four bits per coordinate, which agree wherever signatures do; and, in lists of many members, the number of shingles
+that a text shares with no other member of such lists, which its overlap with any of them cannot exceed the rest of.
 
 Defined results: null and empty texts have no shingles and are linked with nothing; a text of fewer words than a
 shingle is one shingle; equal texts, repeated rows included, are one class; component_id is the smallest id of the
@@ -24,7 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -87,9 +89,22 @@ def signatures(own: np.ndarray, h: np.ndarray, texts: int, coordinates: int) ->
     return out
 
 
+def sketches(sig: np.ndarray) -> np.ndarray:
+    """(texts, coordinates / 16) words that hold four bits of each coordinate."""
+    bits = (sig & np.uint32(15)).astype(U).reshape(len(sig), -1, 16)
+    return (bits << (U(4) * np.arange(16, dtype=U))).sum(2, dtype=U)
+
+
+def differing(a: Column, b: Column) -> Column:
+    """Coordinates whose four bits differ, in two sketch words."""
+    x = a.bitwiseXOR(b)
+    any_ = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseOR(F.shiftrightunsigned(x, 3))
+    return F.bit_count(any_.bitwiseAND(F.lit(0x1111111111111111)))
+
+
 def signature_table(docs: DataFrame, id_col: str, text_col: str, shingle: int, coordinates: int) -> DataFrame:
     """(id, th, s1, s2, n_shingles, sig): s1, s2 hash the whole set; null for texts without words."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("th long, s1 long, s2 long, n_shingles long, sig binary").fields])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T._parse_datatype_string("th long, s1 long, s2 long, n_shingles long, sig binary, sketch array<long>").fields])
 
     def run(batches):
         for batch in batches:
@@ -106,11 +121,26 @@ def signature_table(docs: DataFrame, id_col: str, text_col: str, shingle: int, c
                     digest = hashlib.blake2b(h[edges[i] : edges[i + 1]].tobytes(), digest_size=16).digest()
                     s1[i], s2[i] = np.frombuffer(digest, np.int64)
                 none = n == 0
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(s1, mask=none), pa.array(s2, mask=none), pa.array(n.astype(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(s1, mask=none), pa.array(s2, mask=none), pa.array(n.astype(np.int64)), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array(list(sketches(sig).view(np.int64)), pa.list_(pa.int64()))], names=schema.names)
 
     return docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("th"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
+def lone_shingles(texts: DataFrame, shingle: int) -> DataFrame:
+    """(class, lone): of texts (class, text) the number of shingles that no other of them has."""
+
+    def run(batches):
+        for batch in batches:
+            for rows, data, offsets in slices(batch, "text", BLOCK_BYTES):
+                low = TO_LOWER[data]
+                starts, ends, owner = word_spans(low, offsets)
+                own, h = shingle_hashes(word_hashes(low, starts, ends), owner, shingle, rows.num_rows)
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(own)), pa.array(h.view(np.int64))], names=["class", "h"])
+
+    each = texts.select("class", "text").mapInArrow(run, "class long, h long")
+    return each.groupBy("h").agg(F.count("*").alias("n"), F.min("class").alias("class")).where("n = 1").groupBy("class").agg(F.count("*").alias("lone"))
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, threshold_percent: int) -> DataFrame:
     """Of pairs (a, b) those whose whole shingle sets are similar enough; texts: (id, text) of all classes at hand."""
 
@@ -147,14 +177,14 @@ def agreeing(pairs: DataFrame, sigs: DataFrame, matches: int, coordinates: int)
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold_percent: int = 80, coordinates: int = 64, hub_rounds: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold_percent: int = 80, coordinates: int = 64, hub_rounds: int = 2, crowd: int = 64
 ) -> DataFrame:
     """docs with a struct column near_dup: n_shingles, component_id, kept."""
     matches = least_matches(coordinates, threshold_percent / 100)
     prefix = coordinates - matches + 1
     rows = staged(signature_table(docs, id_col, text_col, shingle, coordinates), "signatures")
     # A class is a distinct set; the least of its texts' keys stands for it.
-    classes = rows.where(F.col("s1").isNotNull()).groupBy("s1", "s2").agg(F.min("id").alias("id"), F.min("th").alias("class"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
+    classes = rows.where(F.col("s1").isNotNull()).groupBy("s1", "s2").agg(F.min("id").alias("id"), F.min("th").alias("class"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
     classes = staged(classes, "classes")
     words = F.transform(F.sequence(F.lit(0), F.lit(coordinates - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * 4 + 1, F.lit(4))))
     posts = classes.select("class", F.explode(words).alias("token"))
@@ -163,26 +193,39 @@ def near_duplicates(
     # A class with u unshared postings has u of its prefix slots taken by them.
     order = F.array_sort(F.collect_list(F.struct("n_list", "token")))
     posted = shared.groupBy("class").agg(order.alias("p")).withColumn("p", F.slice("p", 1, F.greatest(F.lit(0), F.lit(prefix - coordinates) + F.size("p"))))
-    posted = posted.select("class", F.explode("p.token").alias("token"))
-    posted = staged(posted.join(classes.select("class", "n"), "class"), "postings")
-    reach = F.col("ma") * threshold_percent <= F.col("mb") * 100
-    both_ways = reach & (F.col("mb") * threshold_percent <= F.col("ma") * 100)
-    links, labels, texts = None, None, None
+    posted = staged(posted.select("class", F.explode("p.token").alias("token")), "prefixes")
+    source = docs.select(text_key(F.col(text_col)).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """(class, text): any text of the class will do, its key being the class's name."""
+        hit = source.join(small(wanted.select(F.col("class").alias("th"))), "th", "left_semi")
+        return hit.groupBy("th").agg(F.first("text").alias("text")).withColumnRenamed("th", "class")
+
+    crowded = posted.groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") > crowd)
+    dense = staged(posted.join(crowded, "token").select("class").distinct(), "crowded")
+    lone = staged(lone_shingles(texts_of(dense), shingle), "lone")
+    facts = classes.select("class", "n", "sketch").join(lone, "class", "left").select("class", "n", F.coalesce("lone", F.lit(0)).alias("lone"), *[F.get("sketch", i).alias(f"k{i}") for i in range(coordinates // 16)])
+    crowd_size = posted.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
+    posted = posted.join(crowd_size, "token").join(facts, "class")
+    # What a text shares with no member of crowded lists counts in these lists only.
+    posted = staged(posted.withColumn("lone", F.when(F.col("m") > crowd, F.col("lone")).otherwise(0)).drop("m"), "postings")
+    size_a, size_b = F.col("a.n"), F.col("b.n")
+    fits = (size_a * threshold_percent <= size_b * 100) & (size_b * threshold_percent <= size_a * 100)
+    overlap = F.least(size_a - F.col("a.lone"), size_b - F.col("b.lone"))
+    fits = fits & (overlap * (100 + threshold_percent) >= (size_a + size_b) * threshold_percent)
+    unlike = sum((differing(F.col(f"a.k{i}"), F.col(f"b.k{i}")) for i in range(coordinates // 16)), F.lit(0))
+    fits = fits & (unlike <= coordinates - matches)
+    links, labels = None, None
     for r in range(hub_rounds + 1):
         here = posted.withColumn("at", F.col("class")) if labels is None else posted.join(labels, posted["class"] == labels["node"], "left").withColumn("at", F.coalesce("component", "class")).drop("node", "component")
         if r < hub_rounds:
-            hubs = here.groupBy("token").agg(F.min_by(F.struct("class", "n", "at"), F.xxhash64(F.lit(r), "class")).alias("hub"))
-            pairs = here.join(hubs, "token").select(F.col("class").alias("x"), F.col("hub.class").alias("y"), F.col("n").alias("ma"), F.col("hub.n").alias("mb"), F.col("at").alias("ca"), F.col("hub.at").alias("cb"))
+            hubs = here.groupBy("token").agg(F.min_by(F.struct(*[c for c in here.columns if c != "token"]), F.xxhash64(F.lit(r), "class")).alias("hub")).select("token", "hub.*")
+            pairs = here.alias("a").join(hubs.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.at") != F.col("b.at")) & fits)
         else:
-            other = here.select("token", F.col("class").alias("y"), F.col("n").alias("mb"), F.col("at").alias("cb"))
-            pairs = here.select("token", F.col("class").alias("x"), F.col("n").alias("ma"), F.col("at").alias("ca")).join(other, "token").where("x < y")
-        pairs = pairs.where((F.col("ca") != F.col("cb")) & both_ways).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            pairs = here.alias("a").join(here.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.at") != F.col("b.at")) & fits)
+        pairs = pairs.select(F.least("a.class", "b.class").alias("a"), F.greatest("a.class", "b.class").alias("b")).distinct()
         pairs = staged(agreeing(pairs, classes, matches, coordinates), "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-        need = wanted.join(classes.select("class", "id"), "class").select("class", F.col("id").alias("__dm_id"))
-        source = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        # Any text of the class will do: its key is the class's name.
-        texts = staged(source.join(small(need.select(F.col("class").alias("th"))), "th", "left_semi").groupBy("th").agg(F.first("text").alias("text")).withColumnRenamed("th", "class"), "texts")
+        texts = staged(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()), "texts")
         good = staged(confirmed(pairs, texts, shingle, threshold_percent), "confirmed")
         links = good if links is None else links.unionByName(good)
         labels = staged(components(links), "labels")

@@ -42,10 +42,10 @@ def near_corpus(seed, n=90):
     return docs + [(500, None), (501, ""), (502, "one"), (503, "One"), (504, "  "), (505, docs[0][1].upper())]
 
 
-@pytest.mark.parametrize("seed, k", [(1, 2), (2, 5)])
-def test_near_duplicates_match_brute_force(spark, seed, k):
+@pytest.mark.parametrize("seed, k, crowd", [(1, 2, 64), (2, 5, 2)])
+def test_near_duplicates_match_brute_force(spark, seed, k, crowd):
     docs = near_corpus(seed)
-    d = minhash.near_duplicates(table(spark, docs), shingle=k)
+    d = minhash.near_duplicates(table(spark, docs), shingle=k, crowd=crowd)
     assert {x.doc_id: tuple(x.near_dup) for x in d.collect()} == brute.near(docs, k, 80)
 
 
