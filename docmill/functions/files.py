@@ -8,12 +8,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The characters a file name may keep.
 KEPT = re.compile("[^\\w\\s\\-.ㄱ-ㅣ가-힣一-鿿぀-ヿ]")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def composed(names: pd.Series) -> pd.Series:
     return names.map(lambda n: None if n is None else KEPT.sub("_", unicodedata.normalize("NFC", n)))
 

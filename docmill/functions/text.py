@@ -192,7 +192,7 @@ def sigmoid(c: Column) -> Column:
 def json_part(c: Column) -> Column:
     """The fenced block, else the first brace to the last."""
     fenced = F.regexp_extract(c, "(?s)```(?:json)?\\s*(.*?)```", 1)
-    return F.when(fenced != "", F.trim(fenced)).otherwise(F.regexp_extract(c, "(?s)\\{.*\\}", 0))
+    return F.when(fenced != "", F.regexp_replace(fenced, "\\s+$", "")).otherwise(F.regexp_extract(c, "(?s)\\{.*\\}", 0))
 
 
 def answer_sentences(c: Column) -> Column:

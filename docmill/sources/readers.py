@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docmill.functions.text import words
 
@@ -26,7 +27,7 @@ def discover_files(spark: SparkSession, path: str, extensions: list[str] = EXTEN
     return f.where(~F.col("path").rlike(JUNK_PATHS) & ext.isin(extensions)).select("path", name.alias("name"), ext.alias("extension"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decoded(contents: pd.Series) -> pd.Series:
     def one(b: bytes | None) -> str | None:
         for e in ENCODINGS if b is not None else []:
