@@ -106,5 +106,7 @@ def suggestions(history: DataFrame, part: str, most: int) -> DataFrame:
     """Distinct past queries that contain what was typed, else the popular ones."""
     hit = history.where(F.contains(F.lower("query"), F.lit(part.lower()))).groupBy("query").agg(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("n"))
     popular = history.groupBy("query").agg(F.lit(1).alias("kind"), (-F.count("*")).alias("n"))
-    both = hit.unionByName(popular).withColumn("best", F.min("kind").over(W.partitionBy()))
-    return both.where(F.col("kind") == F.col("best")).orderBy("n", "query").limit(most).select(F.col("query").alias("suggestion"))
+    # Either list is cut to what can be shown before the choice between them.
+    best = hit.orderBy("query").limit(most).unionByName(popular.orderBy("n", "query").limit(most))
+    best = best.withColumn("best", F.min("kind").over(W.partitionBy()))
+    return best.where(F.col("kind") == F.col("best")).orderBy("n", "query").select(F.col("query").alias("suggestion"))

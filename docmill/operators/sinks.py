@@ -50,3 +50,16 @@ def csv_field(c: Column) -> Column:
 def report_json(df: DataFrame, path: str) -> None:
     """Report rows as JSON lines."""
     df.write.mode("overwrite").json(path)
+
+
+def pending_export(chunks: DataFrame, path: str) -> None:
+    """A10: the chunks that still need a vector, as JSON lines."""
+    from .filters import to_embed
+
+    to_embed(chunks).select("chunk_id", "document_id", "content").write.mode("overwrite").json(path)
+
+
+def report_markdown(df: DataFrame) -> DataFrame:
+    """Report rows as Markdown table lines (line), in the rows' order of their first column."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]
+    return df.orderBy(df.columns[0]).select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))

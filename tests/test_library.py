@@ -244,3 +244,28 @@ def test_ingest_upserts(spark, tmp_path):
     stream = spark.readStream.schema("id long, v string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     jobs.ingest(stream, lambda d: d.where("v <> 'x'"), jobs.upsert_into(str(tmp_path / "out"), "id"), str(tmp_path / "ck")).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out/v1")).collect()) == [1, 2, 3]
+
+
+def test_records_from_model_answers(spark):
+    from docmill.functions import records
+
+    answer = 'Sure: ```json\n{"entities": [{"name": "Kim", "type": "person"}, {"id": "x", "name": " Spark ", "type": "gadget"}, {"name": ""}], "relationships": [{"source": "e1", "target": "x", "type": "uses"}, {"source": "e1"}]}\n```'
+    d = spark.createDataFrame([("d1", answer), ("d2", "no json")], "k string, a string")
+    assert {(r.id, r.name, r.type) for r in records.entities(d, "k", "a").collect()} == {("d1:e1", "Kim", "Person"), ("d1:x", "Spark", "Concept")}
+    assert [(r.src, r.dst, r.rel_type) for r in records.relationships(d, "k", "a").collect()] == [("d1:e1", "d1:x", "USES")]
+    assert {r.k: r.document_type for r in records.metadata(d, "k", "a").collect()} == {"d1": "unknown", "d2": "unknown"}
+
+
+def test_exports(spark, tmp_path):
+    c = spark.createDataFrame([("a", "d", "x", None), ("b", "d", " ", None), ("c", "d", "y", [1.0])], "chunk_id string, document_id string, content string, embedding array<float>")
+    si.pending_export(c, str(tmp_path / "out"))
+    assert [r.chunk_id for r in spark.read.json(str(tmp_path / "out")).collect()] == ["a"]
+    assert [r.line for r in si.report_markdown(c.select("chunk_id", "content").where("chunk_id < 'c'")).collect()] == ["| a | x |", "| b |   |"]
+    assert rd.parse_batch(spark.createDataFrame([("p", "x"), ("q", ""), ("r", None)], "path string, text string"))[1].first().failed == 2
+
+
+def test_registry_is_consistent():
+    import __spark_entry__ as entry
+
+    queries, oracles = entry.queries(), entry.oracle_sql()
+    assert set(oracles) <= set(queries) and len(queries) > 130
