@@ -54,13 +54,15 @@ def find_contamination(
     found = found.where((F.col("start") >= 0) & (F.col("start") + F.col("long") <= F.col("n_words")))
     spots = found.groupBy("id", "th").agg(F.collect_set(F.struct("start", "words", "items")).alias("spots"))
     spots = spots.select(F.col("id").alias("__dm_id"), F.col("th").alias("__dm_th"), F.col("spots").alias("__dm_spots"))
-    name, inner = free_name(docs, "contamination"), free_name(docs, "__dm_words")
+    name = free_name(docs, "contamination")
     d = docs.join(spots, F.col(id_col).eqNullSafe(F.col("__dm_id")) & (text_key(F.col(text_col)) == F.col("__dm_th")), "left")
-    d = d.withColumn(inner, item_words(F.col(text_col)))  # behind the join, so that only texts are shuffled
-    real = F.filter(F.coalesce("__dm_spots", F.expr("cast(array() as array<struct<start:int,words:array<string>,items:array<string>>>)")), lambda s: F.slice(F.col(inner), s["start"] + 1, F.size(s["words"])) == s["words"])
-    d = d.withColumn("__dm_spots", real)
+    # Behind the join, so that only texts are shuffled; the words are bound once, not split again for every spot.
+    none = F.expr("cast(array() as array<struct<start:int,words:array<string>,items:array<string>>>)")
+    real = lambda w: F.filter(F.coalesce("__dm_spots", none), lambda s: F.slice(w, s["start"] + 1, F.size(s["words"])) == s["words"])
+    checked = F.get(F.transform(F.array(item_words(F.col(text_col))), lambda w: F.struct(F.size(w).alias("n"), real(w).alias("spots"))), 0)
+    d = d.withColumn("__dm_checked", checked).withColumn("__dm_spots", F.col("__dm_checked.spots"))
     hit = F.size(F.array_distinct(F.flatten(F.transform("__dm_spots", lambda s: F.sequence(s["start"], s["start"] + F.size(s["words"]) - 1))))).cast("long")
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform("__dm_spots", lambda s: s["items"]))))
     d = d.withColumns({"__dm_n": hit, "__dm_ids": ids})
-    figures = F.struct(F.size(inner).cast("long").alias("n_words"), F.col("__dm_n").alias("n_hit"), F.size("__dm_ids").cast("long").alias("n_items"), F.sha2(F.array_join("__dm_ids", ",").cast("binary"), 256).alias("items_sha256"), F.col("__dm_ids").alias("items"), (F.col("__dm_n") > 0).alias("contaminated"))
+    figures = F.struct(F.col("__dm_checked.n").cast("long").alias("n_words"), F.col("__dm_n").alias("n_hit"), F.size("__dm_ids").cast("long").alias("n_items"), F.sha2(F.array_join("__dm_ids", ",").cast("binary"), 256).alias("items_sha256"), F.col("__dm_ids").alias("items"), (F.col("__dm_n") > 0).alias("contaminated"))
     return d.select(*[F.col(x) for x in docs.columns], figures.alias(name))
