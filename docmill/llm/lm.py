@@ -39,7 +39,7 @@ from .blocks import TO_LOWER, U, mixed, slices, word_hashes, word_spans
 from .common import free_name, joined_back, staged, text_key
 
 END = U(0x51ED270B7A2F9C41)
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 CONTEXT_BITS = 48
 STEPS = 65535
 
@@ -184,7 +184,7 @@ def run_starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(fresh)
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, prior: float = 300.0, shard_bytes: int = 20 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, prior: float = 300.0, shard_bytes: int = 12 << 20) -> DataFrame:
     """docs with a struct column lm: held_out, n_tokens, n_known, train_tokens, base_score, score."""
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 0
     texts = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("th"), F.col(text_col).alias("text"), held.alias("held"))
@@ -254,7 +254,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             n = len(lengths) if group.column("ids")[row].is_valid else int(lengths[0])
             held_ = np.unpackbits(np.frombuffer(g["held"], np.uint8), count=n).astype(bool)
             w = np.repeat(np.frombuffer(g["words"], U), unpacked(g["n_contexts"], np.int32))
-            d = np.frombuffer(g["refs"], np.uint32 if n > 65535 else np.uint16).astype(np.int64)
+            d = np.frombuffer(g["refs"], np.uint32 if n > 65535 else np.uint16).astype(np.int32)
             word.append(w)
             context.append(longs(g["contexts"]))
             refs_of.append(unpacked(g["n_refs"], np.int32))
@@ -263,12 +263,19 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             doc.append(d + start)
             n_docs.append(n)
             start += n
-        word, context, refs_of, times, train, doc = (np.concatenate(x) for x in (word, context, refs_of, times, train, doc))
-        words, at = np.unique(word, return_inverse=True)
+            del g, w, d
+        words, at = np.unique(np.concatenate(word), return_inverse=True)
+        del word
         bits = min(CONTEXT_BITS, 63 - len(words).bit_length())
-        key, pair = np.unique(at.astype(U) << U(bits) | context >> U(CONTEXT_BITS - bits), return_inverse=True)
-        of = np.repeat(pair, refs_of)
+        full = at.astype(U) << U(bits) | np.concatenate(context) >> U(CONTEXT_BITS - bits)
+        del at, context
+        key, pair = np.unique(full, return_inverse=True)
+        del full
+        of = np.repeat(pair.astype(np.int32), np.concatenate(refs_of))
+        del pair, refs_of
+        times, train, doc = np.concatenate(times), np.concatenate(train), np.concatenate(doc)
         n_pair = np.bincount(of, weights=times * train, minlength=len(key))
+        del train
         own = (key >> U(bits)).astype(np.int64)
         n_word = np.bincount(own, weights=n_pair, minlength=len(words))
         for h, n in hot_counts.items():
@@ -281,7 +288,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         value = trie.lookup(own, key & U((1 << bits) - 1))
         value = np.where(np.isnan(value), np.log10(prior * base[own]), value) - np.log10(n_word[own] + prior)
         add = lambda x: np.bincount(doc, weights=times * x[of], minlength=start)
-        results = {"known": add((n_word[own] > 0).astype(float)).astype(np.int32), "base": add(np.log10(base)[own]), "score": add(value)}
+        del trie, key
+        results = {"known": add((n_word[own] > 0).astype(np.float32)).astype(np.int32), "base": add(np.log10(base)[own]), "score": add(value)}
         cuts = np.cumsum([0, *n_docs])
         columns = {k: pa.array([v[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for k, v in results.items()}
         return pa.table([group.column("block"), group.column("ids"), group.column("ths"), group.column("held"), group.column("lengths"), *columns.values()], names=partial.names)
