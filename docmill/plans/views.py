@@ -61,14 +61,14 @@ MENTIONS_SQL = "m AS (SELECT DISTINCT doc_id AS document_id, unnest(list_distinc
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """A small clean graph: regions, nations, customers and suppliers, and who supplies which brand."""
+    """A small clean graph: regions, nations, customers and suppliers, who supplies and who bought which brand."""
     t = lambda n: table(spark, sf_dir, n)
     node = lambda df, label, key, name: df.select(F.concat(F.lit(label + ":"), F.col(key)).alias("id"), F.lit(label).alias("label"), F.col(name).alias("name"))
     brands = t("part").select("p_brand").distinct()
     nodes = node(t("region"), "Region", "r_regionkey", "r_name").unionByName(node(t("nation"), "Nation", "n_nationkey", "n_name")).unionByName(node(t("customer"), "Person", "c_custkey", "c_name")).unionByName(node(t("supplier"), "Project", "s_suppkey", "s_name")).unionByName(node(brands, "Topic", "p_brand", "p_brand"))
     edge = lambda df, a, ka, b, kb, kind, w: df.select(F.concat(F.lit(a + ":"), F.col(ka)).alias("src"), F.concat(F.lit(b + ":"), F.col(kb)).alias("dst"), F.lit(kind).alias("rel_type"), w.cast("double").alias("weight"))
     supplied = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("l_suppkey", "p_brand").agg(F.count("*").alias("n"))
-    bought = t("orders").where("o_orderkey % 10 = 0").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("o_custkey", "p_brand").agg(F.count("*").alias("n"))
+    bought = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey")).groupBy("o_custkey", "p_brand").agg(F.count("*").alias("n"))
     one = F.lit(1.0)
     edges = edge(t("nation"), "Region", "n_regionkey", "Nation", "n_nationkey", "PART_OF", one).unionByName(edge(t("customer"), "Nation", "c_nationkey", "Person", "c_custkey", "CONTAINS", one)).unionByName(edge(t("supplier"), "Nation", "s_nationkey", "Project", "s_suppkey", "CONTAINS", one)).unionByName(edge(supplied, "Project", "l_suppkey", "Topic", "p_brand", "RELATED_TO", F.col("n"))).unionByName(edge(bought, "Person", "o_custkey", "Topic", "p_brand", "RELATED_TO", F.col("n")))
     return nodes, edges
