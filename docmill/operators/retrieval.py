@@ -89,17 +89,23 @@ def sparse_search(queries: DataFrame, weights: DataFrame, candidates: DataFrame,
     return top(s.groupBy("query_id", "chunk_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score")).where("score > 0"), k, ["query_id"], "chunk_id")
 
 
-def graph_search(queries: DataFrame, names: DataFrame, docs: DataFrame, field: str, k: int = 10, boost: float = 1.5, most_names: int = 10) -> DataFrame:
-    """H5: keyword scores plus 1.5 times the scores of expanded names (query_id, name, r) in the texts that match the query.
+def graph_scores(queries: DataFrame, names: DataFrame, docs: DataFrame, boosts: dict[str, float], field: str, boost: float = 1.5, most_names: int = 10) -> DataFrame:
+    """H5: keyword scores plus 1.5 times the score in a field of each expanded name (query_id, name, r), for the texts that match the query.
 
-    docs holds the rows that the query may see, so filters hold here as in the other channels.
+    Queries without a name find nothing. docs holds the rows that the query may see, so filters hold here as in the
+    other channels.
     """
-    posts, stats = postings(docs, [field]), field_statistics(docs, [field])
-    base = bm25(query_terms(queries), posts, stats, {field: 1.0})
-    extra = names.where(F.col("r") <= most_names).select("query_id", F.explode(F.array_distinct(tokens(F.col("name")))).alias("term")).distinct().withColumn("weight", F.lit(boost))
-    more = bm25(extra, posts, stats, {field: 1.0}).withColumnRenamed("score", "more")
-    s = base.join(more, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
-    return top(s, k, ["query_id"], "chunk_id")
+    posts, stats = postings(docs, list(boosts)), field_statistics(docs, list(boosts))
+    first = names.where(F.col("r") <= most_names).select("query_id", "name")
+    base = bm25(query_terms(queries.join(first, "query_id", "left_semi")), posts, stats, boosts)
+    # Each name is a clause of its own, so a term counts once for each name that holds it.
+    extra = first.select("query_id", F.explode(F.array_distinct(tokens(F.col("name")))).alias("term")).groupBy("query_id", "term").agg((F.count("*") * boost).alias("weight"))
+    more = bm25(extra, posts.where(F.col("field") == field), stats.where(F.col("field") == field), {field: 1.0}).withColumnRenamed("score", "more")
+    return base.join(more, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+
+
+def graph_search(queries: DataFrame, names: DataFrame, docs: DataFrame, boosts: dict[str, float], field: str, k: int = 10) -> DataFrame:
+    return top(graph_scores(queries, names, docs, boosts, field), k, ["query_id"], "chunk_id")
 
 
 def suggestions(history: DataFrame, part: str, most: int) -> DataFrame:

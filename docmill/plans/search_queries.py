@@ -6,13 +6,14 @@ item is a query, with the vector of its number.
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docmill.functions import text as tx
-from docmill.operators import context as cx, evaluation as ev, filters as fl, fusion as fu, retrieval as rt
+from docmill.operators import context as cx, evaluation as ev, filters as fl, fusion as fu, graph as gr, retrieval as rt
 
 from .registry import query
-from .views import QUERIES_SQL, queries_of, table, title_of
+from .views import QUERIES_SQL, mentions, queries_of, table, title_of
 
 FIELDS = {"content": 3.0, "title": 2.0}
 
@@ -103,12 +104,34 @@ def sparse(spark, d, candidates):
     return rt.top(s.where("score > 0"), 20, ["query_id"], "chunk_id")
 
 
+def graph_names(spark, d):
+    """(query_id, name, r): the names that a query's words match, then their nearest in titles that hold both."""
+    m = mentions(spark, d).where(~tx.is_junk_name(F.col("name")))
+    words = queries_of(spark, d).select("query_id", F.explode(tx.query_words(F.col("query"))).alias("word"))
+    nodes = m.select(F.col("name").alias("id"), "name").distinct()
+    # Words of two characters match within names too.
+    seeds = gr.name_matches(words, nodes.select("name"), gram=2).select("query_id", F.col("name").alias("id"))
+    pairs = gr.cooccurrences(m).groupBy(F.col("name1").alias("src"), F.col("name2").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
+    e = gr.expanded_names(seeds, nodes, pairs.withColumn("rel_type", F.lit("RELATED_TO")))
+    return e.select("query_id", "name", F.row_number().over(W.partitionBy("query_id").orderBy("hop", "name")).alias("r"))
+
+
+def by_graph(spark, d, k=10):
+    s = rt.graph_scores(queries_of(spark, d), graph_names(spark, d), docs_of(spark, d), FIELDS, "content")
+    return rt.top(s.withColumn("score", F.round("score", 6)), k, ["query_id"], "chunk_id")
+
+
+@query("h5_graph_search")  # a chain of four operators; a test holds it against a plain version
+def h5(spark, d):
+    return by_graph(spark, d).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def channels(spark, d):
     a, b = dense(spark, d), keyword(spark, d)
     both = a.select("query_id", "chunk_id").unionByName(b.select("query_id", "chunk_id"))
     c = sparse(spark, d, both)
     mark = lambda df, name: df.select("query_id", "chunk_id", "rank", "score", F.lit(name).alias("channel"))
-    return mark(a, "vector").unionByName(mark(b, "keyword")).unionByName(mark(c, "sparse"))
+    return mark(a, "vector").unionByName(mark(b, "keyword")).unionByName(mark(c, "sparse")).unionByName(mark(by_graph(spark, d), "graph"))
 
 
 ALL_SQL = WITH + DENSE_SQL + ", " + BM25_SQL + ", " + SPARSE_SQL + """,

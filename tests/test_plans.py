@@ -1,5 +1,8 @@
 """Registered queries on small fixtures, against figures counted by hand or plain versions."""
 
+import math
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -33,3 +36,48 @@ def test_every_order_ties_its_customer_to_brands(spark, shop):
     # 3 brands of the supplier; 2, 1 and 1 of the customers.
     assert {(r.kind, r.name): r.n for r in run(spark, "d10_graph_statistics", shop)}["edges", "RELATED_TO"] == 7
     assert [tuple(r) for r in run(spark, "l8_delete_orphans", shop)] == [(7, 7)]
+
+
+def plain_bm25(terms, docs):
+    """{document: sum over (term, weight)} in one field of {document: words}."""
+    mean = sum(map(len, docs.values())) / len(docs)
+    out = {}
+    for t, w in terms:
+        df = sum(t in ws for ws in docs.values())
+        for i, ws in docs.items():
+            if n := ws.count(t):
+                out[i] = out.get(i, 0) + w * math.log(1 + (len(docs) - df + 0.5) / (df + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(ws) / mean))
+    return out
+
+
+@pytest.fixture(scope="module")
+def library(spark, tmp_path_factory):
+    """Query 1 matches 30 texts alike; one of the last names Kafka, which stands beside the query's Spark in a title. Query 2 matches no name."""
+    d = tmp_path_factory.mktemp("library")
+    texts = [f"note\nspark text number n{i}" for i in range(29)] + ["note\nspark text kafka n29", "Spark Kafka\nother words", "Sparkle Ox\nother words", "Lone\nzeta words"]
+    docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(1, "spark?"), (2, "zeta")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(900, [1.0, 0.0], 0)], "vec_id long, embedding array<float>, label long").write.parquet(f"{d}/embeddings.parquet")
+    return d, dict(enumerate(texts))
+
+
+def test_graph_channel_matches_plain_version(spark, library):
+    d, texts = library
+    words = lambda t: re.findall(r"\w+", t.lower())
+    body, title = {i: words(t) for i, t in texts.items()}, {i: words(t.split("\n")[0]) for i, t in texts.items()}
+    # The names Spark and Sparkle match; beside them stand Kafka and Ox.
+    names = plain_bm25([(n, 1.5) for n in ("spark", "sparkle", "kafka", "ox")], body)
+    own, head = plain_bm25([("spark", 1.0)], body), plain_bm25([("spark", 1.0)], title)
+    score = {i: round(max(3 * own[i], 2 * head.get(i, 0)) + names.get(i, 0), 6) for i in own}
+    want = [(i, score[i]) for i in sorted(score, key=lambda i: (-score[i], i))[:10]]
+    got = sorted(run(spark, "h5_graph_search", d), key=lambda r: r.rank)
+    assert {r.query_id for r in got} == {"1"}
+    assert [(r.chunk_id, pytest.approx(r.score, abs=2e-6)) for r in got] == want
+
+
+def test_fusion_holds_what_only_the_graph_finds(spark, library):
+    got = {(r.query_id, r.chunk_id): r for r in run(spark, "h6_e2_rrf_fusion", library[0])}
+    only = got["1", 29]
+    assert only.sources == "graph" and only.score == round(0.8 / (60 + 2), 6)
+    assert got["1", 0].sources == "keyword,sparse,graph"
