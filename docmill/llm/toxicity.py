@@ -2,7 +2,7 @@
 
 The channel turns letters into digits and signs, draws a letter out, or sets letters apart. A word that shows such
 signs spans a character lattice: each sign may stand for itself or for the letters it imitates, a run of three or more
-equal letters for one, two or all of them, and single letters set apart for one word. The path with the best sum of
+equal letters for one, two or all of them, and single letters set apart for one word or several. The path with the best sum of
 channel costs and log probabilities under a character trigram model of the whole corpus is the restored word. Words
 without such signs have one path and stay as they are.
 
@@ -81,6 +81,15 @@ def character_model(docs: DataFrame, text_col: str) -> np.ndarray:
     return np.log10(n / n.sum(2, keepdims=True))
 
 
+def spelled(path: tuple | None) -> str:
+    """The text of a path of back-pointers; a step costs the same in a word of any length."""
+    out = []
+    while path:
+        out.append(path[0])
+        path = path[1]
+    return "".join(reversed(out))
+
+
 class Decoder:
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
@@ -106,10 +115,10 @@ class Decoder:
     def best(self, word: str) -> tuple[str, float]:
         """The Viterbi path of a word between two edges, and its score."""
         m = self.model
-        states = {(0, 0): (0.0, "")}
+        states = {(0, 0): (0.0, None)}
         for reads in self.lattice(word):
-            after: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (score, text) in states.items():
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (score, path) in states.items():
                 for out, cost in reads:
                     x, y, s = a, b, score + cost
                     for c in out:
@@ -117,9 +126,34 @@ class Decoder:
                         s += m[x][y][z]
                         x, y = y, z
                     if (x, y) not in after or after[x, y][0] < s:
-                        after[x, y] = (s, text + out)
+                        after[x, y] = (s, (out, path))
             states = after
-        return max(((text, s + m[a][b][0]) for (a, b), (s, text) in states.items()), key=lambda p: (p[1], p[0]))
+        return max(((spelled(path), s + m[a][b][0]) for (a, b), (s, path) in states.items()), key=lambda p: (p[1], p[0]))
+
+    def words(self, signs: str) -> tuple[str, float]:
+        """Signs set apart, as the words that read best; each space costs JOIN. Letters and signs that stay signs share no word."""
+        m = self.model
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        for reads in self.lattice(signs):
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for out, cost in reads:
+                for (a, b), (score, path) in states.items():
+                    # Any character may begin a word, also within a run.
+                    now = {(a, b): (score + cost, path)}
+                    for c in out:
+                        z, then = symbol(c), {}
+                        for (x, y), (s, p) in now.items():
+                            on = [(x, y, s, p)] if not y or (y == SIGNS) == (z == SIGNS) else []
+                            for u, v, t, q in [*on, (0, 0, s + JOIN + m[x][y][0], (" ", p))] if y else on:
+                                t += m[u][v][z]
+                                if (v, z) not in then or then[v, z][0] < t:
+                                    then[v, z] = (t, (c, q))
+                        now = then
+                    for k, x in now.items():
+                        if k not in after or after[k][0] < x[0]:
+                            after[k] = x
+            states = after
+        return max(((spelled(path), s + m[a][b][0]) for (a, b), (s, path) in states.items()), key=lambda p: (p[1], p[0]))
 
     def word(self, word: str) -> str:
         """A lower-case word without edge punctuation, restored."""
@@ -128,21 +162,23 @@ class Decoder:
             bare = TAIL.sub("", word.rstrip(".,;:?\"')]}>*#%&-_").lstrip("\"'([{<*#%&-_"))
             found = core
             if SIGN.search(bare) or DRAWN.search(core):
-                decoded = self.best(bare)[0] if len(bare) <= 64 else core
-                found = decoded if decoded.isalpha() else (self.best(core)[0] if 0 < len(core) <= 64 else core)
+                decoded = self.best(bare)[0]
+                found = decoded if decoded.isalpha() else (self.best(core)[0] if core else core)
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             self.memo[word] = found
         return found
 
     def apart(self, spaced: str) -> str | None:
-        """Letters set apart, as one word if that reads better than the single letters."""
+        """Letters set apart, as the words they read best as, if that is better than the single letters."""
         joined = spaced.translate(SEPARATORS)
-        if not 3 <= len(joined) <= 40:
+        if len(joined) < 3:
             return None
-        word, score = self.best(joined)
+        text, score = self.words(joined)
         single = sum(self.best(c)[1] for c in joined)
-        return word if word.isalpha() and score + JOIN > single else None
+        if score + JOIN <= single or not any(len(w) > 1 and w.isalpha() for w in text.split(" ")):
+            return None
+        return " ".join([w if w.isalpha() else " ".join(w) for w in text.split(" ")])
 
     def restored(self, text: str) -> str:
         low = text.lower()
@@ -182,7 +218,7 @@ def evidence(decoder: Decoder, weights: dict[str, float]):
 
     def of(text: str) -> float:
         low = text.lower()
-        extra = [w for m in APART.finditer(low) if (w := decoder.apart(m[0]))]
+        extra = [w for m in APART.finditer(low) if (t := decoder.apart(m[0])) for w in t.split()]
         total = 0.0
         for w in {*low.split(), *extra}:
             if (x := memo.get(w)) is None:
