@@ -63,11 +63,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def joined_back(docs: DataFrame, figures: DataFrame, id_col: str, text_col: str, how: str = "inner") -> DataFrame:
-    """docs with the columns of figures, which has one row for each (__dm_id, __dm_th).
+def joined_back(docs: DataFrame, figures: DataFrame, id_col: str, text_col: str, how: str = "inner") -> tuple[DataFrame, str]:
+    """docs with one struct column that holds the columns of figures, and that column's name, which docs has not.
 
-    The text's key is a column before the join, so a text that nobody asks for is not shuffled.
+    figures has one row for each (id, th). The text's key is a column before the join, so a text that nobody asks for is
+    not shuffled.
     """
-    key = free_name(docs, "__dm_key")
+    key, name = free_name(docs, "__dm_key"), free_name(docs, "__dm_figures")
     keyed = docs.withColumn(key, text_key(F.col(text_col)))
-    return keyed.join(figures, F.col(id_col).eqNullSafe(F.col("__dm_id")) & (F.col(key) == F.col("__dm_th")), how)
+    packed = figures.select(F.struct(*figures.columns).alias(name))
+    return keyed.join(packed, F.col(id_col).eqNullSafe(F.col(f"{name}.id")) & (F.col(key) == F.col(f"{name}.th")), how), name

@@ -21,7 +21,8 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): every node of links (a, b) with the smallest node reachable from it.
 
-    Each round is written to the shared folder; the loop ends when a round changes nothing.
+    Each round is written to the shared folder; the loop ends when a round changes nothing. Rounds grow with the
+    logarithm of the links; should `most_rounds` not settle them, that is an error, never an unfinished result.
     """
     edges = staged(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "links")
     mark = None
@@ -31,4 +32,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -307,6 +307,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return pa.table([ids, ths, pa.array(held_), pa.array(lengths.astype(np.int64)), pa.array(total_("known", np.int32).astype(np.int64)), pa.array(total_("base", np.float64)), pa.array(total_("score", np.float64))], names=final.names)
 
     scored = parts.groupBy("block").applyInArrow(united, final)
-    per = scored.groupBy("id", "th").agg(*[F.first(c).alias(c) for c in final.names[2:]]).withColumnsRenamed({c: f"__dm_{c}" for c in final.names})
-    figures = F.struct(F.col("__dm_held").alias("held_out"), F.col("__dm_n_tokens").alias("n_tokens"), F.col("__dm_n_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col("__dm_base").alias("base_score"), F.col("__dm_score").alias("score"))
-    return joined_back(docs, per, id_col, text_col).select(*[F.col(c) for c in docs.columns], figures.alias(free_name(docs, "lm")))
+    per = scored.groupBy("id", "th").agg(*[F.first(c).alias(c) for c in final.names[2:]])
+    d, f = joined_back(docs, per, id_col, text_col)
+    figures = F.struct(F.col(f"{f}.held").alias("held_out"), F.col(f"{f}.n_tokens").alias("n_tokens"), F.col(f"{f}.n_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col(f"{f}.base").alias("base_score"), F.col(f"{f}.score").alias("score"))
+    return d.select(*[F.col(c) for c in docs.columns], figures.alias(free_name(docs, "lm")))
