@@ -1,26 +1,33 @@
 """Language-model scoring with Elias-Fano n-gram tries.
 
-The model is a bigram model with Dirichlet smoothing over the unigram base:
+The model is a trigram model whose counts fall back linearly, through bigrams, to the unigram base:
 
-    P(w | h) = (count(h w) + prior * base(w)) / (count(h) + prior)
+    P(w | u v) = (count(u v w) + back * count(v w) + prior * base(w)) / (count(u v) + back * count(v) + prior)
 
-The numerator depends on the predicted word w and its contexts, the denominator on h alone, which is itself a word of
-the text. So if tries are rooted at the predicted word, each shard of words can score its share of every document by
-itself: the numerators of its words, and their denominators as contexts. The sum over shards is exact, the model sums
-to one over words, and nothing but the words' own shard has to be in one place.
+It sums to one over words. The numerator depends on the predicted word w and its contexts, the denominator on v and
+its context u, and v is itself a word of the text. So if tries are rooted at a word, with its contexts leading
+backwards from it, each shard of words can score its share of every document by itself: the numerators of its words,
+and the denominators of what follows them. The sum over shards is exact, and nothing but the words' own shard has to
+be in one place.
 
-One pass turns each block of documents into one packed row per shard: words, contexts relative to them, and the
-documents (by number in the block) that hold each pair. A shard counts its pairs over all blocks, builds its trie and
-looks its distinct pairs up in it: the first level holds the words, monotone pointers lead into the second, which holds
-each word's contexts in Elias-Fano code next to quantised smoothed numerators, all in memory-mapped files that vanish
-with the task. Words with more than a shard's share of all tokens are split over the shards by context; their counts,
-a list bounded by the number of shards, come from the unigram table.
+One pass turns each block of documents into one packed row for each shard that it has words of: words, contexts
+relative to them, and the documents (by number in the block) that hold each. A shard counts the training part over all
+blocks and builds its trie: words, their contexts v, and the contexts u of those, each level in Elias-Fano code with
+monotone pointers into the next, next to quantised smoothed log numerators and denominators, all in memory-mapped files
+that vanish with the task. Then the blocks' tokens are streamed through it, each by successor search relative to its
+context. What a shard returns of a block is one figure for each document that occurs in both, so the bytes shuffled per
+token are bounded at any number of shards. Blocks are named by partition and number, not by content.
 
-Words and contexts are known by 64-bit hashes, of which a context keeps 40 to 48 bits within its word.
+Words with more than a quarter of a shard's share of all tokens are split over the shards by context; their counts, at
+most four for each shard of 8 MB of text, come from the unigram table and are broadcast. One pair of words is never
+split: all that a document adds to it is two bytes.
+
+Words and contexts are known by hashes: words by 64 bits, v within its word by 40, u within its pair by 32.
 
 Defined results: null and empty texts are one end token; each row is a document of its own, repeated rows included;
-the held-out part and the training part follow from the id as text (null: the empty text); other columns pass through;
-an empty table gives an empty result. Without training tokens the base is uniform.
+the held-out part and the training part follow from the id as text (null: the empty text); texts and words may be of
+any length; other columns pass through, whatever their names; an empty table gives an empty result. Without training
+tokens the base is uniform.
 """
 
 from __future__ import annotations
@@ -31,6 +38,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,10 +46,12 @@ from pyspark.sql import types as T
 from .blocks import TO_LOWER, U, mixed, slices, word_hashes, word_spans
 from .common import free_name, joined_back, staged, text_key
 
-END = U(0x51ED270B7A2F9C41)
+END, START = U(0x51ED270B7A2F9C41), U(0x2D358DCCAA6C78A5)
 BLOCK_BYTES = 8 << 20
-CONTEXT_BITS = 48
+V_BITS, U_BITS = 40, 32
 STEPS = 65535
+#: So many (document, triple) entries are looked up at once.
+STREAM_REFS = 500_000
 
 
 class EliasFano:
@@ -117,64 +127,118 @@ def mapped(values: np.ndarray, folder) -> np.ndarray:
     return out
 
 
+class Codes:
+    """Numbers quantised to 16 bits, in a memory-mapped file."""
+
+    def __init__(self, values: np.ndarray, folder):
+        self.base = float(values.min()) if len(values) else 0.0
+        self.step = ((float(values.max()) - self.base) / STEPS if len(values) else 1.0) or 1.0
+        self.codes = mapped(np.round((values - self.base) / self.step).astype(np.uint16), folder)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.base + self.step * self.codes[at]
+
+
 class Trie:
-    """Two levels: words, and their contexts relative to them, with quantised log10 numerators."""
-
-    def __init__(self, keys: np.ndarray, word: np.ndarray, words: int, score: np.ndarray, bits: int, folder=None):
-        """keys: word number << bits | context bits, ascending; word: the word numbers of the keys."""
-        self.bits = bits
-        self.pointers = EliasFano(np.searchsorted(word, np.arange(words + 1)).astype(U), folder)
-        self.contexts = EliasFano(keys, folder)
-        self.base = float(score.min()) if len(score) else 0.0
-        self.step = (float(score.max()) - self.base) / STEPS if len(score) else 1.0
-        self.codes = mapped(np.round((score - self.base) / (self.step or 1.0)).astype(np.uint16), folder)
-
-    def lookup(self, word: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """log10 numerators; NaN where the pair is not in the trie."""
-        out = np.full(len(word), np.nan)
-        if self.contexts.n:
-            low, high = self.pointers[word].astype(np.int64), self.pointers[word + 1].astype(np.int64)
-            key = word.astype(U) << U(self.bits) | context
-            at = self.contexts.successor(low, high, key)
+    """Words, their contexts v, and the contexts u of those: every level an Elias-Fano sequence relative to the one above.
+
+    What follows a word has its denominator at (word, v), or at the word alone; the word's own numerator is at the
+    longest context known.
+    """
+
+    def __init__(self, words: np.ndarray, n_word: np.ndarray, pairs: np.ndarray, n_pair: np.ndarray, triples: np.ndarray, n_triple: np.ndarray, base: np.ndarray, back: float, prior: float, folder=None):
+        """pairs: word number << V_BITS | v, triples: pair number << U_BITS | u; all ascending, with their counts."""
+        own, pair = (pairs >> U(V_BITS)).astype(np.int64), (triples >> U(U_BITS)).astype(np.int64)
+        self.n_words = len(words)
+        self.words = EliasFano(words, folder)
+        self.to_pairs = EliasFano(np.searchsorted(own, np.arange(len(words) + 1)).astype(U), folder)
+        self.pairs = EliasFano(pairs, folder)
+        self.to_triples = EliasFano(np.searchsorted(pair, np.arange(len(pairs) + 1)).astype(U), folder)
+        self.triples = EliasFano(triples, folder)
+        low = prior * base
+        middle = low[own] + back * n_pair
+        self.scores = [Codes(np.log10(low), folder), Codes(np.log10(middle), folder), Codes(np.log10(middle[pair] + n_triple), folder)]
+        self.follows = [Codes(np.log10(back * n_word + prior), folder), Codes(np.log10(n_pair + back * n_word[own] + prior), folder)]
+        self.base = mapped(np.log10(base), folder)
+
+    def child(self, level: EliasFano, pointers: EliasFano, parent: np.ndarray, bits: int, context: np.ndarray) -> np.ndarray:
+        """Number of each context below its parent, -1 where it is not known or the parent is -1."""
+        out = np.full(len(parent), -1, np.int64)
+        live = np.flatnonzero(parent >= 0)
+        if level.n and live.size:
+            p = parent[live]
+            low, high = pointers[p].astype(np.int64), pointers[p + 1].astype(np.int64)
+            key = p.astype(U) << U(bits) | context[live]
+            at = level.successor(low, high, key)
             there = np.flatnonzero(at < high)
-            there = there[self.contexts[at[there]] == key[there]]
-            out[there] = self.base + self.step * self.codes[at[there]]
+            there = there[level[at[there]] == key[there]]
+            out[live[there]] = at[there]
         return out
 
+    def find_words(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), -1, np.int64)
+        if self.n_words:
+            at = self.words.successor(np.zeros(len(h), np.int64), np.full(len(h), self.n_words), h)
+            there = np.flatnonzero(at < self.n_words)
+            there = there[self.words[at[there]] == h[there]]
+            out[there] = at[there]
+        return out
 
-def tokens_of(data: np.ndarray, offsets: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every token its hash, its context's hash (END before a text's first word) and its text; ends included."""
+    def numerators(self, word: np.ndarray, pair: np.ndarray, triple: np.ndarray, unknown: float) -> np.ndarray:
+        out = np.full(len(triple), unknown)
+        for codes, at in zip(self.scores, (word, pair, triple), strict=True):
+            known = np.flatnonzero(at >= 0)
+            out[known] = codes[at[known]]
+        return out
+
+    def denominators(self, word: np.ndarray, pair: np.ndarray, unknown: float) -> np.ndarray:
+        out = np.full(len(pair), unknown)
+        for codes, at in zip(self.follows, (word, pair), strict=True):
+            known = np.flatnonzero(at >= 0)
+            out[known] = codes[at[known]]
+        return out
+
+
+def tokens_of(data: np.ndarray, offsets: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For every token its hash, the hashes of the one and the two before it (START before a text), and its text; ends included."""
     low = TO_LOWER[data]
     starts, ends, owner = word_spans(low, offsets)
     h = word_hashes(low, starts, ends)
-    h[h == END] ^= U(1)
+    h[(h == END) | (h == START)] ^= U(1)
     counts = np.bincount(owner, minlength=texts)
     text = np.repeat(np.arange(texts), counts + 1)
+    last = np.cumsum(counts + 1) - 1
     word = np.full(len(text), END)
     inside = np.ones(len(text), bool)
-    inside[np.cumsum(counts + 1) - 1] = False
+    inside[last] = False
     word[inside] = h
-    context = np.full(len(text), END)
-    context[1:] = word[:-1]  # the token before a text's first is the last text's end
-    return word, context, text
+    first = last - counts
+    v, u = np.full(len(text), START), np.full(len(text), START)
+    v[1:] = word[:-1]
+    v[first] = START
+    u[1:] = v[:-1]
+    u[first] = START
+    return word, v, u, text
 
 
-def packed(x: np.ndarray) -> bytes:
-    return zlib.compress(x.tobytes(), 1)
+def narrow(x: np.ndarray) -> bytes:
+    """Counts, in a byte each where they fit, compressed."""
+    wide = len(x) and int(x.max()) > 255
+    return (b"w" if wide else b"n") + zlib.compress(x.astype(np.int32 if wide else np.uint8).tobytes(), 1)
 
 
-def unpacked(x: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x), kind)
+def wide(x: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(x[1:]), np.int32 if x[:1] == b"w" else np.uint8).astype(np.int64)
 
 
-def shorts(x: np.ndarray) -> bytes:
-    """The low 48 bits of each number."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def cut(x: np.ndarray, size: int) -> bytes:
+    """The low bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]).tobytes()
 
 
-def longs(x: bytes) -> np.ndarray:
-    out = np.zeros((len(x) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
+def uncut(x: bytes, size: int) -> np.ndarray:
+    out = np.zeros((len(x) // size, 8), np.uint8)
+    out[:, :size] = np.frombuffer(x, np.uint8).reshape(-1, size)
     return out.view("<u8").ravel()
 
 
@@ -184,7 +248,100 @@ def run_starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(fresh)
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, prior: float = 300.0, shard_bytes: int = 12 << 20) -> DataFrame:
+def doc_kind(n: int):
+    return np.uint32 if n > 65535 else np.uint16
+
+
+class Block:
+    """One packed row: words, pairs and triples of a block in a shard, and the documents that hold each triple."""
+
+    def __init__(self, row: dict):
+        self.words = np.frombuffer(row["words"], U)
+        self.n_pairs = wide(row["n_pairs"])
+        self.v = uncut(row["vs"], V_BITS // 8)
+        self.n_triples = wide(row["n_triples"])
+        self.u = uncut(row["us"], U_BITS // 8)
+        self.n_refs = wide(row["n_refs"])
+        self.doc = np.frombuffer(row["refs"], doc_kind(row["n_docs"])).astype(np.int64)
+        self.times = wide(row["times"])
+        self.n_docs, self.n_train = row["n_docs"], row["n_train"]
+
+    def word_of_pair(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.words)), self.n_pairs)
+
+    def pair_of_triple(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.v)), self.n_triples)
+
+    def triple_of_ref(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.u)), self.n_refs)
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Word, v, u and training count of the triples that the training part holds."""
+        n = np.bincount(self.triple_of_ref(), weights=self.times * (self.doc < self.n_train), minlength=len(self.u))
+        seen = np.flatnonzero(n)
+        pair = self.pair_of_triple()[seen]
+        return self.words[self.word_of_pair()[pair]], self.v[pair], self.u[seen], n[seen]
+
+
+def together(blocks: list[Block]) -> Block:
+    """Several blocks as one, whose documents are numbered on; its words may repeat."""
+    out = Block.__new__(Block)
+    for k in ("words", "n_pairs", "v", "n_triples", "u", "n_refs", "times"):
+        setattr(out, k, np.concatenate([getattr(b, k) for b in blocks]))
+    starts = np.cumsum([0, *(b.n_docs for b in blocks)])
+    out.doc = np.concatenate([b.doc + at for b, at in zip(blocks, starts, strict=False)])
+    out.starts = starts
+    return out
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = run_starts(keys) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(keys) else n
+
+
+def trie_of(blocks: list[Block], total: int, types: int, hot: dict[int, int], back: float, prior: float) -> Trie:
+    """The trie of the blocks' training part."""
+    parts = [b.counted() for b in blocks]
+    word, v, u, n = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, U) for i in range(4))
+    del parts
+    words, at = np.unique(word, return_inverse=True)
+    del word
+    pairs, pair = np.unique(at.astype(U) << U(V_BITS) | v, return_inverse=True)
+    del at, v
+    triples, n_triple = summed(pair.astype(U) << U(U_BITS) | u, n)
+    del pair, u, n
+    n_pair = np.bincount((triples >> U(U_BITS)).astype(np.int64), weights=n_triple, minlength=len(pairs))
+    n_word = np.bincount((pairs >> U(V_BITS)).astype(np.int64), weights=n_pair, minlength=len(words))
+    for h, count in hot.items():
+        place = int(np.searchsorted(words, U(h)))
+        if place < len(words) and words[place] == U(h):
+            n_word[place] = count
+    return Trie(words, n_word, pairs, n_pair, triples, n_triple, (n_word + 0.1) / (total + 0.1 * (types + 1)), back, prior)
+
+
+def streamed(block: Block, trie: Trie, unknown_base: float, prior: float) -> tuple[np.ndarray, ...]:
+    """Documents of the block that occur here: numbers, known tokens, base score, score."""
+    word = trie.find_words(block.words)
+    word_of_pair = block.word_of_pair()
+    pair = trie.child(trie.pairs, trie.to_pairs, word[word_of_pair], V_BITS, block.v)
+    pair_of_triple = block.pair_of_triple()
+    triple = trie.child(trie.triples, trie.to_triples, pair[pair_of_triple], U_BITS, block.u)
+    score = trie.numerators(word[word_of_pair][pair_of_triple], pair[pair_of_triple], triple, math.log10(prior * 10**unknown_base))
+    ends = block.words[word_of_pair] == END  # nothing follows an end
+    follow = np.where(ends, 0.0, trie.denominators(word[word_of_pair], pair, math.log10(prior)))
+    score -= follow[pair_of_triple]
+    base = np.full(len(word), unknown_base)
+    base[word >= 0] = trie.base[word[word >= 0]]
+    of = block.triple_of_ref()
+    word_of_ref = word_of_pair[pair_of_triple][of]
+    docs, local = np.unique(block.doc, return_inverse=True)
+    add = lambda x: np.bincount(local, weights=block.times * x, minlength=len(docs))
+    return docs, add((word >= 0)[word_of_ref]), add(base[word_of_ref]), add(score[of])
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, back: float = 0.01, prior: float = 3.0, shard_bytes: int = 8 << 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with a struct column lm: held_out, n_tokens, n_known, train_tokens, base_score, score."""
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 0
     texts = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("th"), F.col(text_col).alias("text"), held.alias("held"))
@@ -193,121 +350,119 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def unigrams(batches):
         for batch in batches:
-            for rows, data, offsets in slices(batch, "text", BLOCK_BYTES):
-                word, _, text = tokens_of(data, offsets, rows.num_rows)
+            for rows, data, offsets in slices(batch, "text", block_bytes):
+                word, _, _, text = tokens_of(data, offsets, rows.num_rows)
                 train = ~np.asarray(rows.column(3).to_numpy(zero_copy_only=False), bool)
                 w, n = np.unique(word[train[text]], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n)], names=["w", "n"])
 
     counts = staged(texts.mapInArrow(unigrams, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "unigrams")
-    total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # At most 4 * shards words can have so large a share.
+    end = int(END.astype(np.int64))
+    total, types, train_docs = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(F.col("w") == end, F.col("n"))), F.lit(0))).first()
     hot_rows = counts.where(F.col("n") > max(1, total) / (4 * shards)).collect() if shards > 1 else []
-    hot_words = np.array(sorted(r.w & (1 << 64) - 1 for r in hot_rows), U)
     hot_counts = {r.w & (1 << 64) - 1: r.n for r in hot_rows}
+    hot_words = np.array(sorted(hot_counts), U)
     id_type = docs.schema[id_col].dataType
-    blob = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("block", T.StringType()), T.StructField("ids", T.ArrayType(id_type)), *T._parse_datatype_string("ths array<long>, held binary, lengths binary, words binary, n_contexts binary, contexts binary, n_refs binary, refs binary, times binary").fields])
+    lead = [T.StructField("block", T.StringType()), T.StructField("ids", T.ArrayType(id_type)), *T._parse_datatype_string("ths array<long>, lengths binary, n_docs int, n_train int").fields]
+    blob = T.StructType([T.StructField("shard", T.IntegerType()), *lead, *T._parse_datatype_string("words binary, n_pairs binary, vs binary, n_triples binary, us binary, n_refs binary, refs binary, times binary").fields])
+    partial = T.StructType([*lead, *T._parse_datatype_string("docs binary, known binary, base binary, score binary").fields])
+
+    def arrow_schema(of: T.StructType, id_kind: pa.DataType) -> pa.Schema:
+        kinds = {"shard": pa.int32(), "block": pa.string(), "ids": pa.list_(id_kind), "ths": pa.list_(pa.int64()), "n_docs": pa.int32(), "n_train": pa.int32()}
+        return pa.schema([(n, kinds.get(n, pa.binary())) for n in of.names])
 
     def pack(batches):
+        number = 0
         for batch in batches:
-            for rows, data, offsets in slices(batch, "text", BLOCK_BYTES):
-                word, context, text = tokens_of(data, offsets, rows.num_rows)
+            for rows, data, offsets in slices(batch, "text", block_bytes):
+                n_docs = rows.num_rows
+                held_ = np.asarray(rows.column(3).to_numpy(zero_copy_only=False), bool)
+                turn = np.argsort(held_, kind="stable")  # the training part comes first
+                place = np.empty(n_docs, np.int64)
+                place[turn] = np.arange(n_docs)
+                n_train = int((~held_).sum())
+                word, v, u, text = tokens_of(data, offsets, n_docs)
                 shard = (mixed(word) % U(shards)).astype(np.int32)
                 if len(hot_words):
                     at = np.minimum(np.searchsorted(hot_words, word), len(hot_words) - 1)
                     hot = hot_words[at] == word
-                    shard[hot] = (mixed(word[hot] ^ mixed(context[hot])) % U(shards)).astype(np.int32)
-                context &= U((1 << CONTEXT_BITS) - 1)
-                order = np.lexsort((text, context, word, shard))
-                shard, word, context, text = shard[order], word[order], context[order], text[order]
-                ref = run_starts(shard, word, context, text)
+                    shard[hot] = (mixed(word[hot] ^ mixed(v[hot])) % U(shards)).astype(np.int32)
+                lengths = np.bincount(text, minlength=n_docs)[turn]
+                v &= U((1 << V_BITS) - 1)
+                last = (u & U((1 << U_BITS) - 1)) << U(32) | place[text].astype(U)
+                del u, text
+                order = np.lexsort((last, v, word, shard))
+                shard, word, v, last = shard[order], word[order], v[order], last[order]
+                del order
+                ref = run_starts(shard, word, v, last)
                 times = np.diff(np.append(ref, len(word)))
-                shard, word, context, text = shard[ref], word[ref], context[ref], text[ref]
-                pair = run_starts(shard, word, context)
-                n_refs = np.diff(np.append(pair, len(word)))
-                first = run_starts(shard[pair], word[pair])
-                n_contexts = np.diff(np.append(first, len(pair)))
-                cut_r, cut_p = np.searchsorted(shard, np.arange(shards + 1)), np.searchsorted(shard[pair], np.arange(shards + 1))
-                cut_w = np.searchsorted(shard[pair[first]], np.arange(shards + 1))
-                block = f"{rows.column(0)[0].as_py()}/{rows.column(1)[0].as_py()}/{rows.num_rows}/{len(data)}/{zlib.crc32(rows.column(1).to_numpy().tobytes())}"
-                held_ = np.asarray(rows.column(3).to_numpy(zero_copy_only=False), bool)
-                lengths = np.bincount(np.repeat(text, times), minlength=rows.num_rows)
-                out = []
-                for s in range(shards):
-                    r, p, w = slice(cut_r[s], cut_r[s + 1]), slice(cut_p[s], cut_p[s + 1]), slice(cut_w[s], cut_w[s + 1])
-                    lead = s == 0
-                    out.append((s, block, rows.column(0).to_pylist() if lead else None, rows.column(1).to_pylist() if lead else None, np.packbits(held_).tobytes(), packed(lengths.astype(np.int32)) if lead else packed(np.array([rows.num_rows], np.int32)), word[pair[first[w]]].tobytes(), packed(n_contexts[w].astype(np.int32)), shorts(context[pair[p]]), packed(n_refs[p].astype(np.int32)), text[r].astype(np.uint32).tobytes() if rows.num_rows > 65535 else text[r].astype(np.uint16).tobytes(), packed(times[r].astype(np.int32))))
-                yield pa.RecordBatch.from_pylist([dict(zip(blob.names, x, strict=True)) for x in out], schema=pa_schema(batch.schema))
-
-    def pa_schema(source: pa.Schema) -> pa.Schema:
-        kinds = {"shard": pa.int32(), "block": pa.string(), "ids": pa.list_(source.field(0).type), "ths": pa.list_(pa.int64())}
-        return pa.schema([(n, kinds.get(n, pa.binary())) for n in blob.names])
-
-    partial = T.StructType([T.StructField("block", T.StringType()), T.StructField("ids", T.ArrayType(id_type)), *T._parse_datatype_string("ths array<long>, held binary, lengths binary, known binary, base binary, score binary").fields])
+                shard, word, v, last = shard[ref], word[ref], v[ref], last[ref]
+                u, doc = last >> U(32), (last & U((1 << 32) - 1)).astype(doc_kind(n_docs))
+                triple = run_starts(shard, word, v, u)
+                n_refs = np.diff(np.append(triple, len(word)))
+                pair = run_starts(shard[triple], word[triple], v[triple])
+                n_triples = np.diff(np.append(pair, len(triple)))
+                first = run_starts(shard[triple[pair]], word[triple[pair]])
+                n_pairs = np.diff(np.append(first, len(pair)))
+                edges = np.arange(shards + 1)
+                cuts = [np.searchsorted(x, edges) for x in (shard, shard[triple], shard[triple[pair]], shard[triple[pair[first]]])]
+                name = f"{TaskContext.get().partitionId()}/{number}/{zlib.crc32(rows.column(1).to_numpy().tobytes())}"
+                number += 1
+                same = {"block": name, "n_docs": n_docs, "n_train": n_train}
+                kept = rows.take(pa.array(turn))
+                out = [same | {"shard": zlib.crc32(name.encode()) % shards, "ids": kept.column(0).to_pylist(), "ths": kept.column(1).to_pylist(), "lengths": narrow(lengths)}]
+                for s in np.flatnonzero(np.diff(cuts[0])).tolist():
+                    r, t, p, w = (slice(c[s], c[s + 1]) for c in cuts)
+                    out.append(same | {"shard": s, "words": word[triple[pair[first[w]]]].tobytes(), "n_pairs": narrow(n_pairs[w]), "vs": cut(v[triple[pair[p]]], V_BITS // 8), "n_triples": narrow(n_triples[p]), "us": cut(u[triple[t]], U_BITS // 8), "n_refs": narrow(n_refs[t]), "refs": doc[r].tobytes(), "times": narrow(times[r])})
+                yield pa.RecordBatch.from_pylist(out, schema=arrow_schema(blob, batch.schema.field(0).type))
+
+    unknown_base = math.log10(0.1 / (total + 0.1 * (types + 1)))
 
     def score(group: pa.Table) -> pa.Table:
-        n_docs, word, context, refs_of, doc, times, train, blocks = [], [], [], [], [], [], [], group.num_rows
-        start = 0
-        for row in range(blocks):
-            g = {k: group.column(k)[row].as_py() for k in blob.names[4:]}
-            lengths = unpacked(g["lengths"], np.int32)
-            n = len(lengths) if group.column("ids")[row].is_valid else int(lengths[0])
-            held_ = np.unpackbits(np.frombuffer(g["held"], np.uint8), count=n).astype(bool)
-            w = np.repeat(np.frombuffer(g["words"], U), unpacked(g["n_contexts"], np.int32))
-            d = np.frombuffer(g["refs"], np.uint32 if n > 65535 else np.uint16).astype(np.int32)
-            word.append(w)
-            context.append(longs(g["contexts"]))
-            refs_of.append(unpacked(g["n_refs"], np.int32))
-            times.append(unpacked(g["times"], np.int32))
-            train.append(~held_[d])
-            doc.append(d + start)
-            n_docs.append(n)
-            start += n
-            del g, w, d
-        words, at = np.unique(np.concatenate(word), return_inverse=True)
-        del word
-        bits = min(CONTEXT_BITS, 63 - len(words).bit_length())
-        full = at.astype(U) << U(bits) | np.concatenate(context) >> U(CONTEXT_BITS - bits)
-        del at, context
-        key, pair = np.unique(full, return_inverse=True)
-        del full
-        of = np.repeat(pair.astype(np.int32), np.concatenate(refs_of))
-        del pair, refs_of
-        times, train, doc = np.concatenate(times), np.concatenate(train), np.concatenate(doc)
-        n_pair = np.bincount(of, weights=times * train, minlength=len(key))
-        del train
-        own = (key >> U(bits)).astype(np.int64)
-        n_word = np.bincount(own, weights=n_pair, minlength=len(words))
-        for h, n in hot_counts.items():
-            place = int(np.searchsorted(words, U(h)))
-            if place < len(words) and words[place] == U(h):
-                n_word[place] = n
-        base = (n_word + 0.1) / (total + 0.1 * (types + 1))
-        seen = np.flatnonzero(n_pair > 0)
-        trie = Trie(key[seen], own[seen], len(words), np.log10(n_pair[seen] + prior * base[own[seen]]), bits)
-        value = trie.lookup(own, key & U((1 << bits) - 1))
-        value = np.where(np.isnan(value), np.log10(prior * base[own]), value) - np.log10(n_word[own] + prior)
-        add = lambda x: np.bincount(doc, weights=times * x[of], minlength=start)
-        del trie, key
-        results = {"known": add((n_word[own] > 0).astype(np.float32)).astype(np.int32), "base": add(np.log10(base)[own]), "score": add(value)}
-        cuts = np.cumsum([0, *n_docs])
-        columns = {k: pa.array([v[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()) for k, v in results.items()}
-        return pa.table([group.column("block"), group.column("ids"), group.column("ths"), group.column("held"), group.column("lengths"), *columns.values()], names=partial.names)
+        leads = group.filter(group.column("ids").is_valid()).select(partial.names[:6])
+        rest = group.filter(group.column("ids").is_null())
+        rows = [{k: rest.column(k)[i].as_py() for k in blob.names if k not in ("ids", "ths", "lengths")} for i in range(rest.num_rows)]
+        blocks = [Block(r) for r in rows]
+        trie = trie_of(blocks, total, types, hot_counts, back, prior)
+        out, at = [], 0
+        while at < len(blocks):
+            to, refs = at, 0
+            while to < len(blocks) and (to == at or refs + len(blocks[to].doc) <= STREAM_REFS):
+                refs += len(blocks[to].doc)
+                to += 1
+            many = together(blocks[at:to])
+            docs_, *sums = streamed(many, trie, unknown_base, prior)
+            for i, edges in enumerate(zip(*(np.searchsorted(docs_, x) for x in (many.starts[:-1], many.starts[1:])), strict=True)):
+                row, (known, base, value) = rows[at + i], (x[slice(*edges)] for x in sums)
+                out.append({"block": row["block"], "n_docs": row["n_docs"], "n_train": row["n_train"], "docs": (docs_[slice(*edges)] - many.starts[i]).astype(doc_kind(row["n_docs"])).tobytes(), "known": narrow(known.astype(np.int64)), "base": base.tobytes(), "score": value.astype(np.float32).tobytes()})
+            at = to
+        kind = arrow_schema(partial, group.schema.field("ids").type.value_type)
+        figures = pa.Table.from_pylist(out, schema=kind)
+        for k in partial.names[6:]:
+            leads = leads.append_column(k, pa.nulls(leads.num_rows, pa.binary()))
+        return pa.concat_tables([leads.cast(kind), figures])
 
     parts = texts.mapInArrow(pack, blob).groupBy("shard").applyInArrow(score, partial)
     final = T.StructType([T.StructField("id", id_type), *T._parse_datatype_string("th long, held boolean, n_tokens long, n_known long, base double, score double").fields])
+    opening = math.log10(train_docs * (1 + back) + prior)  # the denominator of a text's first token
 
     def united(group: pa.Table) -> pa.Table:
-        lead = next(i for i in range(group.num_rows) if group.column("ids")[i].is_valid)
-        ids = group.column("ids").chunk(0) if group.column("ids").num_chunks == 1 else pa.concat_arrays(group.column("ids").chunks)
-        ids, ths = ids[lead].values, group.column("ths")[lead].values
-        lengths, n = unpacked(group.column("lengths")[lead].as_py(), np.int32), len(ths)
-        total_ = lambda k, kind: np.sum([np.frombuffer(x, kind) for x in sorted(group.column(k).to_pylist())], axis=0)
-        held_ = np.unpackbits(np.frombuffer(group.column("held")[lead].as_py(), np.uint8), count=n).astype(bool)
-        return pa.table([ids, ths, pa.array(held_), pa.array(lengths.astype(np.int64)), pa.array(total_("known", np.int32).astype(np.int64)), pa.array(total_("base", np.float64)), pa.array(total_("score", np.float64))], names=final.names)
+        lead = group.filter(group.column("ids").is_valid())
+        if lead.num_rows != 1:
+            raise RuntimeError("the rows of a block come from different runs of its task")
+        rest = group.filter(group.column("ids").is_null())
+        n = lead.column("n_docs")[0].as_py()
+        known, base, value = np.zeros(n, np.int64), np.zeros(n), np.full(n, -opening)
+        for r in sorted(rest.select(partial.names[6:]).to_pylist(), key=lambda x: (x["docs"], x["base"])):  # one order of adding
+            d = np.frombuffer(r["docs"], doc_kind(n))
+            known[d] += wide(r["known"])
+            base[d] += np.frombuffer(r["base"], np.float64)
+            value[d] += np.frombuffer(r["score"], np.float32)
+        ids, ths = (lead.column(k).combine_chunks().flatten() for k in ("ids", "ths"))
+        return pa.table([ids, ths, pa.array(np.arange(n) >= lead.column("n_train")[0].as_py()), pa.array(wide(lead.column("lengths")[0].as_py())), pa.array(known), pa.array(base), pa.array(value)], names=final.names)
 
     scored = parts.groupBy("block").applyInArrow(united, final)
-    per = scored.groupBy("id", "th").agg(*[F.first(c).alias(c) for c in final.names[2:]])
+    per = scored.groupBy("id", "th").agg(*[F.min(c).alias(c) for c in final.names[2:]])
     d, f = joined_back(docs, per, id_col, text_col)
     figures = F.struct(F.col(f"{f}.held").alias("held_out"), F.col(f"{f}.n_tokens").alias("n_tokens"), F.col(f"{f}.n_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), F.col(f"{f}.base").alias("base_score"), F.col(f"{f}.score").alias("score"))
     return d.select(*[F.col(c) for c in docs.columns], figures.alias(free_name(docs, "lm")))
