@@ -1,28 +1,33 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-Each batch of documents becomes a sorted run of (line hash, number of documents). A new batch first merge-anti-joins
-the runs: lines that the runs already hold in enough documents are settled and are not counted again; the rest is
-added as a run of level 0. When a level holds `fan_in` runs, they are merged into one run of the next level. At the
-end the runs' frequent lines are joined to the documents' lines and dropped.
+Each batch of documents becomes a sorted run of (line hash, number of documents), kept as a table bucketed and sorted by
+hash, so runs meet bucket by bucket without another shuffle. A new batch first merge-anti-joins the runs: lines that
+the runs already hold in enough documents are settled and are not counted again; the rest is added as a run of level 0.
+When a level holds `fan_in` runs, they are merged, sorted bucket with sorted bucket, into one run of the next level. At
+the end the runs' frequent lines are joined to the documents' lines and dropped. A corpus is cut into batches of
+`batch_bytes` of text at most, three at least, by a hash of the texts; `LineRuns` takes arriving batches one by one.
 
 Defined results: a null or empty text is one empty line and stays as it is (a null text becomes empty); lines whose key
 is shorter than `min_length` are never dropped; each row counts as one document, repeated rows and null ids included;
-columns beside id and text pass through unchanged; an empty table gives an empty result.
+texts and lines may be of any length; columns beside id and text pass through unchanged, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import uuid
 from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE_BYTES, free_name, staged, text_key
+from .common import SPACE_BYTES, free_name, joined_back, shared_folder, staged, text_key
 
 
 def line_keys(text: bytes) -> list[bytes]:
@@ -36,21 +41,29 @@ def key_hash(key: bytes) -> tuple[int, int]:
 
 
 class LineRuns:
-    """The levelled runs: tables of (h1, h2, n_docs), sorted by hash, in the shared folder."""
+    """The levelled runs: tables of (h1, h2, n_docs), bucketed and sorted by hash, in the shared folder."""
 
     def __init__(self, min_docs: int, fan_in: int = 4):
-        self.min_docs, self.fan_in, self.levels = min_docs, fan_in, [[]]
+        self.min_docs, self.fan_in, self.levels, self.names = min_docs, fan_in, [[]], []
 
-    def counts(self) -> DataFrame | None:
-        runs = [run for level in self.levels for run in level]
-        return merged(runs) if runs else None
+    def runs(self) -> list[DataFrame]:
+        return [run for level in self.levels for run in level]
+
+    def new_run(self, counts: DataFrame) -> DataFrame:
+        self.names.append(sorted_run(counts))
+        return counts.sparkSession.table(self.names[-1])
+
+    def close(self, spark: SparkSession) -> None:
+        """Takes the runs' names out of the catalogue."""
+        while self.names:
+            spark.sql(f"DROP TABLE IF EXISTS {self.names.pop()}")
 
     def add(self, lines: DataFrame) -> None:
         """lines: one row (h1, h2) for each document and distinct line in it."""
         fresh = lines.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"))
-        if (known := self.counts()) is not None:
-            fresh = fresh.join(known.where(F.col("n_docs") >= self.min_docs), ["h1", "h2"], "left_anti")
-        self.levels[0].append(sorted_run(fresh))
+        if self.runs():
+            fresh = fresh.join(merged(self.runs()).where(F.col("n_docs") >= self.min_docs), ["h1", "h2"], "left_anti")
+        self.levels[0].append(self.new_run(fresh))
         self.compact()
 
     def compact(self) -> None:
@@ -58,25 +71,36 @@ class LineRuns:
             if len(runs) >= self.fan_in:
                 if level + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[level + 1].append(sorted_run(merged(runs)))
+                self.levels[level + 1].append(self.new_run(merged(runs)))
                 self.levels[level] = []
 
     def frequent(self) -> DataFrame:
-        return self.counts().where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
+        return merged(self.runs()).where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
 
 
 def merged(runs: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.union, runs).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"))
+    """One run of several: sorted buckets are joined with each other, counts of equal hashes added."""
+    both = lambda c, a, b: F.coalesce(F.col(f"{a}.{c}"), F.col(f"{b}.{c}")).alias(c)
+    n = lambda x: F.coalesce(F.col(f"{x}.n_docs"), F.lit(0))
+    same = (F.col("x.h1") == F.col("y.h1")) & (F.col("x.h2") == F.col("y.h2"))
+    return reduce(lambda a, b: a.alias("x").join(b.alias("y"), same, "full_outer").select(both("h1", "x", "y"), both("h2", "x", "y"), (n("x") + n("y")).alias("n_docs")), runs)
 
 
-def sorted_run(counts: DataFrame) -> DataFrame:
-    return staged(counts.sortWithinPartitions("h1", "h2"), "line-run")
+def sorted_run(counts: DataFrame) -> str:
+    """The name of a bucketed and sorted table of counts, whose files are in the shared folder."""
+    spark = counts.sparkSession
+    name = f"docmill_line_run_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as counted: each bucket comes from one task
+    counts.write.bucketBy(buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{shared_folder(spark)}/docmill/{name}").option("compression", "zstd").saveAsTable(name)
+    return name
 
 
 def dedup_lines(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_length: int = 1, batches: int = 3, fan_in: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_length: int = 1, batches: int | None = None, fan_in: int = 2, batch_bytes: int = 1 << 40
 ) -> DataFrame:
     """docs with a struct column line_dedup: kept_text, n_lines, n_dropped, kept_sha256."""
+    if batches is None:
+        batches = max(3, math.ceil((docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) / batch_bytes))
     key, id_type = text_key(F.col(text_col)), docs.schema[id_col].dataType
     line_schema = T.StructType([T.StructField("id", id_type), T.StructField("th", T.LongType()), T.StructField("batch", T.IntegerType()), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
 
@@ -95,16 +119,20 @@ def dedup_lines(
     batch_no = F.pmod(key, F.lit(batches)).cast("int")
     lines = staged(docs.select(F.col(id_col).alias("id"), key.alias("th"), batch_no.alias("batch"), F.col(text_col).alias("text")).mapInArrow(lines_of, line_schema), "lines", "batch")
     runs = LineRuns(min_docs, fan_in)
-    for b in range(batches):
-        runs.add(lines.where(F.col("batch") == b).select("h1", "h2"))
-    hits = lines.join(staged(runs.frequent(), "frequent-lines"), ["h1", "h2"]).groupBy("id", "th").agg(F.collect_set(F.struct("h1", "h2")).alias("hits"))
-    hits = hits.select(F.col("id").alias("__dm_id"), F.col("th").alias("__dm_th"), "hits")
+    try:
+        for b in range(batches):
+            runs.add(lines.where(F.col("batch") == b).select("h1", "h2"))
+        frequent = staged(runs.frequent(), "frequent-lines")
+    finally:
+        runs.close(docs.sparkSession)
+    hits = lines.join(frequent, ["h1", "h2"]).groupBy("id", "th").agg(F.collect_set(F.struct("h1", "h2")).alias("hits"))
     inner, name = free_name(docs, "__dm_hits"), free_name(docs, "line_dedup")
-    joined = docs.join(hits.withColumnRenamed("hits", inner), F.col(id_col).eqNullSafe(F.col("__dm_id")) & (key == F.col("__dm_th")), "left").drop("__dm_id", "__dm_th")
+    d, f = joined_back(docs, hits, id_col, text_col, "left")
+    joined = d.select(*[F.col(c) for c in docs.columns], F.col(f"{f}.hits").alias(inner))
     out = T.StructType([T.StructField("kept_text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     schema = T.StructType([*docs.schema.fields, T.StructField(name, out)])
 
-    def drop(batches_):
+    def dropped_lines(batches_):
         for batch in batches_:
             texts = pc.fill_null(pc.cast(batch.column(batch.schema.get_field_index(text_col)), pa.binary()), b"")
             kept, lines_, dropped, sha = [], [], [], []
@@ -123,4 +151,4 @@ def dedup_lines(
             keep = [i for i, n in enumerate(batch.schema.names) if n != inner]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), figures], names=[*(batch.schema.names[i] for i in keep), name])
 
-    return joined.mapInArrow(drop, schema)
+    return joined.mapInArrow(dropped_lines, schema)
