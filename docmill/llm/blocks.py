@@ -30,14 +30,15 @@ def as_binary(column: pa.Array) -> pa.Array:
     return pa.concat_arrays([pc.fill_null(pc.cast(column, pa.large_binary()), b"")])
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Runs of rows with about limit bytes of text (one row at least): rows, bytes, offsets of the rows' texts."""
+def slices(batch: pa.RecordBatch, text: str, limit: int, most_rows: int = 1 << 30) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Runs of rows with about limit bytes of text, most_rows at most (one row at least): rows, bytes, offsets of the rows' texts."""
     column = as_binary(batch.column(batch.schema.get_field_index(text)))
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(column):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        to = min(to, at + most_rows)
         own = offsets[at : to + 1]
         yield batch.slice(at, to - at), data[own[0] : own[-1]], own - own[0]
         at = to

@@ -7,7 +7,9 @@ number and width being bounded parameters; every document is compared with all o
 its nearest ones vote with weights that grow with similarity.
 
 Defined results: null and empty texts have no terms; they get the share of good texts in the sample; repeated rows
-agree; other columns pass through; without labels every score is 0.5; an empty table gives an empty result.
+agree; of equally near labelled texts those with the lower text key count; texts and words may be of any length, and
+very short ones are taken in blocks of bounded rows; other columns pass through, whatever their names; without labels
+every score is 0.5; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from .training import held_out, labelled_sample
 
 GRAMS, FORMS = 4088, 8
 TERMS = GRAMS + FORMS
+#: Rows whose terms are counted and compared at once.
+BLOCK_ROWS = 512
 LETTER = np.zeros(256, bool)
 LETTER[65:91] = LETTER[97:123] = LETTER[128:] = True
 
@@ -71,12 +75,15 @@ def latent(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
 
 
 def votes(x: np.ndarray, known: np.ndarray, y: np.ndarray, neighbours: int, power: float) -> np.ndarray:
-    """Share of the nearest known vectors' labels, weighted by similarity."""
+    """Share of the nearest known vectors' labels, weighted by similarity; of equally near ones the first known come first."""
     k = min(neighbours, len(known))
     sim = x @ known.T
-    near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-    w = np.maximum(np.take_along_axis(sim, near, 1), 1e-3).astype(np.float64) ** power
-    return (w * y[near]).sum(1) / w.sum(1)
+    least = np.partition(sim, len(known) - k, axis=1)[:, len(known) - k, None]
+    near, level = sim > least, sim == least
+    near |= level & (np.cumsum(level, axis=1) <= k - near.sum(1, keepdims=True))
+    at = np.nonzero(near)[1].reshape(-1, k)
+    w = np.maximum(np.take_along_axis(sim, at, 1), 1e-3).astype(np.float64) ** power
+    return (w * y[at]).sum(1) / w.sum(1)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, train_rows: int = 4000, width: int = 48, neighbours: int = 9, power: float = 12.0) -> DataFrame:
@@ -85,7 +92,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     def spread(batches):
         total, n = np.zeros(TERMS, np.int64), 0
         for batch in batches:
-            for rows, data, offsets in slices(batch, "text", 1 << 20):
+            for rows, data, offsets in slices(batch, "text", 1 << 20, BLOCK_ROWS):
                 total += (term_counts(data, offsets) > 0).sum(0)
                 n += rows.num_rows
         yield pa.RecordBatch.from_arrays([pa.array(np.append(np.arange(TERMS), -1)), pa.array(np.append(total, n))], names=["k", "n"])
@@ -97,12 +104,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def vectors(batches):
         for batch in batches:
-            for rows, data, offsets in slices(batch, "text", 1 << 20):
+            for rows, data, offsets in slices(batch, "text", 1 << 20, BLOCK_ROWS):
                 x = weighted(term_counts(data, offsets), rarity).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary()), rows.column(1)], names=["x", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary()), rows.column(1), rows.column(2)], names=["x", "y", "th"])
 
     sample = staged(labelled_sample(docs, labels, id_col, text_col, label_col, train_rows), "quality-sample")
-    rows = sample.select("text", "y", "th").where("text <> ''").select("text", "y").mapInArrow(vectors, "x binary, y int").collect()
+    rows = sample.select("text", "y", "th").where("text <> ''").mapInArrow(vectors, "x binary, y int, th long").collect()
+    rows.sort(key=lambda r: r.th)  # one order, which also settles ties
     y = np.array([float(r.y) for r in rows])
     x = np.array([np.frombuffer(r.x, np.float16) for r in rows], np.float32) if rows else np.zeros((0, TERMS), np.float32)
     del rows
@@ -114,7 +122,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     def run(batches):
         for batch in batches:
-            for part, data, offsets in slices(batch, text_col, 1 << 20):
+            for part, data, offsets in slices(batch, text_col, 1 << 20, BLOCK_ROWS):
                 p = np.full(part.num_rows, prior)
                 if known is not None and len(data):
                     some = np.flatnonzero(np.diff(offsets) > 0)
