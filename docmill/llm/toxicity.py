@@ -7,10 +7,11 @@ channel costs and log probabilities under a character trigram model of the whole
 without such signs have one path and stay as they are.
 
 The classifier learns weights of restored words and word beginnings from a bounded sample of labelled rows, and a
-logistic curve over their sum.
+logistic curve over their sum. The lexicon holds every feature of that sample that tells, so its size is bounded by the
+sample's; whole texts, words of any length and all evidence count.
 
 Defined results: null and empty texts have no words and get the curve's value at 0; a text's score depends on it
-alone, so repeated rows agree; other columns pass through; without labels every score is 0; an empty table gives an
+alone, so repeated rows and ties agree; other columns pass through, whatever their names; without labels every score is 0; an empty table gives an
 empty result.
 """
 
@@ -191,14 +192,14 @@ def features(word: str) -> list[str]:
     return [word, *(word[:k] + "~" for k in (4, 5, 6) if len(word) > k)]
 
 
-def weigh(sample: DataFrame, decoder: Decoder, most: int, least: int) -> dict[str, float]:
-    """Log-odds weights of the features that tell most, `most` of them at most; ones seen in fewer than `least` positive texts teach nothing."""
+def weigh(sample: DataFrame, decoder: Decoder, least: int) -> dict[str, float]:
+    """Log-odds weights of all features that tell; what fewer than `least` positive texts hold is chance and teaches nothing."""
 
     def count(batches):
         for batch in batches:
             seen: dict[str, list[int]] = {}
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for f in {f for w in set(decoder.restored(text).split(" ")) if 2 <= len(w) <= 40 for f in features(w)}:
+                for f in {f for w in set(decoder.restored(text).split(" ")) if len(w) >= 2 for f in features(w)}:
                     seen.setdefault(f, [0, 0])[y] += 1
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], names=["f", "neg", "pos"])
 
@@ -208,7 +209,7 @@ def weigh(sample: DataFrame, decoder: Decoder, most: int, least: int) -> dict[st
         return {}
     counts = sample.select("text", "y").mapInArrow(count, "f string, neg long, pos long").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
     odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
-    told = counts.where(F.col("pos") >= least).withColumn("w", odds).where("w > 1.5").orderBy(F.desc(F.col("w") * F.sqrt("pos")), "f").limit(most).collect()
+    told = counts.where(F.col("pos") >= least).withColumn("w", odds).where("w > 1.5").select("f", "w").collect()
     return {r.f: r.w for r in told}
 
 
@@ -245,11 +246,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
     return float(a), max(0.0, float(b))
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, train_rows: int = 20_000, lexicon: int = 3000, keep_text: bool = True) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, train_rows: int = 20_000, least_texts: int = 5, keep_text: bool = True) -> DataFrame:
     """docs with a struct column toxicity: held_out, score, predicted, restored (the restored text, null without keep_text)."""
     decoder = Decoder(character_model(docs, text_col))
     sample = staged(labelled_sample(docs, labels, id_col, text_col, label_col, train_rows), "toxic-sample")
-    weights = weigh(sample, decoder, lexicon, 5)
+    weights = weigh(sample, decoder, least_texts)
     of = evidence(decoder, weights)
 
     def sums(batches):
@@ -257,7 +258,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             yield pa.RecordBatch.from_arrays([pa.array([of(t) for t in batch.column(0).to_pylist()], pa.float64()), batch.column(1)], names=["x", "y"])
 
     points = sample.select("text", "y").mapInArrow(sums, "x double, y int").collect() if weights else []
-    x, y = np.array([min(p.x, 20.0) for p in points]), np.array([float(p.y) for p in points])
+    x, y = np.array([p.x for p in points]), np.array([float(p.y) for p in points])
     a, b = logistic(x, y) if len(x) else (-math.inf, 0.0)
     name = free_name(docs, "toxicity")
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T._parse_datatype_string("held_out boolean, score double, predicted int, restored string"))])
@@ -266,7 +267,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     def run(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            z = np.clip(a + b * np.minimum([of(t) for t in texts], 20.0), -700, 700) if len(texts) else np.zeros(0)
+            z = np.clip(a + b * np.array([of(t) for t in texts]), -700, 700) if len(texts) else np.zeros(0)
             p = np.where(z <= -700, 0.0, 1 / (1 + np.exp(-z)))
             figures = pa.StructArray.from_arrays([batch.column(batch.num_columns - 1), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array([decoder.restored(t) for t in texts] if keep_text else [None] * len(texts), pa.string())], names=["held_out", "score", "predicted", "restored"])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], figures], names=[*batch.schema.names[:-1], name])
