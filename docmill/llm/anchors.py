@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import BASE, U, as_binary, grams, mixed, slices, sliding, word_hashes, word_spans
-from .common import free_name, small, staged, text_key
+from .common import free_name, joined_back, small, staged
 
 BLOCK_BYTES = 1 << 20
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
@@ -184,9 +184,10 @@ def merged(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
 
 def removed(docs: DataFrame, ranges: DataFrame, id_col: str, text_col: str, name: str, w: Windows, keep_text: bool) -> DataFrame:
     """docs with the struct column `name`: n_units, n_removed, n_spans, kept_sha256, spans, kept (null without keep_text)."""
-    per = ranges.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("r")).select(F.col("id").alias("__dm_id"), F.col("th").alias("__dm_th"), "r")
+    per = ranges.groupBy("id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("r"))
     inner, name = free_name(docs, "__dm_ranges"), free_name(docs, name)
-    joined = docs.join(per.withColumnRenamed("r", inner), F.col(id_col).eqNullSafe(F.col("__dm_id")) & (text_key(F.col(text_col)) == F.col("__dm_th")), "left").drop("__dm_id", "__dm_th")
+    d, f = joined_back(docs, per, id_col, text_col, "left")
+    joined = d.select(*[F.col(c) for c in docs.columns], F.col(f"{f}.r").alias(inner))
     out = T._parse_datatype_string(f"n_units long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<lo:int,hi:int>>, kept {'string' if w.words else 'binary'}")
     schema = T.StructType([*docs.schema.fields, T.StructField(name, out)])
     kind = pa.struct([("n_units", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))), ("kept", pa.string() if w.words else pa.binary())])

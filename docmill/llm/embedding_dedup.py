@@ -13,8 +13,9 @@ component, never their pairs.
 
 Defined results: null labels, null, empty or zero vectors and vectors with null, NaN or infinite components link with
 nothing; vectors of different lengths are not compared; repeated rows link with each other; rows with a null id take
-part, and name their component only if it has no other id; other columns pass through; an empty table gives an empty
-result.
+part, and name their component only if it has no other id; other columns pass through, whatever their names; an empty
+table gives an empty result. Links are counted one by one, as the result asks for their number, so a label of n vectors
+that are all near each other costs n * n products, in blocks; its links are never rows.
 """
 
 from __future__ import annotations
@@ -133,7 +134,8 @@ def near_vectors(
     named = components(pairs.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     member = classes.select("cid", "id", "copies").join(counted, "cid", "left").join(named, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
     least = member.groupBy("component").agg(F.min("id").alias("least"))
-    member = member.join(least, "component").select(F.col("cid").alias("__dm_cid"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("__dm_n"), F.col("least").alias("__dm_least"))
-    component = F.coalesce("__dm_least", F.col(id_col))
-    figures = F.struct(F.coalesce("__dm_n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col(id_col).eqNullSafe(component).alias("kept"))
-    return vectors.join(member, key == F.col("__dm_cid"), "left").select(*[F.col(c) for c in vectors.columns], figures.alias(free_name(vectors, "near_vec")))
+    f = free_name(vectors, "__dm_figures")
+    member = member.join(least, "component").select(F.struct("cid", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), "least").alias(f))
+    component = F.coalesce(F.col(f"{f}.least"), F.col(id_col))
+    figures = F.struct(F.coalesce(F.col(f"{f}.n"), F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col(id_col).eqNullSafe(component).alias("kept"))
+    return vectors.join(member, key == F.col(f"{f}.cid"), "left").select(*[F.col(c) for c in vectors.columns], figures.alias(free_name(vectors, "near_vec")))
