@@ -19,11 +19,19 @@ w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][((row_number() OVER (ORDER BY source NUL
 v AS (SELECT *, ((SELECT sum(source_size) FROM s)::DOUBLE - (sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING) - cap))
   / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (SELECT source, source_size, least(cap, (SELECT max(level) FROM v) * weight) AS target FROM v),
-r AS (SELECT *, CASE WHEN source_size > 0 THEN round(target / source_size, 12) ELSE 0 END AS rate FROM t),
-n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, substr(h, 1, 2), h, doc_id) AS n FROM d)
-SELECT doc_id, size, r.source_size, r.target,
-  (least(3, floor(rate * n + 0.4142) - floor(rate * (n - 1) + 0.4142)) * size)::BIGINT AS taken
-FROM n JOIN r ON n.source IS NOT DISTINCT FROM r.source"""
+m AS (SELECT source, size, count(*) AS m FROM d WHERE size > 0 GROUP BY ALL),
+a AS (SELECT source, sum(size * m)::DOUBLE / sum(m) AS mean, min(size) AS least_size, list({'s': size::DOUBLE, 'm': m::DOUBLE}) AS cells FROM m GROUP BY source),
+f AS (SELECT t.source, mean, cells, target, (CASE WHEN target < source_size THEN ln(target / source_size) ELSE ln(3.0) END) / (least_size / (least_size + mean)) AS far
+  FROM t JOIN a ON t.source IS NOT DISTINCT FROM a.source WHERE target > 0 AND target < source_size * 3.0 * (1 - 1e-12)),
+q AS (SELECT source, list_reduce(list_prepend({'low': least(far, 0.0), 'high': greatest(far, 0.0)}, list_transform(range(120), lambda i: {'low': 0.0::DOUBLE, 'high': 0.0::DOUBLE})),
+    lambda x, i: CASE WHEN list_sum(list_transform(cells, lambda c: c.m * c.s * least(3.0, exp((x.low + x.high) / 2 * (c.s / (c.s + mean)))))) < target
+      THEN {'low': (x.low + x.high) / 2, 'high': x.high} ELSE {'low': x.low, 'high': (x.low + x.high) / 2} END) AS b FROM f),
+r AS (SELECT t.*, mean, (b.low + b.high) / 2 AS tau FROM t LEFT JOIN a ON t.source IS NOT DISTINCT FROM a.source LEFT JOIN q ON t.source IS NOT DISTINCT FROM q.source),
+n AS (SELECT d.*, r.source_size, r.target, CASE WHEN size = 0 THEN 0 ELSE round(coalesce(least(3.0, exp(tau * (size / (size + mean)))), CASE WHEN target > 0 THEN 3.0 ELSE 0.0 END) * 1000000) END::BIGINT AS rate
+  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+k AS (SELECT *, sum(rate) OVER (PARTITION BY source ORDER BY size, substr(h, 1, 2), h, doc_id ROWS UNBOUNDED PRECEDING)::BIGINT + 414200 AS summed FROM n)
+SELECT doc_id, size, source_size, target, ((summed // 1000000 - (summed - rate) // 1000000) * size)::BIGINT AS taken
+FROM k"""
 
 OP5 = rf"""
 WITH i AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
