@@ -19,7 +19,7 @@ context. What a shard returns of a block is one figure for each document that oc
 token are bounded at any number of shards. Blocks are named by partition and number, not by content.
 
 Words with more than a quarter of a shard's share of all tokens are split over the shards by context; their counts, at
-most four for each shard of 8 MB of text, come from the unigram table and are broadcast. One pair of words is never
+most four for each shard of 6 MB of text, come from the unigram table and are broadcast. One pair of words is never
 split: all that a document adds to it is two bytes.
 
 Words and contexts are known by hashes: words by 64 bits, v within its word by 40, u within its pair by 32.
@@ -47,11 +47,11 @@ from .blocks import TO_LOWER, U, mixed, slices, word_hashes, word_spans
 from .common import free_name, joined_back, staged, text_key
 
 END, START = U(0x51ED270B7A2F9C41), U(0x2D358DCCAA6C78A5)
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 V_BITS, U_BITS = 40, 32
 STEPS = 65535
 #: So many (document, triple) entries are looked up at once.
-STREAM_REFS = 500_000
+STREAM_REFS = 250_000
 
 
 class EliasFano:
@@ -341,7 +341,7 @@ def streamed(block: Block, trie: Trie, unknown_base: float, prior: float) -> tup
     return docs, add((word >= 0)[word_of_ref]), add(base[word_of_ref]), add(score[of])
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, back: float = 0.01, prior: float = 3.0, shard_bytes: int = 8 << 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, back: float = 0.01, prior: float = 3.0, shard_bytes: int = 6 << 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with a struct column lm: held_out, n_tokens, n_known, train_tokens, base_score, score."""
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 0
     texts = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("th"), F.col(text_col).alias("text"), held.alias("held"))
@@ -391,7 +391,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 v &= U((1 << V_BITS) - 1)
                 last = (u & U((1 << U_BITS) - 1)) << U(32) | place[text].astype(U)
                 del u, text
-                order = np.lexsort((last, v, word, shard))
+                order = np.lexsort((last, v, word))
+                order = order[np.argsort(shard[order].astype(np.uint16 if shards <= 65536 else np.int32), kind="stable")]
                 shard, word, v, last = shard[order], word[order], v[order], last[order]
                 del order
                 ref = run_starts(shard, word, v, last)
@@ -406,6 +407,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 n_pairs = np.diff(np.append(first, len(pair)))
                 edges = np.arange(shards + 1)
                 cuts = [np.searchsorted(x, edges) for x in (shard, shard[triple], shard[triple[pair]], shard[triple[pair[first]]])]
+                del shard, last
                 name = f"{TaskContext.get().partitionId()}/{number}/{zlib.crc32(rows.column(1).to_numpy().tobytes())}"
                 number += 1
                 same = {"block": name, "n_docs": n_docs, "n_train": n_train}
