@@ -234,6 +234,8 @@ def char_grams(c: Column, least: int = 2, most: int = 20) -> Column:
 
 
 def highlighted(c: Column, term: str, size: int = 200, most: int = 3) -> Column:
-    """Up to three fragments around a term, marked."""
-    at = F.regexp_extract_all(c, F.lit(f"(?is).{{0,{size // 2}}}\\b{term}\\b.{{0,{size // 2}}}"), F.lit(0))
-    return F.transform(F.slice(at, 1, most), lambda x: F.regexp_replace(x, f"(?i)\\b({term})\\b", "<em>$1</em>"))
+    """Up to three fragments of `size` characters at most around a term, marked; the term is taken as it is written."""
+    literal = "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    side, apart = max(1, (size - len(term)) // 2 - 1), "[^\\p{L}\\p{N}_]"
+    found = F.regexp_extract_all(c, F.lit(f"(?is)(?:\\A|.{{0,{side}}}{apart}){literal}(?:\\z|{apart}.{{0,{side}}})"), F.lit(0))
+    return F.transform(F.slice(found, 1, most), lambda x: F.regexp_replace(x, f"(?i)(\\A|{apart})({literal})(?=\\z|{apart})", "$1<em>$2</em>"))

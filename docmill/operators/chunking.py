@@ -14,13 +14,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .filters import SECTION_NOISE
+
 SCHEMA = "document_id string, chunk_index int, chunk_id string, content string, start_char int, end_char int, token_count int, heading string, block_type string"
 MARK = "\x01"
 HEADING = re.compile(r"(?m)^#{1,6}\s+(.+)$")
 FENCE = re.compile(r"```.*?```", re.S)
 ROWS = re.compile(r"(?m)(?:^\|.+\|$\n?)+")
 ENDS = re.compile(r"(?<=[.!?])\s+|(?<=\n)\n|(?<=\n)(?=#{1,6}\s)")
-NOISE = re.compile(r"-{3,}|={3,}|```\w*|\*{3,}|_{3,}|<!--.*?-->")
+NOISE = [re.compile(p) for p in SECTION_NOISE]
 
 
 @dataclass(frozen=True)
@@ -162,7 +164,7 @@ def document_chunks(text: str, s: Sizes) -> list[Piece]:
     out, offset = [], 0
     for title, body in parts:
         clean = body.strip()
-        if clean and not NOISE.fullmatch(clean) and len(clean) >= s.least:
+        if clean and not any(p.search(clean) for p in NOISE) and len(clean) >= s.least:
             shifted = [replace(p, heading=title, start=p.start + offset, end=p.end + offset) for p in pieces(clean, s)]
             out += merge_small(shifted, s)
         offset += len(body)

@@ -40,12 +40,19 @@ def validated(samples: DataFrame, least: float = 0.7) -> DataFrame:
     return d.withColumns({"is_valid": ok, "feedback": F.coalesce(F.nullif(F.concat_ws("; ", low("faithfulness", "faithfulness"), low("relevance", "relevance")), F.lit("")), F.lit("passed"))})
 
 
-def rank_precision(verdicts: DataFrame) -> DataFrame:
-    """(query_id, rank, relevant) to the mean of precision at the relevant ranks, and the relevant share."""
-    w = W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)
-    hit = F.col("relevant").cast("int")
-    p = verdicts.withColumn("p", F.sum(hit).over(w) / F.count("*").over(w))
-    return p.groupBy("query_id").agg(F.round(F.coalesce(F.avg(F.when(F.col("relevant"), F.col("p"))), F.lit(0.0)), 6).alias("average_precision"), F.round(F.avg(hit), 6).alias("supported_share"))
+def rank_precision(verdicts: DataFrame, span: int = 1024) -> DataFrame:
+    """(query_id, rank, relevant) to the mean of precision at the relevant ranks, and the relevant share.
+
+    Running sums are taken over spans of ranks, then within them, so a long list is never in one task.
+    """
+    v = verdicts.select("query_id", "rank", "relevant", F.floor(F.col("rank") / span).alias("span"), F.col("relevant").cast("int").alias("hit"))
+    sums = v.groupBy("query_id", "span").agg(F.sum("hit").alias("h"), F.count("*").alias("c"))
+    before = W.partitionBy("query_id").orderBy("span").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(F.col("query_id").alias("q"), F.col("span").alias("s"), F.coalesce(F.sum("h").over(before), F.lit(0)).alias("h0"), F.coalesce(F.sum("c").over(before), F.lit(0)).alias("c0"))
+    w = W.partitionBy("query_id", "span").orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)
+    p = v.withColumns({"h": F.sum("hit").over(w), "c": F.count("*").over(w)}).join(sums, F.col("query_id").eqNullSafe(F.col("q")) & (F.col("span") == F.col("s")))
+    p = p.withColumn("p", (F.col("h") + F.col("h0")) / (F.col("c") + F.col("c0")))
+    return p.groupBy("query_id").agg(F.round(F.coalesce(F.avg(F.when(F.col("relevant"), F.col("p"))), F.lit(0.0)), 6).alias("average_precision"), F.round(F.avg("hit"), 6).alias("supported_share"))
 
 
 def evaluation_samples(answers: DataFrame, results: DataFrame, most: int = 5) -> DataFrame:

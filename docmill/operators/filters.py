@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from docmill.functions.text import any_of
 
+from .storage import small
+
 # Shapes of chunks and of sections that say nothing.
 CHUNK_NOISE = ["^[-=*_]{3,}$", "^```[A-Za-z0-9_]*$", "^#+\\s*$", "^\\|[-:\\s|]+\\|$", "^>\\s*$", "^\\s*\\[\\^?[0-9]+\\]:\\s*$"]
-SECTION_NOISE = ["^-{3,}$", "^={3,}$", "^```[A-Za-z0-9_]*$", "^\\*{3,}$", "^_{3,}$", "^\\s*<!--.*-->\\s*$"]
+SECTION_NOISE = ["^-{3,}$", "^={3,}$", "^```\\w*$", "^\\*{3,}$", "^_{3,}$", "^\\s*<!--.*?-->\\s*$"]
 GLYPHS = "[■□★☆●○◆◇△▽▷◁▶◀♠♣♥♦]"
 BROKEN = "[\\ufff0-\\uffff\\x00-\\x08\\x0e-\\x1f]{3,}"
 
@@ -59,7 +61,7 @@ def reject_reason(content: Column, tokens: Column, block_type: Column) -> Column
 def real_sections(df: DataFrame, column: str, least: int) -> DataFrame:
     """Sections that are not one noise mark and are long enough."""
     text = F.trim(F.col(column))
-    return df.where(~any_of([text.rlike(p) for p in SECTION_NOISE]) & (F.length(text) >= least))
+    return df.where(~any_of([text.rlike("(?U)" + p) for p in SECTION_NOISE]) & (F.length(text) >= least))
 
 
 def above_cutoff(df: DataFrame, least: float, score: str = "score") -> tuple[DataFrame, DataFrame]:
@@ -110,15 +112,23 @@ def requeued(df: DataFrame, status: str = "status") -> DataFrame:
     return df.where(F.col(status).isin("failed", "completed")).withColumn(status, F.lit("queued"))
 
 
+def priority(suffix: Column, fast: dict[str, int]) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in fast.items() for x in kv]), suffix), F.lit(99))
+
+
 def work_order(df: DataFrame, suffix: str, size: str, key: str, fast: dict[str, int]) -> DataFrame:
     """Cheap formats first, then small files."""
-    rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in fast.items() for x in kv]), F.col(suffix)), F.lit(99))
-    return df.orderBy(rank, size, key)
+    return df.orderBy(priority(F.col(suffix), fast), size, key)
+
+
+def work_rank(df: DataFrame, suffix: str, size: str, key: str, fast: dict[str, int]) -> DataFrame:
+    """Each row's place in that order, from 1, as a column."""
+    return global_rank(df, F.struct(priority(F.col(suffix), fast), F.col(size)), key)
 
 
 def admission(df: DataFrame, limits: DataFrame, least_bytes: int = 1) -> DataFrame:
     """With the reason for which a file is not admitted; limits: (format, max_bytes), one row per format."""
-    j = df.join(F.broadcast(limits), "format", "left")
+    j = df.join(small(limits), "format", "left")
     size = F.col("size")
     return j.withColumn("reason", F.when(F.col("max_bytes").isNull(), "unsupported").when(F.coalesce(size, F.lit(0)) == 0, "empty").when(size < least_bytes, "too_small").when(size > F.col("max_bytes"), "too_large")).drop("max_bytes")
 
@@ -127,13 +137,20 @@ def numbered(df: DataFrame, partition: list[str], order: list, name: str = "rank
     return df.withColumn(name, F.row_number().over(W.partitionBy(*partition).orderBy(*order)))
 
 
+def key_range(df: DataFrame, key: str) -> Column:
+    """A coarse value in the order of key: ranges of numbers, the first four characters of text."""
+    kind = df.schema[key].dataType.simpleString()
+    return F.substring(key, 1, 4) if kind == "string" else F.floor(F.col(key) / 65536)
+
+
 def global_rank(df: DataFrame, by: Column, key: str, name: str = "rank") -> DataFrame:
-    """Rank from 1 over all rows by a column of few values, then a unique key: counts per value, then ranks within it.
+    """Rank from 1 over all rows by a column, then a unique key: counts per value and range of keys, then ranks within those.
 
-    Only the counts of the values meet in one task, never the rows.
+    Only such counts meet in one task, never the rows, so a value that a third of all rows have is no hot group.
     """
-    d = df.withColumn("__v", by)
-    counts = d.groupBy("__v").agg(F.count("*").alias("__n"))
-    skip = counts.select(F.col("__v").alias("__w"), (F.sum("__n").over(W.orderBy("__v").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__skip"))
-    within = F.row_number().over(W.partitionBy("__v").orderBy(key))
-    return d.withColumn("__r", within).join(skip, F.col("__v") == F.col("__w")).withColumn(name, F.col("__skip") + F.col("__r")).drop("__v", "__w", "__skip", "__r")
+    d = df.withColumns({"__v": by, "__b": key_range(df, key)})
+    counts = d.groupBy("__v", "__b").agg(F.count("*").alias("__n"))
+    skip = counts.select(F.col("__v").alias("__w"), F.col("__b").alias("__c"), (F.sum("__n").over(W.orderBy("__v", "__b").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__skip"))
+    within = F.row_number().over(W.partitionBy("__v", "__b").orderBy(key))
+    joined = d.withColumn("__r", within).join(skip, F.col("__v").eqNullSafe(F.col("__w")) & (F.col("__b") == F.col("__c")))
+    return joined.withColumn(name, F.col("__skip") + F.col("__r")).drop("__v", "__w", "__b", "__c", "__skip", "__r")

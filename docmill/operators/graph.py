@@ -92,16 +92,26 @@ def name_matches(words: DataFrame, names: DataFrame, partial: int = 15, most: in
     Candidates come from an equi-join on the words' first grams; only these are compared, so dictionaries of any size
     are never crossed with the words. Words shorter than a gram only match whole names.
     """
+    from .storage import staged
+
     low = names.select("name", F.lower("name").alias("low"))
     grams = low.select("name", "low", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("low") - gram + 1)), lambda i: F.substr("low", i, F.lit(gram))))).alias("g"))
-    w = words.select("query_id", F.lower("word").alias("word")).distinct()
-    exact = w.join(low, F.col("word") == F.col("low")).select("query_id", "name", F.lit(0).alias("kind"))
-    part = w.where(F.length("word") >= gram).join(grams, F.substring("word", 1, gram) == F.col("g")).where(F.contains("low", "word")).select("query_id", "name", F.lit(1).alias("kind"))
-    best = exact.unionByName(part).groupBy("query_id", "name").agg(F.min("kind").alias("kind"))
+    w = staged(words.select("query_id", F.lower("word").alias("word")).distinct(), "query-words")
+    each = w.select("word").distinct()  # a word that many queries share is looked up once
+    exact = each.join(low, F.col("word") == F.col("low")).select("word", "name", F.lit(0).alias("kind"))
+    part = each.where(F.length("word") >= gram).join(grams, F.substring("word", 1, gram) == F.col("g")).where(F.contains("low", "word") & (F.col("low") != F.col("word"))).select("word", "name", F.lit(1).alias("kind"))
+    best = w.join(exact.unionByName(part), "word").groupBy("query_id", "name").agg(F.min("kind").alias("kind"))
     r = best.withColumn("r", F.row_number().over(W.partitionBy("query_id", "kind").orderBy("name"))).where((F.col("kind") == 0) | (F.col("r") <= partial))
     return r.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("kind", "name"))).where(F.col("r") <= most)
 
 
+def looked_up(wanted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """For each row of wanted (wanted, ...) the nodes of that id or that name: two equi-joins, not one with an "or"."""
+    by_id = wanted.join(nodes, F.col("wanted") == F.col("id"))
+    by_name = wanted.join(nodes.where(F.col("name") != F.col("id")), F.col("wanted") == F.col("name"))
+    return by_id.unionByName(by_name)
+
+
 def orphans(nodes: DataFrame, edges: DataFrame, incoming: str | None = None) -> DataFrame:
     """Nodes without edges, or without incoming edges of a type."""
     ends = undirected(edges).select(F.col("node").alias("id")) if incoming is None else edges.where(F.col("rel_type") == incoming).select(F.col("dst").alias("id"))

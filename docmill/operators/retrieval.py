@@ -1,19 +1,25 @@
-"""Retrieval for a whole table of queries: dense, BM25, fuzzy, sparse and graph-expanded channels."""
+"""Retrieval for a whole table of queries: dense, BM25, fuzzy, sparse and graph-expanded channels, alone and as hybrid search."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from docmill.functions import text as tx
 from docmill.functions.text import tokens
 
-#: A table of query terms or vectors below this many rows is broadcast; any larger one is shuffled.
-SMALL_ROWS = 100_000
-
+from . import fusion as fu, graph as gr
+from .storage import SMALL_ROWS, small, staged  # noqa: F401
 
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: Vectors of queries are held by tasks in blocks of so many bytes.
+BLOCK_BYTES = 32 << 20
 
 
 def top(df: DataFrame, k: int, partition: list[str], key: str, score: str = "score") -> DataFrame:
@@ -22,90 +28,221 @@ def top(df: DataFrame, k: int, partition: list[str], key: str, score: str = "sco
     return df.withColumn("rank", r).where(F.col("rank") <= k)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def as_matrix(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten().cast(pa.float64())).reshape(len(column), -1)
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
+def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10, digits: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """H1: (query_id, vector) against unit (chunk_id, vector): the k best by cosine, scored (1 + cosine) / 2.
 
-    Exact: every query meets every vector, queries being a stated set; the query side is broadcast behind a size check,
-    and only k rows of each query and partition are shuffled.
+    Exact: every query, a stated set, meets every vector as a matrix product per batch; queries are held in blocks of
+    bounded bytes, and only k rows of each query and partition are shuffled. A pre-filter is a filter of vectors. Null
+    vectors and those of another length than the queries' find nothing and are not found. With digits, scores are
+    rounded before they are ranked.
     """
-    q = queries.select("query_id", F.col("vector").alias("qv"))
-    pairs = vectors.join(small(q), F.lit(True))
-    return top(pairs.select("query_id", "chunk_id", ((1 + dot(F.col("qv"), F.col("vector"))) / 2).alias("score")), k, ["query_id"], "chunk_id")
+    q = queries.where(F.size("vector") > 0).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    n, width = q.agg(F.count("*"), F.max(F.size("vector"))).first()
+    schema = T.StructType([queries.schema["query_id"], vectors.schema["chunk_id"], T.StructField("score", T.DoubleType())])
+    out = queries.sparkSession.createDataFrame([], schema)
+    blocks = -(-n * (width or 0) * 8 // block_bytes)
+    for b in range(blocks):
+        rows = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).where(F.size("vector") == width).collect()
+        if rows:
+            part = vectors.where(F.size("vector") == width).select("chunk_id", "vector").mapInArrow(best_of(rows, k, digits, schema), schema)
+            out = part if b == 0 else out.unionByName(part)
+    return top(out, k, ["query_id"], "chunk_id")
+
+
+def best_of(rows: list, k: int, digits: int | None, schema: T.StructType) -> Callable:
+    """For each query of a block its k best vectors of a partition, lower ids first among equal scores."""
+    ids, matrix = [r.query_id for r in rows], np.array([r.vector for r in rows]).T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept_score, kept_id = np.zeros((matrix.shape[1], 0)), None
+        for batch in batches:
+            if batch.num_rows:
+                score = (1 + as_matrix(batch.column(1)) @ matrix).T / 2
+                score = score if digits is None else np.round(score, digits)
+                id_ = batch.column(0).to_numpy(zero_copy_only=False)
+                both = np.concatenate([kept_score, score], 1)
+                all_ids = np.broadcast_to(id_, score.shape) if kept_id is None else np.concatenate([kept_id, np.broadcast_to(id_, score.shape)], 1)
+                order = np.lexsort((all_ids, -both), axis=1)[:, :k] if both.shape[1] else np.zeros((len(both), 0), int)
+                kept_score, kept_id = np.take_along_axis(both, order, 1), np.take_along_axis(all_ids, order, 1)
+        if kept_id is not None:
+            per = kept_id.shape[1]
+            names = pa.array([i for i in ids for _ in range(per)])
+            yield pa.RecordBatch.from_arrays([names, pa.array(kept_id.ravel()), pa.array(kept_score.ravel())], names=schema.names)
+
+    return run
+
+
+@dataclass
+class TextIndex:
+    """Postings (chunk_id, field, term, len, tf), document frequencies (field, term, df) and (field, n_docs, avg_len)."""
+
+    postings: DataFrame
+    frequencies: DataFrame
+    statistics: DataFrame
 
 
 def postings(docs: DataFrame, fields: list[str], key: str = "chunk_id") -> DataFrame:
-    """(chunk_id, field, term, tf, len): how often each term stands in each field."""
+    """(chunk_id, field, term, len, tf): how often each term stands in each field. Texts are dealt by key before they are cut."""
     one = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("t")) for f in fields]))
-    t = docs.select(key, one.alias("x")).select(key, "x.field", F.size("x.t").alias("len"), F.explode("x.t").alias("term"))
+    t = docs.select(key, *fields).repartition(key).select(key, one.alias("x")).select(key, "x.field", F.size("x.t").alias("len"), F.explode("x.t").alias("term"))
     return t.groupBy(key, "field", "term", "len").agg(F.count("*").alias("tf"))
 
 
-def field_statistics(docs: DataFrame, fields: list[str]) -> DataFrame:
-    """(field, n_docs, avg_len) over the documents that have the field."""
-    lengths = [F.struct(F.lit(f).alias("field"), F.size(tokens(F.coalesce(F.col(f), F.lit("")))).alias("len")) for f in fields]
-    s = docs.select(F.explode(F.array(*lengths)).alias("x")).select("x.*").where("len > 0")
-    return s.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+def text_index(docs: DataFrame, fields: list[str]) -> TextIndex:
+    """What BM25 needs of the documents, each text cut into terms once; fields without terms do not count."""
+    p = staged(postings(docs, fields), "postings")
+    statistics = p.groupBy("chunk_id", "field").agg(F.first("len").alias("len")).groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    return TextIndex(p, staged(p.groupBy("field", "term").agg(F.count("*").alias("df")), "frequencies"), staged(statistics, "statistics"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
 
 
-def bm25(terms: DataFrame, posts: DataFrame, stats: DataFrame, boosts: dict[str, float], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(terms: DataFrame, index: TextIndex, boosts: dict[str, float], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """H2: (query_id, chunk_id, score), the best field's BM25 with boosts; terms are (query_id, term[, weight])."""
-    hits = posts.join(small(terms), "term")
-    df = posts.join(small(terms.select("term").distinct()), "term", "left_semi").groupBy("field", "term").agg(F.count("*").alias("df"))
-    j = hits.join(F.broadcast(stats), "field").join(df, ["field", "term"])
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    if "weight" in terms.columns:
-        gain = gain * F.col("weight")
+    fields = F.col("field").isin(list(boosts))
+    t = terms.join(index.frequencies.where(fields), "term").join(F.broadcast(index.statistics), "field")  # one row for each field
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (F.col("weight") if "weight" in terms.columns else 1.0)
+    t = staged(t.select("query_id", "term", "field", idf.alias("idf"), "avg_len"), "query-terms")
+    gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     boost = F.element_at(F.create_map(*[F.lit(x) for kv in boosts.items() for x in kv]), F.col("field"))
-    per = j.groupBy("query_id", "chunk_id", "field").agg(F.sum(gain).alias("s")).withColumn("s", F.col("s") * boost)
-    return per.groupBy("query_id", "chunk_id").agg(F.max("s").alias("score"))
+    per = index.postings.where(fields).join(small(t), ["term", "field"]).groupBy("query_id", "chunk_id", "field").agg(F.sum(gain).alias("s"))
+    return per.groupBy("query_id", "chunk_id").agg(F.max(F.col("s") * boost).alias("score"))
+
+
+def rounded(scores: DataFrame, digits: int | None) -> DataFrame:
+    return scores if digits is None else scores.withColumn("score", F.round("score", digits))
+
+
+def keyword_search(queries: DataFrame, docs: DataFrame | TextIndex, boosts: dict[str, float], k: int = 10, digits: int | None = None) -> DataFrame:
+    index = docs if isinstance(docs, TextIndex) else text_index(docs, list(boosts))
+    return top(rounded(bm25(query_terms(queries), index, boosts), digits), k, ["query_id"], "chunk_id")
 
 
-def keyword_search(queries: DataFrame, docs: DataFrame, boosts: dict[str, float], k: int = 10) -> DataFrame:
-    fields = list(boosts)
-    return top(bm25(query_terms(queries), postings(docs, fields), field_statistics(docs, fields), boosts), k, ["query_id"], "chunk_id")
+def pieces(word: Column, length: Column, edits: Column, shifts: bool) -> Column:
+    """The edits + 1 parts of a word of that length, each (part number, text), also shifted by up to edits places."""
+    start = lambda j: F.floor(j * length / (edits + 1)).cast("int")
+    move = F.sequence(-edits, edits) if shifts else F.array(F.lit(0))
+    one = lambda j: F.transform(move, lambda s: F.struct(j.alias("j"), F.substr(word, F.greatest(F.lit(0), start(j) + s) + 1, start(j + 1) - start(j)).alias("piece")))
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), edits), one)))
+
+
+def allowed_edits(length: Column) -> Column:
+    return F.when(length < 3, 0).when(length <= 5, 1).otherwise(2)
 
 
 def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """H3: (query_id, term, word) within 0, 1 or 2 edits by the term's length; candidates share the first letter and nearly the length."""
-    edits = F.when(F.length("term") < 3, 0).when(F.length("term") <= 5, 1).otherwise(2)
-    t = terms.withColumns({"edits": edits, "lead": F.substring("term", 1, 1)}).withColumn("size", F.explode(F.sequence(F.length("term") - F.col("edits"), F.length("term") + F.col("edits"))))
-    v = vocabulary.select(F.col("term").alias("word")).distinct().withColumns({"lead": F.substring("word", 1, 1), "size": F.length("word")})
-    return t.join(v, ["lead", "size"]).where(F.levenshtein("term", "word") <= F.col("edits")).select("query_id", "term", "word").distinct()
+    """H3: (query_id, term, word) with the same first letter, within 0, 1 or 2 edits by the term's length.
+
+    A word within e edits keeps one of the term's e + 1 parts, at most e places away; candidates meet on those parts.
+    """
+    t = terms.select("term").distinct().withColumn("size", F.length("term")).withColumn("edits", allowed_edits(F.col("size")))
+    t = t.select("term", "edits", F.substring("term", 1, 1).alias("lead"), "size", F.explode(pieces(F.col("term"), F.col("size"), F.col("edits"), False)).alias("p")).select("term", "edits", "lead", "size", "p.*")
+    v = vocabulary.select(F.col("term").alias("word")).distinct().where(F.length("word") > 0)
+    near = F.sequence(F.greatest(F.lit(1), F.length("word") - 2), F.length("word") + 2)
+    v = v.select("word", F.substring("word", 1, 1).alias("lead"), F.explode(near).alias("size")).withColumn("e", allowed_edits(F.col("size"))).where(F.abs(F.col("size") - F.length("word")) <= F.col("e"))
+    v = v.select("word", "lead", "size", F.explode(pieces(F.col("word"), F.col("size"), F.col("e"), True)).alias("p")).select("word", "lead", "size", "p.*")
+    pairs = t.join(v, ["lead", "size", "j", "piece"]).select("term", "word", "edits").distinct().where(F.levenshtein("term", "word") <= F.col("edits"))
+    return terms.select("query_id", "term").distinct().join(pairs.select("term", "word"), "term").select("query_id", "term", "word")
+
 
+def sparse_weights(index: TextIndex, field: str, n_docs: int, least: float = 0.01, most: int = 50, digits: int = 6) -> DataFrame:
+    """(chunk_id, token, weight): tf * idf of the heaviest tokens of each document."""
+    w = index.postings.where(F.col("field") == field).join(index.frequencies.where(F.col("field") == field).drop("field"), "term")
+    w = w.select("chunk_id", F.col("term").alias("token"), F.round(F.col("tf") / F.col("len") * F.log(F.lit(n_docs) / F.col("df")), digits).alias("weight"))
+    return top(w.where(F.col("weight") >= least), most, ["chunk_id"], "token", "weight").drop("rank")
 
-def sparse_search(queries: DataFrame, weights: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
+
+def sparse_search(queries: DataFrame, weights: DataFrame, candidates: DataFrame, k: int = 10, digits: int | None = None) -> DataFrame:
     """H4: dot products of (query_id, token, weight) with (chunk_id, token, weight) over candidate (query_id, chunk_id)."""
     q = queries.select("query_id", "token", F.col("weight").alias("qw"))
-    s = weights.join(small(q), "token").join(candidates.distinct(), ["query_id", "chunk_id"], "left_semi")
-    return top(s.groupBy("query_id", "chunk_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score")).where("score > 0"), k, ["query_id"], "chunk_id")
+    # Candidates are few for each query: they meet the weights of their own chunks, then their query's tokens.
+    s = weights.join(small(candidates.select("query_id", "chunk_id").distinct()), "chunk_id").join(small(q), ["query_id", "token"])
+    s = rounded(s.groupBy("query_id", "chunk_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score")), digits)
+    return top(s.where("score > 0"), k, ["query_id"], "chunk_id")
+
+
+def graph_names(queries: DataFrame, mentions: DataFrame, edges: DataFrame | None = None, gram: int = 2) -> DataFrame:
+    """(query_id, name, r), names that a query's words match, then their nearest neighbours.
+
+    mentions: (document_id, name); edges (src, dst, rel_type, weight) between names, else names of one document are tied.
+    """
+    m = mentions.where(~tx.is_junk_name(F.col("name")))
+    words = queries.select("query_id", F.explode(tx.query_words(F.col("query"))).alias("word"))
+    nodes = staged(m.select(F.col("name").alias("id"), "name").distinct(), "names")
+    seeds = staged(gr.name_matches(words, nodes.select("name"), gram=gram).select("query_id", F.col("name").alias("id")), "seeds")
+    if edges is None:
+        edges = gr.cooccurrences(m).groupBy(F.col("name1").alias("src"), F.col("name2").alias("dst")).agg(F.count("*").cast("double").alias("weight")).withColumn("rel_type", F.lit("RELATED_TO"))
+    e = gr.expanded_names(seeds, nodes, edges)
+    return e.select("query_id", "name", F.row_number().over(W.partitionBy("query_id").orderBy("hop", "name")).alias("r"))
 
 
-def graph_scores(queries: DataFrame, names: DataFrame, docs: DataFrame, boosts: dict[str, float], field: str, boost: float = 1.5, most_names: int = 10) -> DataFrame:
+def graph_scores(queries: DataFrame, names: DataFrame, docs: DataFrame | TextIndex, boosts: dict[str, float], field: str, boost: float = 1.5, most_names: int = 10) -> DataFrame:
     """H5: keyword scores plus 1.5 times the score in a field of each expanded name (query_id, name, r), for the texts that match the query.
 
     Queries without a name find nothing. docs holds the rows that the query may see, so filters hold here as in the
     other channels.
     """
-    posts, stats = postings(docs, list(boosts)), field_statistics(docs, list(boosts))
-    first = names.where(F.col("r") <= most_names).select("query_id", "name")
-    base = bm25(query_terms(queries.join(first, "query_id", "left_semi")), posts, stats, boosts)
+    index = docs if isinstance(docs, TextIndex) else text_index(docs, list(boosts))
+    first = staged(names.where(F.col("r") <= most_names).select("query_id", "name"), "query-names")
+    base = bm25(query_terms(queries.join(first, "query_id", "left_semi")), index, boosts)
     # Each name is a clause of its own, so a term counts once for each name that holds it.
     extra = first.select("query_id", F.explode(F.array_distinct(tokens(F.col("name")))).alias("term")).groupBy("query_id", "term").agg((F.count("*") * boost).alias("weight"))
-    more = bm25(extra, posts.where(F.col("field") == field), stats.where(F.col("field") == field), {field: 1.0}).withColumnRenamed("score", "more")
+    more = bm25(extra, index, {field: 1.0}).withColumnRenamed("score", "more")
     return base.join(more, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
 
 
-def graph_search(queries: DataFrame, names: DataFrame, docs: DataFrame, boosts: dict[str, float], field: str, k: int = 10) -> DataFrame:
-    return top(graph_scores(queries, names, docs, boosts, field), k, ["query_id"], "chunk_id")
+def graph_search(queries: DataFrame, names: DataFrame, docs: DataFrame | TextIndex, boosts: dict[str, float], field: str, k: int = 10, digits: int | None = None) -> DataFrame:
+    return top(rounded(graph_scores(queries, names, docs, boosts, field), digits), k, ["query_id"], "chunk_id")
+
+
+CHANNELS = ("vector", "keyword", "sparse", "graph")
+
+
+def search_channels(
+    queries: DataFrame, docs: DataFrame, vectors: DataFrame, mentions: DataFrame, boosts: dict[str, float], k: int = 20, graph_k: int = 10, keep: Column | None = None, field: str = "content", digits: int = 6, index: TextIndex | None = None
+) -> DataFrame:
+    """(query_id, channel, chunk_id, rank, score) of all channels for queries (query_id, query, vector), computed once.
+
+    docs: (chunk_id, *boosts, ...); keep filters what all channels may find. Sparse vectors score what the dense and
+    keyword channels found.
+    """
+    if keep is not None:
+        docs = docs.where(keep)
+        ids = docs.select("chunk_id").distinct()
+        vectors = vectors.join(ids, "chunk_id", "left_semi")
+    index = index or text_index(docs, list(boosts))
+    a = staged(dense_search(queries.select("query_id", "vector"), vectors, k, digits), "vector-channel")
+    b = staged(keyword_search(queries, index, boosts, k, digits), "keyword-channel")
+    both = a.select("query_id", "chunk_id").unionByName(b.select("query_id", "chunk_id"))
+    terms = query_terms(queries).select("query_id", F.col("term").alias("token"), F.lit(1.0).alias("weight"))
+    c = sparse_search(terms, sparse_weights(index, field, docs.count(), digits=digits), both, k, digits)
+    d = graph_search(queries, graph_names(queries, mentions), index, boosts, field, graph_k, digits)
+    mark = lambda df, name: df.select("query_id", "chunk_id", "rank", "score", F.lit(name).alias("channel"))
+    return staged(mark(a, "vector").unionByName(mark(b, "keyword")).unionByName(mark(c, "sparse")).unionByName(mark(d, "graph")), "channels")
+
+
+def routed(channels: DataFrame, queries: DataFrame) -> DataFrame:
+    """Of each query's channels those that its type asks for; a hybrid takes all."""
+    plan = queries.select("query_id", tx.search_strategy(tx.query_type(F.col("query"))).alias("strategy"))
+    return channels.join(small(plan), "query_id").where((F.col("strategy") == "hybrid") | (F.col("strategy") == F.col("channel"))).drop("strategy")
+
+
+def hybrid_search(
+    queries: DataFrame, docs: DataFrame, vectors: DataFrame, mentions: DataFrame, boosts: dict[str, float], k: int = 10, keep: Column | None = None, weights: dict[str, float] = fu.WEIGHTS, by_type: bool = False, scorer: Callable = fu.overlap_score, channels: DataFrame | None = None
+) -> DataFrame:
+    """The channels, fused by weighted reciprocal ranks and reranked, with the texts; by_type routes queries."""
+    found = channels if channels is not None else search_channels(queries, docs, vectors, mentions, boosts, keep=keep)
+    found = routed(found, queries) if by_type else found
+    best = staged(fu.fused(fu.contributions(found, weights)).where(F.col("rank") <= min(3 * k, 50)), "fused")
+    # Documents that were found are few for each query; queries are a stated set of whole texts and are shuffled.
+    pool = docs.select("chunk_id", "document_id", "content").join(small(best), "chunk_id").join(queries.select("query_id", "query"), "query_id")
+    return fu.reranked(pool, k, scorer)
 
 
 def suggestions(history: DataFrame, part: str, most: int) -> DataFrame:

@@ -52,6 +52,12 @@ def report_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def report_csv(df: DataFrame) -> DataFrame:
+    """Report rows as CSV lines (line), in the rows' order of their first column."""
+    fields = [csv_field(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in df.columns]
+    return df.orderBy(df.columns[0]).select(F.concat_ws(",", *fields).alias("line"))
+
+
 def pending_export(chunks: DataFrame, path: str) -> None:
     """A10: the chunks that still need a vector, as JSON lines."""
     from .filters import to_embed

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions import text as tx
 from docmill.operators import graph as gr, quality as qu, sinks as si
+from docmill.operators.storage import staged
 
 from .registry import query
 from .views import CHUNKS_SQL, GRAPH_SQL, MENTIONS_SQL, chunks, graph, mentions, table
@@ -82,13 +83,13 @@ def c10(spark, d):
     return qu.reconciled(left, right).select("document_id", "kind", "diff")
 
 
-@query("c12_name_matches", """WITH w AS (SELECT DISTINCT item_id::VARCHAR AS query_id, lower(unnest(list_filter(string_split_regex(text, '\\s+'), lambda x: length(x) >= 3)[1:4])) AS word FROM benchmark), """ + MENTIONS_SQL + """, n AS (SELECT DISTINCT name FROM m),
+@query("c12_name_matches", """WITH w AS (SELECT DISTINCT item_id::VARCHAR AS query_id, lower(unnest(list_filter(string_split_regex(text, '\\s+'), lambda x: length(x) >= 3))) AS word FROM benchmark), """ + MENTIONS_SQL + """, n AS (SELECT DISTINCT name FROM m),
 b AS (SELECT query_id, name, min(CASE WHEN lower(name) = word THEN 0 ELSE 1 END) AS kind FROM w JOIN n ON contains(lower(name), word) GROUP BY ALL),
 r AS (SELECT * FROM b QUALIFY kind = 0 OR row_number() OVER (PARTITION BY query_id, kind ORDER BY name) <= 15)
 SELECT query_id, name, kind FROM r QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY kind, name) <= 20""")
 def c12(spark, d):
     b = table(spark, d, "benchmark")
-    w = b.select(F.col("item_id").cast("string").alias("query_id"), F.explode(F.slice(F.filter(tx.words(F.col("text")), lambda x: F.length(x) >= 3), 1, 4)).alias("word"))
+    w = b.select(F.col("item_id").cast("string").alias("query_id"), F.explode(F.filter(tx.words(F.col("text")), lambda x: F.length(x) >= 3)).alias("word"))
     return gr.name_matches(w, mentions(spark, d).select("name").distinct()).select("query_id", "name", "kind")
 
 
@@ -111,9 +112,11 @@ def e3(spark, d):
     return numbered(e, ["event_type", "k"], ["event_id"]).where("rank = 1").select("event_type", "k", F.col("event_id").alias("first_id"))
 
 
-@query("h17_entity_lookup", GRAPH_SQL + "SELECT id, label FROM nodes WHERE name = 'NATION_3' OR id = 'Topic:Brand#4'")
+@query("h17_entity_lookup", GRAPH_SQL + ", w AS (SELECT l_orderkey, l_linenumber, 'Project:' || l_suppkey AS wanted FROM lineitem UNION ALL SELECT o_orderkey, 0, 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0') FROM orders) SELECT l_orderkey AS k, l_linenumber::BIGINT AS no, id, label FROM w JOIN nodes ON wanted = nodes.id OR wanted = nodes.name")
 def h17(spark, d):
-    return graph(spark, d)[0].where((F.col("name") == "NATION_3") | (F.col("id") == "Topic:Brand#4")).select("id", "label")
+    by_id = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("no"), F.concat(F.lit("Project:"), "l_suppkey").alias("wanted"))
+    by_name = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.lit(0).cast("long").alias("no"), F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("wanted"))
+    return gr.looked_up(by_id.unionByName(by_name), graph(spark, d)[0]).select("k", "no", "id", "label")
 
 
 @query("i5_candidate_union", M + " SELECT DISTINCT document_id FROM m UNION SELECT doc_id FROM labels WHERE toxic = 1")
@@ -180,12 +183,12 @@ def l5(spark, d):
     return gr.merged_edges(e)
 
 
-@query("l6_document_graph", CM + """ SELECT 'nodes' AS kind, 'Document' AS name, count(*)::BIGINT AS n FROM documents UNION ALL SELECT 'nodes', 'Chunk', count(*)::BIGINT FROM chunks UNION ALL SELECT 'nodes', 'Entity', count(DISTINCT name)::BIGINT FROM l
-UNION ALL SELECT 'edges', unnest(['CONTAINS', 'PART_OF']), count(*)::BIGINT FROM chunks UNION ALL SELECT 'edges', unnest(['MENTIONS', 'MENTIONED_IN']), count(*)::BIGINT FROM l UNION ALL SELECT 'edges', 'HAS_ENTITY', (SELECT count(*) FROM (SELECT DISTINCT document_id, name FROM l))::BIGINT""")
+@query("l6_document_graph", CM + """ SELECT 'node' AS kind, 'doc:' || doc_id AS a, 'Document' AS b, md5(string_split(text, chr(10))[1]) AS c FROM documents UNION ALL SELECT 'node', 'chunk:' || chunk_id, 'Chunk', md5(substr(content, 1, 500)) FROM chunks UNION ALL SELECT DISTINCT 'node', 'entity:' || name, 'Entity', md5(name) FROM l
+UNION ALL SELECT 'edge', 'doc:' || document_id, 'chunk:' || chunk_id, 'CONTAINS' FROM chunks UNION ALL SELECT 'edge', 'chunk:' || chunk_id, 'doc:' || document_id, 'PART_OF' FROM chunks UNION ALL SELECT 'edge', 'chunk:' || chunk_id, 'entity:' || name, 'MENTIONS' FROM l UNION ALL SELECT 'edge', 'entity:' || name, 'chunk:' || chunk_id, 'MENTIONED_IN' FROM l UNION ALL SELECT DISTINCT 'edge', 'doc:' || document_id, 'entity:' || name, 'HAS_ENTITY' FROM l""")
 def l6(spark, d):
     nodes, edges = gr.document_graph(table(spark, d, "documents"), chunks(spark, d), linked(spark, d))
-    count = lambda df, kind, c: df.groupBy(F.lit(kind).alias("kind"), F.col(c).alias("name")).agg(F.count("*").alias("n"))
-    return count(nodes, "nodes", "label").unionByName(count(edges, "edges", "rel_type"))
+    rows = lambda df, kind, *c: df.select(F.lit(kind).alias("kind"), *[x.alias(n) for x, n in zip(c, "abc")])
+    return rows(nodes, "node", F.col("id"), F.col("label"), F.md5(F.col("name").cast("binary"))).unionByName(rows(edges, "edge", F.col("src"), F.col("dst"), F.col("rel_type")))
 
 
 @query("l7_delete_documents", CHUNKS_SQL + "SELECT document_id, count(*)::BIGINT AS n FROM chunks WHERE document_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0) GROUP BY document_id")
@@ -196,7 +199,7 @@ def l7(spark, d):
 
 @query("l8_delete_orphans", GRAPH_SQL + ", k AS (SELECT id FROM nodes WHERE id IN (SELECT dst FROM edges WHERE rel_type = 'RELATED_TO') OR id IN (SELECT src FROM edges WHERE rel_type = 'RELATED_TO')) SELECT (SELECT count(*) FROM k)::BIGINT AS nodes_left, count(*)::BIGINT AS edges_left FROM edges WHERE src IN (SELECT id FROM k) AND dst IN (SELECT id FROM k)")
 def l8(spark, d):
-    nodes, edges = graph(spark, d)
+    nodes, edges = (staged(x, "graph") for x in graph(spark, d))
     kept = si.without(nodes, gr.orphans(nodes, edges.where("rel_type = 'RELATED_TO'")), "id")
     left = si.edges_within(edges, kept).agg(F.count("*").alias("edges_left"))
     return kept.agg(F.count("*").alias("nodes_left")).join(F.broadcast(left))

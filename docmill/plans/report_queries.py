@@ -195,10 +195,10 @@ def d18(spark, d):
     return an.bucket_quantile(b.groupBy("event_type", "le").agg(F.count("*").alias("n")), 0.95, ["event_type"])
 
 
-@query("d19_session_summary", "SELECT conv_id, count(*)::BIGINT AS turns, min(turn) AS first_turn, max(turn) AS last_turn, substr(max_by(text, turn), 1, 80) AS last_text FROM conversations WHERE role <> 'system' GROUP BY conv_id")
+@query("d19_session_summary", "SELECT conv_id, count(*)::BIGINT AS turns, min(turn) AS first_turn, max(turn) AS last_turn, max_by(text, turn) FILTER (role = 'user') AS last_text FROM conversations WHERE role <> 'system' GROUP BY conv_id")
 def d19(spark, d):
     c = table(spark, d, "conversations").where("role <> 'system'")
-    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.substring(F.max_by("text", "turn"), 1, 80).alias("last_text"))
+    return c.groupBy("conv_id").agg(F.count("*").alias("turns"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"), F.max_by("text", F.when(F.col("role") == "user", F.col("turn"))).alias("last_text"))
 
 
 @query("d20_source_distribution", "SELECT source, count(*)::BIGINT AS n, round(avg(n_chars), 4) AS mean, count(DISTINCT lang)::BIGINT AS langs FROM documents GROUP BY source")
@@ -251,11 +251,11 @@ def e9(spark, d):
     return r.select("doc_id", ((F.col("rank") - 1) % 4).cast("long").alias("worker"))
 
 
-@query("e11_question_answer_pairs", "SELECT conv_id, turn, substr(text, 1, 50) AS question, substr(answer, 1, 50) AS answer FROM (SELECT *, lead(text) OVER w AS answer, lead(role) OVER w AS next_role FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'")
+@query("e11_question_answer_pairs", "SELECT conv_id, turn, text AS question, answer FROM (SELECT *, lead(text) OVER w AS answer, lead(role) OVER w AS next_role FROM conversations WHERE role <> 'system' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant'")
 def e11(spark, d):
     from docmill.operators.context import answered
 
-    return answered(table(spark, d, "conversations")).select("conv_id", "turn", F.substring("question", 1, 50).alias("question"), F.substring("answer", 1, 50).alias("answer"))
+    return answered(table(spark, d, "conversations")).select("conv_id", "turn", "question", "answer")
 
 
 @query("e12_length_batches", "SELECT doc_id, ntile(16) OVER (ORDER BY n_chars, doc_id)::BIGINT AS batch FROM documents")

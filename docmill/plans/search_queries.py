@@ -1,19 +1,18 @@
 """Registered queries: retrieval channels, fusion, context, evaluation (H, E, J).
 
-The given documents are the chunks; documents whose number is also a vector's number have that vector; each benchmark
-item is a query, with the vector of its number.
+The given documents are the chunks; documents whose number is also a vector's number have that vector; the documents
+whose number is divisible by 50 are the queries, with their whole texts and vectors.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docmill.functions import text as tx
-from docmill.operators import context as cx, evaluation as ev, filters as fl, fusion as fu, graph as gr, retrieval as rt
+from docmill.operators import context as cx, evaluation as ev, filters as fl, fusion as fu, retrieval as rt
 
 from .registry import query
-from .views import QUERIES_SQL, mentions, queries_of, table, title_of
+from .views import MENTIONS_SQL, QUERIES_SQL, mentions, queries_of, table, title_of
 
 FIELDS = {"content": 3.0, "title": 2.0}
 
@@ -32,27 +31,23 @@ def vectors_of(spark, d):
     return v.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
 
 
-def query_vectors(spark, d):
-    q = queries_of(spark, d)
-    return q.join(table(spark, d, "embeddings"), F.col("query_id") == F.col("vec_id").cast("string")).select("query_id", F.col("embedding").alias("vector"))
+def searched(spark, d):
+    """The queries with their vectors, where they have one."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vector"))
+    return queries_of(spark, d).join(v, "query_id", "left")
 
 
 def dense(spark, d, k=20):
     # Scores are rounded before they are ranked, so that equal texts stay equal in any engine.
-    q, v = query_vectors(spark, d), vectors_of(spark, d)
-    pairs = v.join(rt.small(q.select("query_id", F.col("vector").alias("qv"))), F.lit(True))
-    score = F.round((1 + rt.dot(F.col("qv"), F.col("vector"))) / 2, 6)
-    return rt.top(pairs.select("query_id", "chunk_id", score.alias("score")), k, ["query_id"], "chunk_id")
+    q = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vector"))
+    return rt.dense_search(q, vectors_of(spark, d), k, 6)
 
 
 def keyword(spark, d, k=20, fields=FIELDS):
-    docs = docs_of(spark, d)
-    names = list(fields)
-    s = rt.bm25(rt.query_terms(queries_of(spark, d)), rt.postings(docs, names), rt.field_statistics(docs, names), fields)
-    return rt.top(s.withColumn("score", F.round("score", 6)), k, ["query_id"], "chunk_id")
+    return rt.keyword_search(queries_of(spark, d), docs_of(spark, d), fields, k, 6)
 
 
-DENSE_SQL = """qv AS (SELECT query_id, embedding::DOUBLE[] AS qv FROM queries JOIN embeddings ON vec_id::VARCHAR = query_id),
+DENSE_SQL = """qv AS (SELECT vec_id::VARCHAR AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 50 = 0),
 ds AS (SELECT query_id, vec_id AS chunk_id, round((1 + list_inner_product(qv, embedding::DOUBLE[])) / 2, 6) AS score FROM qv, embeddings),
 dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ds QUALIFY rank <= 20)"""
 BM25_SQL = f"""f AS (SELECT doc_id AS chunk_id, 'content' AS field, {tok('text')} AS t FROM documents UNION ALL SELECT doc_id, 'title', {tok("string_split(text, chr(10))[1]")} FROM documents),
@@ -76,19 +71,19 @@ def h2(spark, d):
     return keyword(spark, d).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query("h3_fuzzy_terms")  # DuckDB counts edits in bytes; a test holds this against a plain version
-def h3(spark, d):
-    docs = docs_of(spark, d)
-    return rt.fuzzy_terms(rt.query_terms(queries_of(spark, d)), rt.postings(docs, list(FIELDS)).select("term"))
+# DuckDB counts edits in bytes; the one letter of these texts that is not folded to ASCII is put as another single byte.
+_BYTE = "translate({}, 'ß', '~')"
+FUZZY_SQL = WITH + BM25_SQL.split("p AS (")[0] + f"""v AS (SELECT DISTINCT unnest(t) AS word FROM f), qt AS (SELECT DISTINCT query_id, unnest({tok('query')}) AS term FROM queries),
+u AS (SELECT DISTINCT term, CASE WHEN length(term) < 3 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END AS edits FROM qt),
+m AS (SELECT term, word FROM u JOIN v ON term[1] = word[1] AND abs(length(term) - length(word)) <= edits WHERE levenshtein({_BYTE.format('term')}, {_BYTE.format('word')}) <= edits)
+SELECT query_id, term, word FROM qt JOIN m USING (term)"""
 
 
-def sparse_weights(spark, d):
-    """(chunk_id, token, weight): tf * idf of the heaviest tokens of each document, 50 at most."""
-    p = rt.postings(docs_of(spark, d), ["content"])
-    n = table(spark, d, "documents").agg(F.count("*").alias("n"))
-    df = p.groupBy("term").agg(F.count("*").alias("df"))
-    w = p.join(df, "term").join(F.broadcast(n)).select("chunk_id", F.col("term").alias("token"), F.round(F.col("tf") / F.col("len") * F.log(F.col("n") / F.col("df")), 6).alias("weight"))
-    return rt.top(w.where("weight >= 0.01"), 50, ["chunk_id"], "token", "weight").drop("rank")
+@query("h3_fuzzy_terms", FUZZY_SQL)
+def h3(spark, d):
+    docs = docs_of(spark, d)
+    vocabulary = docs.select(F.explode(F.array_distinct(F.concat(tx.tokens(F.coalesce("content", F.lit(""))), tx.tokens(F.coalesce("title", F.lit("")))))).alias("term"))
+    return rt.fuzzy_terms(rt.query_terms(queries_of(spark, d)), vocabulary)
 
 
 SPARSE_SQL = """sw AS (SELECT chunk_id, term AS token, round(tf / len::DOUBLE * ln((SELECT count(*) FROM documents) / df::DOUBLE), 6) AS weight FROM p JOIN df USING (field, term) WHERE field = 'content'),
@@ -98,44 +93,42 @@ ss AS (SELECT query_id, chunk_id, round(sum(weight), 6) AS score FROM qt JOIN sk
 sparse AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ss QUALIFY rank <= 20)"""
 
 
-def sparse(spark, d, candidates):
-    q = rt.query_terms(queries_of(spark, d)).select("query_id", F.col("term").alias("token"), F.lit(1.0).alias("weight"))
-    s = rt.sparse_search(q, sparse_weights(spark, d), candidates, 10_000).drop("rank").withColumn("score", F.round("score", 6))
-    return rt.top(s.where("score > 0"), 20, ["query_id"], "chunk_id")
-
-
-def graph_names(spark, d):
-    """(query_id, name, r): the names that a query's words match, then their nearest in titles that hold both."""
-    m = mentions(spark, d).where(~tx.is_junk_name(F.col("name")))
-    words = queries_of(spark, d).select("query_id", F.explode(tx.query_words(F.col("query"))).alias("word"))
-    nodes = m.select(F.col("name").alias("id"), "name").distinct()
-    # Words of two characters match within names too.
-    seeds = gr.name_matches(words, nodes.select("name"), gram=2).select("query_id", F.col("name").alias("id"))
-    pairs = gr.cooccurrences(m).groupBy(F.col("name1").alias("src"), F.col("name2").alias("dst")).agg(F.count("*").cast("double").alias("weight"))
-    e = gr.expanded_names(seeds, nodes, pairs.withColumn("rel_type", F.lit("RELATED_TO")))
-    return e.select("query_id", "name", F.row_number().over(W.partitionBy("query_id").orderBy("hop", "name")).alias("r"))
-
-
-def by_graph(spark, d, k=10):
-    s = rt.graph_scores(queries_of(spark, d), graph_names(spark, d), docs_of(spark, d), FIELDS, "content")
-    return rt.top(s.withColumn("score", F.round("score", 6)), k, ["query_id"], "chunk_id")
-
-
-@query("h5_graph_search")  # a chain of four operators; a test holds it against a plain version
+GRAPH_CHANNEL_SQL = MENTIONS_SQL + f""",
+mj AS (SELECT * FROM m WHERE length(name) >= 2 AND name <> 'None' AND NOT starts_with(name, '/') AND NOT starts_with(name, '.') {"".join(f" AND NOT contains(name, '{x}')" for x in tx.JUNK_PARTS + tx.JUNK_DOCS)}),
+nm AS (SELECT DISTINCT name FROM mj),
+g0 AS (SELECT query_id, query, list_filter(string_split_regex(query, '\\s+'), lambda w: length(w) >= 2) AS raw FROM queries),
+g1 AS (SELECT query_id, query, list_transform(raw, lambda w: regexp_replace(w, '[?!.。,;:]+$', '')) AS clean FROM g0),
+g2 AS (SELECT query_id, query, list_filter(list_concat(clean, list_transform(clean, lambda w: regexp_replace(w, '[은는이가을를의와과에서로도만으로부터까지에게]+$', ''))), lambda w: length(w) >= 2) AS ws FROM g1),
+gw AS (SELECT DISTINCT query_id, lower(unnest(CASE WHEN len(ws) = 0 THEN [query] ELSE ws END)) AS word FROM g2),
+wn AS (SELECT word, name, CASE WHEN lower(name) = word THEN 0 ELSE 1 END AS kind FROM (SELECT DISTINCT word FROM gw) JOIN nm ON lower(name) = word OR (length(word) >= 2 AND contains(lower(name), word))),
+gm AS (SELECT query_id, name, min(kind) AS kind FROM gw JOIN wn USING (word) GROUP BY ALL),
+gp AS (SELECT * FROM gm QUALIFY kind = 0 OR row_number() OVER (PARTITION BY query_id, kind ORDER BY name) <= 15),
+sd AS (SELECT query_id, name AS id FROM gp QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY kind, name) <= 20),
+co AS (SELECT a.name AS n1, b.name AS n2, count(*) AS weight FROM mj a JOIN mj b USING (document_id) WHERE a.name < b.name GROUP BY ALL),
+un AS (SELECT n1 AS node, n2 AS other, weight FROM co UNION ALL SELECT n2, n1, weight FROM co),
+nb AS (SELECT query_id, other FROM sd JOIN un ON node = id QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY weight DESC, other) <= 3),
+eg AS (SELECT query_id, id, min(hop) AS hop FROM (SELECT query_id, id, 0 AS hop FROM sd UNION ALL SELECT query_id, other, 1 FROM nb) GROUP BY ALL),
+ex AS (SELECT * FROM eg QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hop, id) <= 20),
+gn AS (SELECT query_id, id AS name FROM ex QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY hop, id) <= 10),
+gt AS (SELECT query_id, term, count(*) * 1.5::DOUBLE AS weight FROM (SELECT query_id, unnest(list_distinct({tok('name')})) AS term FROM gn) GROUP BY ALL),
+mo AS (SELECT query_id, chunk_id, sum(weight * ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len))) AS more FROM gt JOIN p USING (term) JOIN st USING (field) JOIN df USING (field, term) WHERE field = 'content' GROUP BY ALL),
+gs AS (SELECT query_id, chunk_id, round(s + coalesce(more, 0), 6) AS score FROM (SELECT query_id, chunk_id, max(s) AS s FROM bf GROUP BY ALL) LEFT JOIN mo USING (query_id, chunk_id) WHERE query_id IN (SELECT query_id FROM gn)),
+graph AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM gs QUALIFY rank <= 10)"""
+
+
+@query("h5_graph_search", WITH + BM25_SQL + ", " + GRAPH_CHANNEL_SQL + " SELECT query_id, chunk_id, score, rank FROM graph")
 def h5(spark, d):
-    return by_graph(spark, d).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+    q, docs = queries_of(spark, d), docs_of(spark, d)
+    found = rt.graph_search(q, rt.graph_names(q, mentions(spark, d)), docs, FIELDS, "content", 10, 6)
+    return found.select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def channels(spark, d):
-    a, b = dense(spark, d), keyword(spark, d)
-    both = a.select("query_id", "chunk_id").unionByName(b.select("query_id", "chunk_id"))
-    c = sparse(spark, d, both)
-    mark = lambda df, name: df.select("query_id", "chunk_id", "rank", "score", F.lit(name).alias("channel"))
-    return mark(a, "vector").unionByName(mark(b, "keyword")).unionByName(mark(c, "sparse")).unionByName(mark(by_graph(spark, d), "graph"))
+    return rt.search_channels(searched(spark, d), docs_of(spark, d), vectors_of(spark, d), mentions(spark, d), FIELDS)
 
 
-ALL_SQL = WITH + DENSE_SQL + ", " + BM25_SQL + ", " + SPARSE_SQL + """,
-ch AS (SELECT query_id, chunk_id, rank, score, 'vector' AS channel, 0 AS no, 1.0::DOUBLE AS w FROM dense UNION ALL SELECT query_id, chunk_id, rank, score, 'keyword', 1, 1.0 FROM keyword UNION ALL SELECT query_id, chunk_id, rank, score, 'sparse', 2, 0.7 FROM sparse),
+ALL_SQL = WITH + DENSE_SQL + ", " + BM25_SQL + ", " + SPARSE_SQL + ", " + GRAPH_CHANNEL_SQL + """,
+ch AS (SELECT query_id, chunk_id, rank, score, 'vector' AS channel, 0 AS no, 1.0::DOUBLE AS w FROM dense UNION ALL SELECT query_id, chunk_id, rank, score, 'keyword', 1, 1.0 FROM keyword UNION ALL SELECT query_id, chunk_id, rank, score, 'sparse', 2, 0.7 FROM sparse UNION ALL SELECT query_id, chunk_id, rank, score, 'graph', 3, 0.8 FROM graph),
 fu AS (SELECT query_id, chunk_id, round(sum(w / (60 + rank) ORDER BY no), 6) AS score, arg_max(channel, w / (60 + rank) - no * 1e-9) AS source, count(*)::BIGINT AS n_sources, string_agg(channel, ',' ORDER BY no) AS sources, min(no * 1000 + rank) AS first FROM ch GROUP BY ALL),
 fused AS (SELECT query_id, chunk_id, score, source, n_sources, sources, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id) AS rank FROM fu)"""
 
@@ -164,11 +157,9 @@ OVERLAP = f"CASE WHEN len(list_distinct({tok('query')})) = 0 THEN 0 ELSE len(lis
 RERANK_SQL = ALL_SQL + f", rr AS (SELECT query_id, chunk_id, query, text, rank, round({OVERLAP}, 6) AS score FROM fused JOIN queries USING (query_id) JOIN documents ON doc_id = chunk_id WHERE rank <= 30), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS rerank FROM rr QUALIFY rerank <= 10)"
 
 
-def hybrid(spark, d, k=10):
+def hybrid(spark, d, found=None):
     """The channels, fused, reranked, with the texts."""
-    docs = docs_of(spark, d).select("chunk_id", "document_id", "content")
-    pool = fused(spark, d).where(F.col("rank") <= min(3 * k, 50)).join(docs, "chunk_id").join(rt.small(queries_of(spark, d)), "query_id")
-    return fu.reranked(pool, k, fu.overlap_score)
+    return rt.hybrid_search(searched(spark, d), docs_of(spark, d), vectors_of(spark, d), mentions(spark, d), FIELDS, channels=found)
 
 
 @query("h9_e10_rerank", RERANK_SQL + " SELECT query_id, chunk_id, score, rank, rerank FROM rk")
@@ -179,8 +170,9 @@ def h9(spark, d):
 
 @query("h10_hybrid_search", RERANK_SQL + " SELECT query_id, chunk_id, rk.score, source, rerank, (SELECT count(*) FROM ch WHERE ch.query_id = rk.query_id)::BIGINT AS considered FROM rk JOIN fused USING (query_id, chunk_id)")
 def h10(spark, d):
-    n = channels(spark, d).groupBy("query_id").agg(F.count("*").alias("considered"))
-    return hybrid(spark, d).join(n, "query_id").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "source", F.col("rerank").cast("long").alias("rerank"), "considered")
+    found = channels(spark, d)
+    n = found.groupBy("query_id").agg(F.count("*").alias("considered"))
+    return hybrid(spark, d, found).join(n, "query_id").select("query_id", "chunk_id", F.round("score", 6).alias("score"), "source", F.col("rerank").cast("long").alias("rerank"), "considered")
 
 
 @query("h11_single_channel", WITH + BM25_SQL + " SELECT query_id, chunk_id, score FROM keyword WHERE rank <= 3")
@@ -194,13 +186,10 @@ def h12(spark, d):
     return fu.fuse_present(only).select("query_id", "chunk_id", "score")
 
 
-@query("h13_routed_channels", ALL_SQL + " SELECT query_id, channel, count(*)::BIGINT AS n FROM ch WHERE (query_id::INT % 2 = 0 AND channel = 'keyword') OR query_id::INT % 2 = 1 GROUP BY ALL")
+@query("h13_routed_channels", ALL_SQL + """, ro AS (SELECT query_id, CASE WHEN query <> '' AND len(list_filter(string_split_regex(query, '\\s+'), lambda x: x <> '')) BETWEEN 1 AND 2 AND NOT regexp_matches(query, '[?？]') THEN 'keyword' ELSE 'hybrid' END AS strategy FROM queries)
+SELECT query_id, channel, count(*)::BIGINT AS n FROM ch JOIN ro USING (query_id) WHERE strategy IN ('hybrid', channel) GROUP BY ALL""")
 def h13(spark, d):
-    # Even queries ask for two words without a question, odd ones for four.
-    q = queries_of(spark, d).withColumn("query", F.when(F.col("query_id").cast("int") % 2 == 0, F.lit("spring boot")).otherwise(F.lit("one two three four")))
-    plan = q.select("query_id", tx.search_strategy(tx.query_type(F.col("query"))).alias("strategy"))
-    c = channels(spark, d).join(plan, "query_id").where((F.col("strategy") == "hybrid") | (F.col("strategy") == F.col("channel")))
-    return c.groupBy("query_id", "channel").agg(F.count("*").alias("n"))
+    return rt.routed(channels(spark, d), queries_of(spark, d)).groupBy("query_id", "channel").agg(F.count("*").alias("n"))
 
 
 @query("h14_context_quality", WITH + BM25_SQL + """, r AS (SELECT query_id, score / 40 AS s FROM keyword), g AS (SELECT query_id, count(*) FILTER (s >= 0.5) AS h, count(*) FILTER (s >= 0.3) AS k, count(*) FILTER (s < 0.3) AS x, coalesce(max(s) FILTER (s >= 0.3), max(s)) AS m, coalesce(avg(s) FILTER (s >= 0.3), avg(s)) AS a FROM r GROUP BY query_id)

@@ -31,13 +31,12 @@ chunks AS (SELECT doc_id || '-' || chunk_index AS chunk_id, doc_id AS document_i
 """
 
 
-def queries_of(spark: SparkSession, sf_dir: str, words: int = 4) -> DataFrame:
-    """(query_id, query): the first words of each benchmark item."""
-    b = table(spark, sf_dir, "benchmark")
-    return b.select(F.col("item_id").cast("string").alias("query_id"), F.array_join(F.slice(tx.words(F.col("text")), 1, words), " ").alias("query"))
+def queries_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, query): the stated query set, the whole texts of all documents whose number is divisible by 50."""
+    return table(spark, sf_dir, "documents").where("doc_id % 50 = 0").select(F.col("doc_id").cast("string").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
 
 
-QUERIES_SQL = r"""queries AS (SELECT item_id::VARCHAR AS query_id, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')[1:4], ' ') AS query FROM benchmark)"""
+QUERIES_SQL = r"""queries AS (SELECT doc_id::VARCHAR AS query_id, coalesce(text, '') AS query FROM documents WHERE doc_id % 50 = 0)"""
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,13 +50,13 @@ EVENTS_SQL = """WITH e AS (SELECT *, (props::JSON ->> '$.k')::INT AS k, event_ty
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(document_id, name): names in the documents' titles."""
-    d = table(spark, sf_dir, "documents").where("lang = 'en'")
+    d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("document_id"), F.explode(F.array_distinct(tx.title_keywords(title_of(F.col("text"))))).alias("name"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
 KEYWORDS_SQL = rf"""(CASE WHEN {{t}} = '' OR regexp_matches({{t}}, '\.[\p{{{{L}}}}\p{{{{N}}}}_]{{{{2,5}}}}$') THEN [] ELSE list_filter(string_split_regex({{t}}, '[_\-\s]+'), lambda p: length(p) >= 2 AND NOT regexp_full_match(p, '[0-9]+') AND lower(p) NOT IN ({_STOP}))[1:5] END)"""
-MENTIONS_SQL = "m AS (SELECT DISTINCT doc_id AS document_id, unnest(list_distinct(" + KEYWORDS_SQL.format(t="string_split(text, chr(10))[1]") + ")) AS name FROM documents WHERE lang = 'en')"
+MENTIONS_SQL = "m AS (SELECT DISTINCT doc_id AS document_id, unnest(list_distinct(" + KEYWORDS_SQL.format(t="string_split(text, chr(10))[1]") + ")) AS name FROM documents)"
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -83,5 +82,5 @@ edges AS (
   UNION ALL SELECT 'Nation:' || c_nationkey, 'Person:' || c_custkey, 'CONTAINS', 1.0 FROM customer
   UNION ALL SELECT 'Nation:' || s_nationkey, 'Project:' || s_suppkey, 'CONTAINS', 1.0 FROM supplier
   UNION ALL SELECT 'Project:' || l_suppkey, 'Topic:' || p_brand, 'RELATED_TO', count(*)::DOUBLE FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey, p_brand
-  UNION ALL SELECT 'Person:' || o_custkey, 'Topic:' || p_brand, 'RELATED_TO', count(*)::DOUBLE FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE o_orderkey % 10 = 0 GROUP BY o_custkey, p_brand)
+  UNION ALL SELECT 'Person:' || o_custkey, 'Topic:' || p_brand, 'RELATED_TO', count(*)::DOUBLE FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY o_custkey, p_brand)
 """

@@ -11,11 +11,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docmill.functions.text import words
+from docmill.functions.text import any_of, words
 
-# What is read, and folders that hold nothing to read.
+# What is read, and parts of paths that hold nothing to read.
 EXTENSIONS = ["pdf", "docx", "pptx", "xlsx", "hwp", "md", "txt", "html", "ipynb"]
-JUNK_PATHS = "/(\\.git|node_modules|__pycache__|\\.venv|\\.idea|dist|build)/|/[.~][^/]*$"
+JUNK_PATHS = ["__pycache__", "\\.git", "node_modules", "\\.pytest_cache", "\\.vscode", "\\.idea", "\\.DS_Store", "Thumbs\\.db"]
 ENCODINGS = ["utf-8", "cp949", "euc-kr", "latin-1"]
 
 
@@ -24,7 +24,7 @@ def discover_files(spark: SparkSession, path: str, extensions: list[str] = EXTEN
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.substring_index("path", "/", -1)
     ext = F.lower(F.substring_index(name, ".", -1))
-    return f.where(~F.col("path").rlike(JUNK_PATHS) & ext.isin(extensions)).select("path", name.alias("name"), ext.alias("extension"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+    return f.where(~any_of([F.col("path").rlike(p) for p in JUNK_PATHS]) & ext.isin(extensions)).select("path", name.alias("name"), ext.alias("extension"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
 @F.pandas_udf(T.StringType())
@@ -43,7 +43,9 @@ def decoded(contents: pd.Series) -> pd.Series:
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """A2: (path, text); UTF-8 is checked natively, only the rest goes through other encodings."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return f.select("path", F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.when(F.try_validate_utf8(F.col("content").cast("string")).isNull(), decoded("content"))).alias("text"))
+    f = f.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("valid"), "content")
+    # A function in Python sees every row, whatever stands around it; so valid files are null in its input.
+    return f.select("path", F.coalesce("valid", decoded(F.when(F.col("valid").isNull(), F.col("content")))).alias("text"))
 
 
 class Visible(HTMLParser):
@@ -148,19 +150,49 @@ def with_vectors(chunks: DataFrame, new: DataFrame, skip_completed: bool = True)
 
 def question_set(spark: SparkSession, path: str) -> DataFrame:
     """(question, ground_truth) from a JSON list of strings or of objects with other names for the same."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", "array<string>")).alias("x"))
+    return questions_in(spark.read.option("wholetext", True).text(path), "value").select("question", "ground_truth")
+
+
+def questions_in(lists: DataFrame, column: str) -> DataFrame:
+    """A row (..., question, ground_truth) for each entry of JSON lists of strings or objects; other columns stay."""
+    raw = lists.select(*[c for c in lists.columns if c != column], F.explode(F.from_json(column, "array<string>")).alias("x"))
     get = lambda *names: F.coalesce(*[F.get_json_object("x", f"$.{n}") for n in names])
     plain = ~F.col("x").startswith("{")
-    return raw.select(F.when(plain, F.col("x")).otherwise(get("question", "q")).alias("question"), F.when(~plain, get("ground_truth", "answer", "gt")).alias("ground_truth")).where("question is not null")
+    return raw.select(*[c for c in raw.columns if c != "x"], F.when(plain, F.col("x")).otherwise(get("question", "q")).alias("question"), F.when(~plain, get("ground_truth", "answer", "gt")).alias("ground_truth")).where("question is not null")
 
 
 def parse_batch(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(path, text) rows marked as parsed or failed, and totals; one bad file stops no other."""
-    f = files.withColumns({"ok": F.coalesce(F.length("text") > 0, F.lit(False)), "error": F.when(F.col("text").isNull(), "unreadable").when(F.col("text") == "", "empty")})
-    return f, f.agg(F.count("*").alias("files"), F.count_if("ok").alias("parsed"), F.count_if(~F.col("ok")).alias("failed"))
+    """Files (path, text[, extension]) -> (path, ok, error, text) with what each holds, and totals.
+
+    HTML and notebooks are parsed, Markdown and plain text are taken as they are (also where no extension is given); one
+    bad file stops no other: it is unreadable, empty, of an unsupported kind, or invalid.
+    """
+    kind = F.lower("extension") if "extension" in files.columns else F.lit("txt")
+    f = files.select("path", "text", kind.alias("kind"))
+    html = html_texts(f.where(F.col("kind").isin("html", "htm") & F.col("text").isNotNull()), "path", "text").select(F.col("path").alias("p"), F.col("text").alias("shown"))
+    books = notebook_texts(f.where((F.col("kind") == "ipynb") & F.col("text").isNotNull()), "path", "text").select(F.col("path").alias("p"), F.col("text").alias("shown"))
+    parsed = f.join(html.unionByName(books), F.col("path") == F.col("p"), "left")
+    body = F.when(F.col("kind").isin("html", "htm", "ipynb"), F.col("shown")).otherwise(F.col("text"))
+    invalid = (F.col("kind") == "ipynb") & F.from_json("text", NOTEBOOK)["cells"].isNull()
+    error = F.when(F.col("text").isNull(), "unreadable").when(~F.col("kind").isin("md", "txt", "html", "htm", "ipynb"), "unsupported").when(invalid, "invalid").when(F.coalesce(body, F.lit("")) == "", "empty")
+    out = parsed.select("path", error.isNull().alias("ok"), error.alias("error"), F.when(error.isNull(), body).alias("text"))
+    return out, out.agg(F.count("*").alias("files"), F.count_if("ok").alias("parsed"), F.count_if(~F.col("ok")).alias("failed"))
 
 
 def sliced(docs: DataFrame, key: str, text: str, size: int = 10_000) -> DataFrame:
     """Long texts in parts of a fixed size."""
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.length(text) - 1) / size)).cast("int"))
-    return docs.select(key, F.explode(starts).alias("part"), text).select(key, "part", F.concat(F.lit("(chunk "), F.col("part") + 1, F.lit(")")).alias("title"), F.substr(F.col(text), F.col("part") * size + 1, F.lit(size)).alias("body"))
+    return docs.select(key, F.explode(starts).alias("part"), text).select(key, "part", part_title(F.col("part")).alias("title"), F.substr(F.col(text), F.col("part") * size + 1, F.lit(size)).alias("body"))
+
+
+def part_title(part: Column) -> Column:
+    return F.concat(F.lit("(chunk "), part + 1, F.lit(")"))
+
+
+def split_long(docs: DataFrame, key: str, text: str, sections: int = 10, size: int = 10_000) -> DataFrame:
+    """(key, part, title, body): so many sections a part, or slices of a fixed size where a text has no section."""
+    s = markdown_sections(docs, key, text).withColumn("part", F.floor((F.col("section") - 1) / sections).cast("int"))
+    body = F.transform(F.array_sort(F.collect_list(F.struct("section", "body"))), lambda x: x["body"])
+    parts = s.groupBy(key, "part").agg(F.array_join(body, "\n").alias("body"))
+    plain = docs.where(~F.coalesce(F.col(text), F.lit("")).rlike("(?m)^#{1,6}\\s+\\S"))
+    return parts.select(key, "part", part_title(F.col("part")).alias("title"), "body").unionByName(sliced(plain, key, text, size))

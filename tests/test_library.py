@@ -153,6 +153,65 @@ def test_percentile_rule(spark):
     assert (r.p50, r.p95, r.p99, r.passed) == (6.0, 10.0, 10.0, True)
 
 
+def test_percentiles_of_skewed_groups(spark):
+    import random
+
+    r = random.Random(6)
+    rows = [("a", float(r.choice([1, 1, 1, 2, r.random() * 100]))) for _ in range(3000)] + [("b", 7.0)] * 500 + [(None, 1.5), (None, 0.5), ("c", None)]
+    got = {x.k: (x.n, x.p50, x.p95, x.p99) for x in an.ranked_percentiles(spark.createDataFrame(rows, "k string, v double").repartition(5), ["k"], "v", ranges=16).collect()}
+    for k in ("a", "b", None):
+        v = sorted(x for y, x in rows if y == k and x is not None)
+        assert got[k] == (len(v), *[v[min(len(v) * p // 100, len(v) - 1)] for p in (50, 95, 99)])
+    assert set(got) == {"a", "b", None}
+
+
+def test_global_rank_and_rank_precision(spark):
+    d = spark.createDataFrame([(i, None if i % 9 == 0 else i % 3) for i in range(200)], "id long, v int")
+    want = {i: n for n, (_, i) in enumerate(sorted((-1 if i % 9 == 0 else i % 3, i) for i in range(200)), 1)}
+    assert {r.id: r.rank for r in fl.global_rank(d, F.col("v"), "id").collect()} == want
+    names = spark.createDataFrame([(f"k{i:03}", i % 2) for i in range(50)], "id string, v int")
+    assert [r.id for r in fl.global_rank(names, F.col("v"), "id").orderBy("rank").limit(2).collect()] == ["k000", "k002"]
+    v = spark.createDataFrame([("q", i, i % 4 == 0) for i in range(1, 51)], "query_id string, rank int, relevant boolean")
+    hits = [sum(j % 4 == 0 for j in range(1, i + 1)) / i for i in range(4, 51, 4)]
+    assert ev.rank_precision(v, span=8).first().average_precision == round(sum(hits) / len(hits), 6)
+
+
+def test_highlight_takes_terms_as_written(spark):
+    shown = values(spark, ["I like C++ (really) and c++", "x" * 500 + " c++ " + "y" * 500, "nothing", "c+++"], lambda c: tx.highlighted(c, "C++"))
+    assert shown[0] == ["I like <em>C++</em> (really) and <em>c++</em>"] and shown[2] == [] and shown[3] == ["<em>c++</em>+"]
+    assert len(shown[1][0].replace("<em>", "").replace("</em>", "")) <= 200
+    assert values(spark, ["a ( b"], lambda c: tx.highlighted(c, "(")) == [["a <em>(</em> b"]]
+
+
+def test_dense_search_in_blocks(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    x = r.normal(size=(60, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)] + [(100, None), (101, [1.0])]
+    v = spark.createDataFrame(rows, "chunk_id long, vector array<double>").repartition(3)
+    q = v.where("chunk_id % 7 = 0 or chunk_id >= 100").select(F.col("chunk_id").cast("string").alias("query_id"), "vector")
+    want = {(str(i), j): n for i in range(0, 60, 7) for n, j in enumerate(sorted(range(60), key=lambda j: (-round((1 + float(x[i] @ x[j])) / 2, 6), j))[:4], 1)}
+    for size in (1 << 20, 100):
+        assert {(r.query_id, r.chunk_id): r.rank for r in rt.dense_search(q, v, 4, 6, size).collect()} == want
+    assert rt.dense_search(q.where("query_id = 'none'"), v, 4).count() == 0
+
+
+def test_long_texts_by_sections(spark):
+    d = spark.createDataFrame([(1, "# A\none\n# B\ntwo\n# C\nthree"), (2, "x" * 25), (3, "")], "k long, text string")
+    got = {(r.k, r.part): (r.title, r.body) for r in rd.split_long(d, "k", "text", 2, 10).collect()}
+    assert got[1, 0] == ("(chunk 1)", "one\ntwo") and got[1, 1] == ("(chunk 2)", "three")
+    assert [got[2, i][1] for i in range(3)] == ["x" * 10, "x" * 10, "x" * 5] and got[3, 0][1] == ""
+
+
+def test_parse_batch_isolates_errors(spark):
+    rows = [("a", "md", "# T"), ("b", "html", "<p>Hi</p>"), ("c", "ipynb", "{broken"), ("d", "exe", "x"), ("e", "txt", None), ("f", "html", "<br>"), ("g", "ipynb", '{"cells": [{"cell_type": "code", "source": ["a=1"]}]}')]
+    out, totals = rd.parse_batch(spark.createDataFrame(rows, "path string, extension string, text string"))
+    assert {r.path: r.error for r in out.collect()} == {"a": None, "b": None, "c": "invalid", "d": "unsupported", "e": "unreadable", "f": "empty", "g": None}
+    assert tuple(totals.first()) == (7, 3, 4)
+
+
 def test_budgets(spark):
     d = spark.createDataFrame([("q", i, "x" * n) for i, n in enumerate([50, 30, 100], 1)], "query_id string, rank int, content string")
     assert [len(r.content) for r in cx.context_budget(d, 10, 120, 30).orderBy("rank").collect()] == [50, 30, 40]
@@ -243,7 +302,17 @@ def test_ingest_upserts(spark, tmp_path):
         spark.createDataFrame(rows, "id long, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long, v string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     jobs.ingest(stream, lambda d: d.where("v <> 'x'"), jobs.upsert_into(str(tmp_path / "out"), "id"), str(tmp_path / "ck")).awaitTermination()
-    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out/v1")).collect()) == [1, 2, 3]
+    assert sorted((r.id, r.v) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_upserts_keep_the_last_row_in_any_order(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(r, "id long, at int, v string")
+    write = jobs.upsert_into(str(tmp_path / "t"), "id", ["at"], buckets=2)
+    write(rows((1, 1, "first"), (1, 2, "last"), (2, 5, "b")), 0)
+    write(rows((1, 1, "late"), (3, 1, "c")), 1)
+    write(rows((1, 1, "late"), (3, 1, "c")), 1)  # again
+    write(rows((9, 9, "x")).where("id < 0"), 2)
+    assert sorted((r.id, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(1, "last"), (2, "b"), (3, "c")]
 
 
 def test_records_from_model_answers(spark):

@@ -4,8 +4,11 @@ import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from docmill.operators import fusion as fu, retrieval as rt
+from docmill.plans import search_queries as search, views
 
 
 def run(spark, name, d):
@@ -57,27 +60,45 @@ def library(spark, tmp_path_factory):
     texts = [f"note\nspark text number n{i}" for i in range(29)] + ["note\nspark text kafka n29", "Spark Kafka\nother words", "Sparkle Ox\nother words", "Lone\nzeta words"]
     docs = [(i, t, "en", "s", len(t)) for i, t in enumerate(texts)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
-    spark.createDataFrame([(1, "spark?"), (2, "zeta")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame([(900, [1.0, 0.0], 0)], "vec_id long, embedding array<float>, label long").write.parquet(f"{d}/embeddings.parquet")
-    return d, dict(enumerate(texts))
+    asked = spark.createDataFrame([("1", "spark?", None), ("2", "zeta", None)], "query_id string, query string, vector array<float>")
+    return str(d), dict(enumerate(texts)), asked
 
 
-def test_graph_channel_matches_plain_version(spark, library):
-    d, texts = library
+def plain_graph_scores(texts, own_terms):
+    """Of texts that match the query: its score plus that of the names Spark, Sparkle, Kafka and Ox."""
     words = lambda t: re.findall(r"\w+", t.lower())
     body, title = {i: words(t) for i, t in texts.items()}, {i: words(t.split("\n")[0]) for i, t in texts.items()}
     # The names Spark and Sparkle match; beside them stand Kafka and Ox.
     names = plain_bm25([(n, 1.5) for n in ("spark", "sparkle", "kafka", "ox")], body)
-    own, head = plain_bm25([("spark", 1.0)], body), plain_bm25([("spark", 1.0)], title)
-    score = {i: round(max(3 * own[i], 2 * head.get(i, 0)) + names.get(i, 0), 6) for i in own}
+    own, head = plain_bm25([(t, 1.0) for t in own_terms], body), plain_bm25([(t, 1.0) for t in own_terms], title)
+    return {i: round(max(3 * own[i], 2 * head.get(i, 0)) + names.get(i, 0), 6) for i in own}
+
+
+def test_graph_channel_matches_plain_version(spark, library):
+    d, texts, asked = library
+    score = plain_graph_scores(texts, ["spark"])
     want = [(i, score[i]) for i in sorted(score, key=lambda i: (-score[i], i))[:10]]
-    got = sorted(run(spark, "h5_graph_search", d), key=lambda r: r.rank)
+    found = rt.graph_search(asked, rt.graph_names(asked, views.mentions(spark, d)), search.docs_of(spark, d), search.FIELDS, "content", 10, 6)
+    got = sorted(found.collect(), key=lambda r: r.rank)
     assert {r.query_id for r in got} == {"1"}
     assert [(r.chunk_id, pytest.approx(r.score, abs=2e-6)) for r in got] == want
 
 
+def channels_of(spark, library, **more):
+    d, _, asked = library
+    return rt.search_channels(asked, search.docs_of(spark, d), search.vectors_of(spark, d), views.mentions(spark, d), search.FIELDS, **more)
+
+
 def test_fusion_holds_what_only_the_graph_finds(spark, library):
-    got = {(r.query_id, r.chunk_id): r for r in run(spark, "h6_e2_rrf_fusion", library[0])}
+    got = {(r.query_id, r.chunk_id): r for r in fu.fused(fu.contributions(channels_of(spark, library))).collect()}
     only = got["1", 29]
     assert only.sources == "graph" and only.score == round(0.8 / (60 + 2), 6)
     assert got["1", 0].sources == "keyword,sparse,graph"
+
+
+def test_filters_hold_in_all_channels_and_types_route(spark, library):
+    kept = channels_of(spark, library, keep=F.col("chunk_id") < 5)
+    assert {r.chunk_id for r in kept.collect()} <= set(range(5)) and kept.count() > 0
+    _, _, asked = library
+    assert {r.channel for r in rt.routed(channels_of(spark, library), asked).where("query_id = '2'").collect()} == {"keyword"}
