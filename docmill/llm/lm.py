@@ -12,8 +12,8 @@ be in one place.
 
 One pass turns each block of documents into one packed row for each shard that it has words of: words, contexts
 relative to them, and the documents (by number in the block) that hold each. A shard counts the training part over all
-blocks and builds its trie: words, their contexts v, and the contexts u of those, each level in Elias-Fano code with
-monotone pointers into the next, next to quantised smoothed log numerators and denominators, all in memory-mapped files
+blocks and builds its trie: words, their contexts v, and the contexts u of those, contexts in Elias-Fano code with
+monotone pointers into the next level, next to quantised smoothed log numerators and denominators, all in memory-mapped files
 that vanish with the task. Then the blocks' tokens are streamed through it, each by successor search relative to its
 context. What a shard returns of a block is one figure for each document that occurs in both, so the bytes shuffled per
 token are bounded at any number of shards. Blocks are named by partition and number, not by content.
@@ -54,6 +54,18 @@ STEPS = 65535
 STREAM_REFS = 250_000
 
 
+def select_table() -> np.ndarray:
+    """Place of the k-th set bit of each byte."""
+    out = np.zeros((256, 8), np.int64)
+    for byte in range(256):
+        places = [i for i in range(8) if byte >> i & 1]
+        out[byte, : len(places)] = places
+    return out
+
+
+SELECT = select_table()
+
+
 class EliasFano:
     """A monotone sequence of 64-bit numbers in memory-mapped low and high parts."""
 
@@ -71,27 +83,15 @@ class EliasFano:
             spill = np.flatnonzero((bit & 63) + self.low_bits > 64)
             np.bitwise_or.at(words, at[spill] + 1, low[spill] >> (U(64) - shift[spill]))
         self.low = mapped(words, folder)
-        bits = np.zeros(((int(high[-1]) if self.n else 0) // 512 + 1) * 512, np.uint8)
+        bits = np.zeros(((int(high[-1]) if self.n else 0) // 64 + 1) * 64, np.uint8)
         bits[high] = 1
-        self.high = mapped(np.packbits(bits, bitorder="little").view(U), folder)
-        per_block = np.bitwise_count(self.high).astype(np.int64).reshape(-1, 8).sum(1)
-        self.ranks = mapped(np.concatenate([[0], np.cumsum(per_block)]), folder)
+        self.high = mapped(np.packbits(bits, bitorder="little"), folder)
+        self.ranks = mapped(np.concatenate([[0], np.cumsum(np.bitwise_count(self.high), dtype=np.int64)[:-1]]).astype(np.uint32), folder)  # set bits before each byte
 
     def select(self, k: np.ndarray) -> np.ndarray:
         """Position of the k-th set bit (from 0) of the high part."""
-        block = np.searchsorted(self.ranks, k, "right") - 1
-        rest, word = k - self.ranks[block], block * 8
-        for _ in range(7):
-            ones = np.bitwise_count(self.high[word]).astype(np.int64)
-            step = rest >= ones
-            rest, word = rest - ones * step, word + step
-        bits, at = self.high[word], word * 64
-        for width in (32, 16, 8, 4, 2, 1):
-            ones = np.bitwise_count(bits & U((1 << width) - 1)).astype(np.int64)
-            step = rest >= ones
-            rest, at = rest - ones * step, at + width * step
-            bits = bits >> (step * width).astype(U)
-        return at
+        byte = np.searchsorted(self.ranks, k.astype(np.uint32), "right") - 1
+        return byte * 8 + SELECT[self.high[byte], k - self.ranks[byte]]
 
     def __getitem__(self, k: np.ndarray) -> np.ndarray:
         high = (self.select(k) - k).astype(U) << U(self.low_bits)
@@ -140,7 +140,7 @@ class Codes:
 
 
 class Trie:
-    """Words, their contexts v, and the contexts u of those: every level an Elias-Fano sequence relative to the one above.
+    """Words, their contexts v, and the contexts u of those, the latter two Elias-Fano sequences relative to the level above.
 
     What follows a word has its denominator at (word, v), or at the word alone; the word's own numerator is at the
     longest context known.
@@ -150,7 +150,7 @@ class Trie:
         """pairs: word number << V_BITS | v, triples: pair number << U_BITS | u; all ascending, with their counts."""
         own, pair = (pairs >> U(V_BITS)).astype(np.int64), (triples >> U(U_BITS)).astype(np.int64)
         self.n_words = len(words)
-        self.words = EliasFano(words, folder)
+        self.words = mapped(words, folder)
         self.to_pairs = EliasFano(np.searchsorted(own, np.arange(len(words) + 1)).astype(U), folder)
         self.pairs = EliasFano(pairs, folder)
         self.to_triples = EliasFano(np.searchsorted(pair, np.arange(len(pairs) + 1)).astype(U), folder)
@@ -176,13 +176,10 @@ class Trie:
         return out
 
     def find_words(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), -1, np.int64)
-        if self.n_words:
-            at = self.words.successor(np.zeros(len(h), np.int64), np.full(len(h), self.n_words), h)
-            there = np.flatnonzero(at < self.n_words)
-            there = there[self.words[at[there]] == h[there]]
-            out[there] = at[there]
-        return out
+        if not self.n_words:
+            return np.full(len(h), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.words, h), self.n_words - 1)
+        return np.where(self.words[at] == h, at, -1)
 
     def numerators(self, word: np.ndarray, pair: np.ndarray, triple: np.ndarray, unknown: float) -> np.ndarray:
         out = np.full(len(triple), unknown)
