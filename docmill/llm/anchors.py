@@ -2,9 +2,10 @@
 
 Each window picks an anchor, the gram in it with the least hash, by its own content; equal windows pick equal anchors
 at equal offsets. Only anchors are shuffled, and of these only the ones that occur twice go on, each with its context:
-all that the windows around it can reach. A context that occurs twice is repeated as a whole. The others go, grouped
-by anchor, to a resolver that finds which windows in them recur. Anchors with more distinct contexts than one task
-should hold are resolved by counting window hashes over the cluster instead, so no group is ever gathered whole.
+all that the windows around it can reach. Contexts go, grouped by anchor, to a resolver that finds which windows in them
+recur; a context that occurs more than once goes there once, for all its places, or is settled by its 64-bit hash, as
+the caller says. Anchors with more distinct contexts than one task should hold are resolved by counting 64-bit window
+hashes over the cluster instead, so no group is ever gathered whole; both ways find the same windows.
 """
 
 from __future__ import annotations
@@ -146,29 +147,38 @@ def hot_ranges(contexts: DataFrame, w: Windows) -> DataFrame:
     return contexts.select("cid", "id", "th", "pos").join(found, "cid").select("id", "th", (F.col("pos") - F.col("most")).alias("lo"), (F.col("pos") + w.length - F.col("least")).alias("hi"))
 
 
-def repeated_ranges(docs: DataFrame, w: Windows, resolve: Callable[[pa.Table], pa.Table], shard_contexts: int, hot_contexts: int) -> DataFrame:
+def repeated_ranges(docs: DataFrame, w: Windows, resolve: Callable[[pa.Table], pa.Table], shard_contexts: int, hot_contexts: int, resolve_repeats: bool) -> DataFrame:
     """(id, th, lo, hi): ranges of units of documents (id, th, text) that some repeated window covers.
 
-    resolve takes the contexts of some anchors (CONTEXT and id) and returns (id, th, lo, hi).
+    resolve takes the contexts of some anchors (CONTEXT and id) and returns (id, th, lo, hi, a, c): ranges of a context
+    that occurs once, or, without an id, of one that occurs more often, relative to its anchor. With resolve_repeats the
+    latter go through it as well, one representative each; else their equal hashes settle them.
     """
     anchors = staged(anchor_table(docs, w), "anchors")
     twice = anchors.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
     occurrences = staged(anchors.join(twice, "a"), "occurrences")
     contexts = staged(occurrences.groupBy("a", "c").agg(F.count("*").alias("n"), F.min(F.struct("th", "pos", "left", "right", "id")).alias("at")), "contexts")
-    ranges = occurrences.join(contexts.where("n > 1").select("a", "c"), ["a", "c"]).where(F.col("left") + F.col("right") >= w.length)
-    ranges = ranges.select("id", "th", (F.col("pos") - F.col("left")).cast("int").alias("lo"), (F.col("pos") + F.col("right")).cast("int").alias("hi"))
-    single = contexts.groupBy("a").agg(F.count("*").alias("distinct"), F.min("n").alias("n")).where("n = 1 and distinct > 1").select("a", "distinct")
-    open_ = contexts.join(single, "a").select("a", "c", "n", "at.*", "distinct")
-    open_ = staged(open_, "open-contexts")
-    bodies = staged(contexts_of(docs, open_, w).join(small(open_.where(F.col("distinct") > hot_contexts).select("a").distinct().withColumn("hot", F.lit(True))), "a", "left"), "context-bodies")
+    by_anchor = contexts.groupBy("a").agg(F.count("*").alias("distinct"), F.min("n").alias("least"), F.max("n").alias("most"))
+    wanted = "distinct > 1 or most > 1" if resolve_repeats else "distinct > 1 and least = 1"
+    open_ = staged(contexts.join(by_anchor.where(wanted).select("a", "distinct"), "a").select("a", "c", "n", "at.*", "distinct"), "open-contexts")
+    crowded = small(open_.where(F.col("distinct") > hot_contexts).select("a").distinct().withColumn("hot", F.lit(True)))
+    bodies = staged(contexts_of(docs, open_, w).join(crowded, "a", "left"), "context-bodies")
     shards = max(1, -(-bodies.count() // shard_contexts))
     sharded = bodies.where("hot is null").drop("hot").withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards)))
-    schema = T.StructType([docs.schema["id"], *T._parse_datatype_string("th long, lo int, hi int").fields])
-    found = sharded.groupBy("shard").applyInArrow(resolve, schema)
+    schema = T.StructType([docs.schema["id"], *T._parse_datatype_string("th long, lo int, hi int, a long, c long").fields])
+    found = staged(sharded.groupBy("shard").applyInArrow(resolve, schema), "found")
+    ranges = found.where("a is null").select("id", "th", "lo", "hi")
+    at = lambda c: (F.col("pos") + F.col(c)).cast("int").alias(c)
+    ranges = ranges.unionByName(occurrences.join(found.where("a is not null").select("a", "c", "lo", "hi"), ["a", "c"]).select("id", "th", at("lo"), at("hi")))
+    whole = contexts.where("n > 1").select("a", "c")
+    if resolve_repeats:
+        whole = whole.join(crowded, "a", "left_semi")
+    whole = occurrences.join(whole, ["a", "c"]).where(F.col("left") + F.col("right") >= w.length)
+    ranges = ranges.unionByName(whole.select("id", "th", (F.col("pos") - F.col("left")).cast("int").alias("lo"), (F.col("pos") + F.col("right")).cast("int").alias("hi")))
     hot = bodies.where("hot").drop("hot")
     if not hot.isEmpty():
-        found = found.unionByName(hot_ranges(hot.dropDuplicates(["a", "c"]), w).select("id", "th", F.col("lo").cast("int"), F.col("hi").cast("int")))
-    return ranges.unionByName(found)
+        ranges = ranges.unionByName(hot_ranges(hot.dropDuplicates(["a", "c"]), w).select("id", "th", F.col("lo").cast("int"), F.col("hi").cast("int")))
+    return ranges
 
 
 def merged(lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:

@@ -1,13 +1,15 @@
 """Substring deduplication by repeated-phrase automata.
 
 Passages that recur are confirmed, compiled into sharded Aho-Corasick automata over word sequences (pyahocorasick),
-and the documents' contexts are streamed through the automaton of their shard to locate every occurrence. Which
-passages and documents meet in a shard is decided by content-defined anchors (see anchors.py), so a shard's automaton
-is bounded and no document visits a shard that cannot match in it.
+and what the documents hold is streamed through the automaton of their shard to locate every occurrence. Which passages
+and documents meet in a shard is decided by content-defined anchors (see anchors.py), so a shard's automaton is bounded
+and no document visits a shard that cannot match in it; equal surroundings of an anchor are streamed once for all
+documents that have them. Anchors with more than `hot_contexts` different surroundings are not gathered in a shard:
+their windows are counted, and located, by hash over the cluster.
 
-Defined results: null or empty texts have no words and lose none; texts shorter than a window lose nothing unless
-nothing; repeated rows are occurrences of their own, so each loses all windows; other columns pass through; an empty
-table gives an empty result.
+Defined results: null or empty texts have no words and lose none; texts shorter than a window lose nothing; texts and
+words may be of any length; repeated rows are occurrences of their own, so each loses all windows; rows equal in id and
+text lose the same; other columns pass through, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ def locate(window: int, gram: int):
 
     def resolve(shard: pa.Table) -> pa.Table:
         ids: dict[bytes, int] = defaultdict(lambda: len(ids) + 1)
+        pos = shard.column("pos").to_pylist()
         rows = {}
         for i, (a, c, n, left, body) in enumerate(zip(*(shard.column(k).to_pylist() for k in ("a", "c", "n", "left", "body")), strict=True)):
             rows[a, c] = (i, a, n, left, tuple([ids[w] for w in body.split(b" ")]))
@@ -42,21 +45,19 @@ def locate(window: int, gram: int):
             if n > 1:
                 passages[seq].add((a, o))
         seen.clear()
-        at, lo, hi = [], [], []
+        out: dict[str, list] = {k: [] for k in ("row", "lo", "hi", "a", "c")}
         if passages:
             for seq, anchors in passages.items():
                 automaton.add_word(seq, anchors)
             automaton.make_automaton()
-            pos = shard.column("pos").to_pylist()
-            for i, a, n, left, seq in rows.values():
-                if n == 1:
-                    starts = [end - window + 1 for end, anchors in automaton.iter(seq) if (a, left - (end - window + 1)) in anchors]
-                    if starts:
-                        at.append(i)
-                        lo.append(pos[i] - left + starts[0])
-                        hi.append(pos[i] - left + starts[-1] + window)
-        take = pa.array(at, pa.int64())
-        return pa.table([shard.column("id").take(take), shard.column("th").take(take), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], names=["id", "th", "lo", "hi"])
+            for (a, c), (i, _, n, left, seq) in rows.items():
+                starts = [end - window + 1 for end, anchors in automaton.iter(seq) if (a, left - (end - window + 1)) in anchors]
+                if starts:
+                    at = pos[i] if n == 1 else 0
+                    for k, v in zip(out, (i if n == 1 else None, at - left + starts[0], at - left + starts[-1] + window, None if n == 1 else a, None if n == 1 else c), strict=True):
+                        out[k].append(v)
+        take = pa.array(out["row"], pa.int64())
+        return pa.table([shard.column("id").take(take), shard.column("th").take(take), pa.array(out["lo"], pa.int32()), pa.array(out["hi"], pa.int32()), pa.array(out["a"], pa.int64()), pa.array(out["c"], pa.int64())], names=["id", "th", "lo", "hi", "a", "c"])
 
     return resolve
 
@@ -65,5 +66,5 @@ def remove_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """docs with a struct column phrase_dedup: n_units (words), n_removed, n_spans, kept_sha256, spans, kept."""
     w = Windows(window, min(gram, window), True)
     texts = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    ranges = repeated_ranges(texts, w, locate(window, w.gram), shard_contexts, hot_contexts)
+    ranges = repeated_ranges(texts, w, locate(window, w.gram), shard_contexts, hot_contexts, True)
     return removed(docs, ranges, id_col, text_col, "phrase_dedup", w, keep_text)

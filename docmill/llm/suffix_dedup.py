@@ -7,9 +7,14 @@ verified byte by byte; where a hash collision shows, the shard is sorted again b
 left of an anchor equals another if both agree in o bytes to the left and length - o to the right, which the two
 orders and the extensions of neighbours answer for all offsets at once.
 
-Defined results: null or empty texts have no bytes and lose none; repeated rows are occurrences of their own, so each
-loses all windows; removal may cut inside a UTF-8 sequence, so what is kept is binary; other columns pass through; an
-empty table gives an empty result.
+Two kinds of windows do not meet in a sort and are not verified by bytes: surroundings of an anchor that occur more
+than once as a whole are told by a 64-bit hash, within their anchor's; and anchors with more than `hot_contexts`
+different surroundings have their windows counted by 64-bit hashes over the cluster.
+
+Defined results: null or empty texts have no bytes and lose none; texts may be of any length; repeated rows are
+occurrences of their own, so each loses all windows; rows equal in id and text lose the same; removal may cut inside a
+UTF-8 sequence, so what is kept is binary; other columns pass through, whatever their names; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -131,8 +136,8 @@ def sort_and_mark(window: int, gram: int):
             most[again] = o
             least[again] = np.minimum(least[again], o)
         hit = np.flatnonzero((most >= 0) & (n == 1))
-        take = pa.array(hit)
-        return pa.table([shard.column("id").take(take), shard.column("th").take(take), pa.array((pos[hit] - most[hit]).astype(np.int32)), pa.array((pos[hit] + window - least[hit]).astype(np.int32))], names=["id", "th", "lo", "hi"])
+        take, none = pa.array(hit), pa.nulls(len(hit), pa.int64())
+        return pa.table([shard.column("id").take(take), shard.column("th").take(take), pa.array((pos[hit] - most[hit]).astype(np.int32)), pa.array((pos[hit] + window - least[hit]).astype(np.int32)), none, none], names=["id", "th", "lo", "hi", "a", "c"])
 
     return resolve
 
@@ -141,5 +146,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """docs with a struct column suffix_dedup: n_units (bytes), n_removed, n_spans, kept_sha256, spans, kept."""
     w = Windows(window, min(gram, window), False)
     texts = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
-    ranges = repeated_ranges(texts, w, sort_and_mark(window, w.gram), shard_contexts, hot_contexts)
+    ranges = repeated_ranges(texts, w, sort_and_mark(window, w.gram), shard_contexts, hot_contexts, False)
     return removed(docs, ranges, id_col, text_col, "suffix_dedup", w, keep_text)
