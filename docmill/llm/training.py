@@ -24,5 +24,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     n = known.count()
     if n > bound:
         known = known.where(F.pmod(F.xxhash64(F.lit("sample"), "lid"), F.lit(SLOTS)) < int(SLOTS * bound / n))
-    both = docs.join(F.broadcast(known), F.col(id_col) == F.col("lid")).select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), "y")
+    texts = docs.select(F.col(id_col).alias("did"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    both = texts.join(F.broadcast(known), F.col("did") == F.col("lid")).select(F.xxhash64("text").alias("th"), "text", "y")
     return both.groupBy("th").agg(F.first("text").alias("text"), F.max("y").alias("y"))
