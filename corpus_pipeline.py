@@ -7,10 +7,11 @@ next stage's documents. All stages but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docmill.llm import decontamination, line_dedup, minhash, mixing, toxicity
-from docmill.llm.common import staged, table
+from docmill.llm.common import free_name, staged, table, text_key
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +33,19 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: five-word shingles, Jaccard similarity of 0.8 or more."""
-    d = minhash.near_duplicates(docs, shingle=5, threshold_percent=80)
-    return d.where(F.col(f"{d.columns[-1]}.kept")).select(*docs.columns)
+    """One document of each group of near duplicates stays: five-word shingles, Jaccard similarity of 0.8 or more.
+
+    It is the one with the smallest id; of rows that share that id, or where no row has one, that of the lowest text key.
+    Documents without words are in no group and stay.
+    """
+    d = minhash.near_duplicates(docs, shingle=5, threshold_percent=80, group=True)
+    r = d.columns[-1]
+    kept, group = d.where(F.col(f"{r}.kept")), F.col(f"{r}.group")
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():  # only then can a group have two rows left
+        order = F.row_number().over(W.partitionBy(group).orderBy(F.col("doc_id").asc_nulls_last(), text_key(F.col("text"))))
+        place = free_name(d, "__dm_place")
+        kept = kept.where(group.isNull()).unionByName(kept.where(group.isNotNull()).withColumn(place, order).where(F.col(place) == 1).drop(place))
+    return kept.select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

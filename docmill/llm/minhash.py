@@ -262,9 +262,9 @@ def agreeing(pairs: DataFrame, sigs: DataFrame, matches: int, coordinates: int)
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold_percent: int = 80, coordinates: int = 64, crowd: int = 64, block: int = 1024, block_shingles: int = 400_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold_percent: int = 80, coordinates: int = 64, crowd: int = 64, block: int = 1024, block_shingles: int = 400_000, group: bool = False
 ) -> DataFrame:
-    """docs with a struct column near_dup: n_shingles, component_id, kept."""
+    """docs with a struct column near_dup: n_shingles, component_id, kept and, if asked for, group, a number that all rows of a component share, null where nothing can be linked."""
     matches = least_matches(coordinates, threshold_percent / 100)
     prefix = coordinates - matches + 1
     rows = staged(signature_table(docs, id_col, text_col, shingle, coordinates), "signatures")
@@ -329,9 +329,9 @@ def near_duplicates(
 
     member = classes.join(labels, classes["class"] == labels["node"], "left").select("s1", "s2", "id", F.coalesce("component", "class").alias("component"))
     least = member.groupBy("component").agg(F.min("id").alias("least"))
-    member = member.join(least, "component").select("s1", "s2", "least")
-    out = rows.join(member, ["s1", "s2"], "left").groupBy("id", "th").agg(F.first("n_shingles").alias("n"), F.first("least").alias("least"))
+    member = member.join(least, "component").select("s1", "s2", "least", "component")
+    out = rows.join(member, ["s1", "s2"], "left").groupBy("id", "th").agg(F.first("n_shingles").alias("n"), F.first("least").alias("least"), F.first("component").alias("component"))
     d, f = joined_back(docs, out, id_col, text_col)
     component = F.coalesce(F.col(f"{f}.least"), F.col(id_col))
-    figures = F.struct(F.col(f"{f}.n").alias("n_shingles"), component.alias("component_id"), F.col(id_col).eqNullSafe(component).alias("kept"))
+    figures = F.struct(F.col(f"{f}.n").alias("n_shingles"), component.alias("component_id"), F.col(id_col).eqNullSafe(component).alias("kept"), *([F.col(f"{f}.component").alias("group")] if group else []))
     return d.select(*[F.col(x) for x in docs.columns], figures.alias(free_name(docs, "near_dup")))

@@ -87,3 +87,17 @@ def test_run_is_the_stages_in_order(spark, corpus):
     out = corpus_pipeline.run(spark, corpus)
     assert out.count() > 100 and out.where("taken > 3 * size").count() == 0
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_one_row_of_each_group_stays(spark, corpus):
+    """Repeated rows, null ids and extra columns; and an empty table through every stage."""
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(1, text, 7)] * 3 + [(2, text + " end", 7), (None, "x " + text[:150], 7), (None, "lone other words stand here", 7), (None, "lone other words stand here", 7), (None, None, 7), (9, "", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, near_dup int").repartition(4)
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, corpus)
+    assert kept.columns == docs.columns
+    got = sorted((str(r.doc_id), (r.text or "")[:4]) for r in kept.collect())
+    assert got == [("1", "word"), ("9", ""), ("None", ""), ("None", "lone"), ("None", "x wo")]
+    empty = spark.read.parquet(f"{corpus}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, corpus).count() == 0
