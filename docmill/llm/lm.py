@@ -338,7 +338,7 @@ def streamed(block: Block, trie: Trie, unknown_base: float, prior: float) -> tup
     return docs, add((word >= 0)[word_of_ref]), add(base[word_of_ref]), add(score[of])
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, back: float = 0.01, prior: float = 3.0, shard_bytes: int = 6 << 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, back: float = 0.001, prior: float = 3.0, shard_bytes: int = 6 << 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with a struct column lm: held_out, n_tokens, n_known, train_tokens, base_score, score."""
     held = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 0
     texts = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("th"), F.col(text_col).alias("text"), held.alias("held"))

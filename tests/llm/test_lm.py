@@ -43,7 +43,7 @@ def held(i):
     return zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
 
 
-def check(d, rows, back=0.01, prior=3.0, field="lm"):
+def check(d, rows, back=0.001, prior=3.0, field="lm"):
     """Every field of every row; rows with equal id and text have equal figures."""
     want = sorted(zip(rows, brute(rows, back, prior)), key=lambda x: str(x))
     got = sorted((((x.doc_id, x.text), tuple(x[field])) for x in d.collect()), key=lambda x: str(x))
