@@ -89,17 +89,24 @@ def topic_experts(nodes: DataFrame, edges: DataFrame, word: str, most: int, most
 def name_matches(words: DataFrame, names: DataFrame, partial: int = 15, most: int = 20, gram: int = 3) -> DataFrame:
     """Names equal to a word of a query, then names that contain one; (query_id, word) against distinct (name).
 
-    Candidates come from an equi-join on the words' first grams; only these are compared, so dictionaries of any size
-    are never crossed with the words. Words shorter than a gram only match whole names.
+    Candidates come from an equi-join on the first three characters of a word (fewer, if it is shorter) with such parts of
+    the names; only these are compared, so dictionaries of any size are never crossed with the words. Words shorter than
+    `gram` only match whole names. A word that many queries share is looked up once, and of what it is part of only as
+    many names go on as any query can show.
     """
     from .storage import staged
 
     low = names.select("name", F.lower("name").alias("low"))
-    grams = low.select("name", "low", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("low") - gram + 1)), lambda i: F.substr("low", i, F.lit(gram))))).alias("g"))
+    sizes = F.array(*[F.lit(n) for n in range(min(gram, 3), 4)])
+    parts = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("low") - n + 1)), lambda i: F.substr("low", i, n))))
+    grams = low.select("name", "low", F.explode(F.array_distinct(parts)).alias("g"))
     w = staged(words.select("query_id", F.lower("word").alias("word")).distinct(), "query-words")
-    each = w.select("word").distinct()  # a word that many queries share is looked up once
-    exact = each.join(low, F.col("word") == F.col("low")).select("word", "name", F.lit(0).alias("kind"))
-    part = each.where(F.length("word") >= gram).join(grams, F.substring("word", 1, gram) == F.col("g")).where(F.contains("low", "word") & (F.col("low") != F.col("word"))).select("word", "name", F.lit(1).alias("kind"))
+    each = w.select("word").distinct()
+    exact = staged(each.join(low, F.col("word") == F.col("low")).select("word", "name", F.lit(0).alias("kind")), "same-names")
+    # Names that equal another word of the query stand elsewhere; so many more have to be at hand.
+    shown = partial + (w.join(exact, "word").groupBy("query_id").agg(F.count_distinct("name").alias("n")).agg(F.max("n")).first()[0] or 0)
+    part = each.where(F.length("word") >= gram).join(grams, F.substring("word", 1, 3) == F.col("g")).where(F.contains("low", "word") & (F.col("low") != F.col("word"))).select("word", "name").distinct()
+    part = part.withColumn("r", F.row_number().over(W.partitionBy("word").orderBy("name"))).where(F.col("r") <= shown).select("word", "name", F.lit(1).alias("kind"))
     best = w.join(exact.unionByName(part), "word").groupBy("query_id", "name").agg(F.min("kind").alias("kind"))
     r = best.withColumn("r", F.row_number().over(W.partitionBy("query_id", "kind").orderBy("name"))).where((F.col("kind") == 0) | (F.col("r") <= partial))
     return r.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy("kind", "name"))).where(F.col("r") <= most)

@@ -182,15 +182,16 @@ def graph_names(queries: DataFrame, mentions: DataFrame, edges: DataFrame | None
     return e.select("query_id", "name", F.row_number().over(W.partitionBy("query_id").orderBy("hop", "name")).alias("r"))
 
 
-def graph_scores(queries: DataFrame, names: DataFrame, docs: DataFrame | TextIndex, boosts: dict[str, float], field: str, boost: float = 1.5, most_names: int = 10) -> DataFrame:
+def graph_scores(queries: DataFrame, names: DataFrame, docs: DataFrame | TextIndex, boosts: dict[str, float], field: str, boost: float = 1.5, most_names: int = 10, scores: DataFrame | None = None) -> DataFrame:
     """H5: keyword scores plus 1.5 times the score in a field of each expanded name (query_id, name, r), for the texts that match the query.
 
     Queries without a name find nothing. docs holds the rows that the query may see, so filters hold here as in the
-    other channels.
+    other channels. scores: the queries' own BM25, where it is at hand.
     """
     index = docs if isinstance(docs, TextIndex) else text_index(docs, list(boosts))
     first = staged(names.where(F.col("r") <= most_names).select("query_id", "name"), "query-names")
-    base = bm25(query_terms(queries.join(first, "query_id", "left_semi")), index, boosts)
+    named = first.select("query_id").distinct()
+    base = bm25(query_terms(queries.join(named, "query_id", "left_semi")), index, boosts) if scores is None else scores.join(small(named), "query_id", "left_semi")
     # Each name is a clause of its own, so a term counts once for each name that holds it.
     extra = first.select("query_id", F.explode(F.array_distinct(tokens(F.col("name")))).alias("term")).groupBy("query_id", "term").agg((F.count("*") * boost).alias("weight"))
     more = bm25(extra, index, {field: 1.0}).withColumnRenamed("score", "more")
@@ -218,11 +219,12 @@ def search_channels(
         vectors = vectors.join(ids, "chunk_id", "left_semi")
     index = index or text_index(docs, list(boosts))
     a = staged(dense_search(queries.select("query_id", "vector"), vectors, k, digits), "vector-channel")
-    b = staged(keyword_search(queries, index, boosts, k, digits), "keyword-channel")
+    scores = staged(bm25(query_terms(queries), index, boosts), "scores")  # of two channels
+    b = staged(top(rounded(scores, digits), k, ["query_id"], "chunk_id"), "keyword-channel")
     both = a.select("query_id", "chunk_id").unionByName(b.select("query_id", "chunk_id"))
     terms = query_terms(queries).select("query_id", F.col("term").alias("token"), F.lit(1.0).alias("weight"))
     c = sparse_search(terms, sparse_weights(index, field, docs.count(), digits=digits), both, k, digits)
-    d = graph_search(queries, graph_names(queries, mentions), index, boosts, field, graph_k, digits)
+    d = top(rounded(graph_scores(queries, graph_names(queries, mentions), index, boosts, field, scores=scores), digits), graph_k, ["query_id"], "chunk_id")
     mark = lambda df, name: df.select("query_id", "chunk_id", "rank", "score", F.lit(name).alias("channel"))
     return staged(mark(a, "vector").unionByName(mark(b, "keyword")).unionByName(mark(c, "sparse")).unionByName(mark(d, "graph")), "channels")
 

@@ -128,7 +128,7 @@ def channels(spark, d):
 
 
 ALL_SQL = WITH + DENSE_SQL + ", " + BM25_SQL + ", " + SPARSE_SQL + ", " + GRAPH_CHANNEL_SQL + """,
-ch AS (SELECT query_id, chunk_id, rank, score, 'vector' AS channel, 0 AS no, 1.0::DOUBLE AS w FROM dense UNION ALL SELECT query_id, chunk_id, rank, score, 'keyword', 1, 1.0 FROM keyword UNION ALL SELECT query_id, chunk_id, rank, score, 'sparse', 2, 0.7 FROM sparse UNION ALL SELECT query_id, chunk_id, rank, score, 'graph', 3, 0.8 FROM graph),
+ch AS (SELECT query_id, chunk_id, rank, score, 'vector' AS channel, 0 AS no, 1.0::DOUBLE AS w FROM dense WHERE query_id IN (SELECT query_id FROM queries) UNION ALL SELECT query_id, chunk_id, rank, score, 'keyword', 1, 1.0 FROM keyword UNION ALL SELECT query_id, chunk_id, rank, score, 'sparse', 2, 0.7 FROM sparse UNION ALL SELECT query_id, chunk_id, rank, score, 'graph', 3, 0.8 FROM graph),
 fu AS (SELECT query_id, chunk_id, round(sum(w / (60 + rank) ORDER BY no), 6) AS score, arg_max(channel, w / (60 + rank) - no * 1e-9) AS source, count(*)::BIGINT AS n_sources, string_agg(channel, ',' ORDER BY no) AS sources, min(no * 1000 + rank) AS first FROM ch GROUP BY ALL),
 fused AS (SELECT query_id, chunk_id, score, source, n_sources, sources, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id) AS rank FROM fu)"""
 
