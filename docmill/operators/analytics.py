@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import small
+from .storage import small, staged
 
 
 def rate(part: Column, whole: Column) -> Column:
@@ -54,14 +54,15 @@ def load_summary(runs: DataFrame) -> DataFrame:
     )
 
 
-def ranked_percentiles(df: DataFrame, keys: list[str], value: str, percents: tuple[int, ...] = (50, 95, 99), limit: float | None = None, ranges: int = 256) -> DataFrame:
+def ranked_percentiles(df: DataFrame, keys: list[str], value: str, percents: tuple[int, ...] = (50, 95, 99), limit: float | None = None, ranges: int = 128) -> DataFrame:
     """The value at place floor(n * p / 100), the last one at most, of the sorted values; with mean, ends and a verdict.
 
     Exact without sorting a group in one task: approximate quantiles cut each group into ranges, counts of ranges tell
     which one holds a place, and only that range is ranked.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__x"), F.col(value).alias("__value"))
-    cuts = rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("__x", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10_000)).alias("__cuts"))
+    cuts = rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("__x", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 8 * ranges)).alias("__cuts"))
+    cuts = staged(cuts, "cuts")
     same = lambda other: [F.col(k).eqNullSafe(F.col(f"__{other}{i}")) for i, k in enumerate(keys)]
     named = lambda d, other: d.select(*[F.col(k).alias(f"__{other}{i}") for i, k in enumerate(keys)], *[c for c in d.columns if c not in keys])
     dealt = rows.join(small(named(cuts, "c")), same("c")).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col("__x")))).select(*keys, "__value", "__range")
@@ -71,6 +72,7 @@ def ranked_percentiles(df: DataFrame, keys: list[str], value: str, percents: tup
     place = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.least(F.floor(F.col("__n") * p / 100), F.col("__n") - 1).alias("i")) for p in percents]))
     wanted = counts.select(*keys, "__range", "__before", "__m", place.alias("__t")).where((F.col("__t.i") >= F.col("__before")) & (F.col("__t.i") < F.col("__before") + F.col("__m")))
     wanted = wanted.groupBy(*keys, "__range").agg(F.collect_list(F.struct("__t.p", (F.col("__t.i") - F.col("__before")).alias("i"))).alias("__wanted"))
+    wanted = staged(wanted, "places")
     near = dealt.join(small(named(wanted.withColumnRenamed("__range", "__r"), "w")), [*same("w"), F.col("__range") == F.col("__r")])
     near = near.withColumn("__i", F.row_number().over(W.partitionBy(*keys, "__range").orderBy("__value")) - 1)
     hits = near.select(*keys, "__value", "__i", F.explode("__wanted").alias("__t")).where(F.col("__i") == F.col("__t.i"))

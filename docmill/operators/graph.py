@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from docmill.functions.text import is_junk_name
 
+from .storage import staged
+
 # The relation types that are kept; any other becomes the last.
 RELATIONS = ["USES", "IMPLEMENTS", "BELONGS_TO", "DEPENDS_ON", "CREATED_BY", "PART_OF", "RELATED_TO"]
 
@@ -58,17 +60,14 @@ def expanded_names(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, neighbo
 def k_hop(edges: DataFrame, centres: DataFrame, depth: int = 2, limit: int = 50) -> DataFrame:
     """(centre, id, hop) of the nodes within so many hops, nearest first; depth is held within 1 and 5.
 
-    Each hop joins the frontier alone and leaves out what was visited; visited nodes are checkpointed where the session
-    has a folder for it.
+    Each hop joins the frontier alone and leaves out what was visited; frontiers are written, so no hop is run twice.
     """
-    both = undirected(edges).select("node", "other").distinct()
+    both = staged(undirected(edges).select("node", "other").distinct(), "neighbours")
     seen = centres.select(F.col("id").alias("centre"), "id", F.lit(0).alias("hop"))
     frontier = seen
-    reliable = edges.sparkSession.sparkContext.getCheckpointDir() is not None
     for hop in range(1, max(1, min(depth, 5)) + 1):
         step = frontier.join(both, F.col("id") == F.col("node")).select("centre", F.col("other").alias("id")).distinct()
-        frontier = step.join(seen, ["centre", "id"], "left_anti").withColumn("hop", F.lit(hop))
-        frontier = frontier.checkpoint() if reliable else frontier
+        frontier = staged(step.join(seen, ["centre", "id"], "left_anti").withColumn("hop", F.lit(hop)), "frontier")
         seen = seen.unionByName(frontier)
     r = F.row_number().over(W.partitionBy("centre").orderBy("hop", "id"))
     return seen.withColumn("r", r).where(F.col("r") <= limit).drop("r")
@@ -94,8 +93,6 @@ def name_matches(words: DataFrame, names: DataFrame, partial: int = 15, most: in
     `gram` only match whole names. A word that many queries share is looked up once, and of what it is part of only as
     many names go on as any query can show.
     """
-    from .storage import staged
-
     low = names.select("name", F.lower("name").alias("low"))
     sizes = F.array(*[F.lit(n) for n in range(min(gram, 3), 4)])
     parts = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("low") - n + 1)), lambda i: F.substr("low", i, n))))
