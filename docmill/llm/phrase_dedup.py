@@ -34,27 +34,43 @@ def locate(window: int, gram: int):
         rows = {}
         for i, (a, c, n, left, body) in enumerate(zip(*(shard.column(k).to_pylist() for k in ("a", "c", "n", "left", "body")), strict=True)):
             rows[a, c] = (i, a, n, left, tuple([ids[w] for w in body.split(b" ")]))
-        # Passages: windows that hold the anchor, by anchor and offset; one start in a document for each context.
+        # Passages are windows that hold the anchor, by anchor and offset, where a context that occurs once has them too;
+        # and contexts that occur more than once, as a whole.
+        lone = {a for _, a, n, _, _ in rows.values() if n == 1}
         seen: Counter = Counter()
-        for _, a, n, left, seq in rows.values():
-            for o in range(max(0, window - (len(seq) - left)), min(left, window - gram) + 1):
-                seen[a, o, seq[left - o : left - o + window]] += n
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        single = set()
         passages: dict[tuple, set] = defaultdict(set)
-        for (a, o, seq), n in seen.items():
-            if n > 1:
+        for (_, c), (_, a, n, left, seq) in rows.items():
+            if n > 1 and len(seq) >= window:
+                passages[seq].add((a, None, c))
+            if a in lone:
+                for o in range(max(0, window - (len(seq) - left)), min(left, window - gram) + 1):
+                    place = (a, o, seq[left - o : left - o + window])
+                    seen[place] += n
+                    if n == 1:
+                        single.add(place)
+        for a, o, seq in single:
+            if seen[a, o, seq] > 1:
                 passages[seq].add((a, o))
         seen.clear()
+        single.clear()
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         out: dict[str, list] = {k: [] for k in ("row", "lo", "hi", "a", "c")}
         if passages:
-            for seq, anchors in passages.items():
-                automaton.add_word(seq, anchors)
+            for seq, places in passages.items():
+                automaton.add_word(seq, places)
             automaton.make_automaton()
             for (a, c), (i, _, n, left, seq) in rows.items():
-                starts = [end - window + 1 for end, anchors in automaton.iter(seq) if (a, left - (end - window + 1)) in anchors]
-                if starts:
-                    at = pos[i] if n == 1 else 0
-                    for k, v in zip(out, (i if n == 1 else None, at - left + starts[0], at - left + starts[-1] + window, None if n == 1 else a, None if n == 1 else c), strict=True):
+                if len(seq) < window:
+                    continue
+                if n == 1:
+                    starts = [end - window + 1 for end, places in automaton.iter(seq) if (a, left - (end - window + 1)) in places]
+                    found = (i, pos[i] - left + starts[0], pos[i] - left + starts[-1] + window, None, None) if starts else None
+                else:
+                    whole = any((a, None, c) in places for _, places in automaton.iter(seq))
+                    found = (None, -left, len(seq) - left, a, c) if whole else None
+                if found:
+                    for k, v in zip(out, found, strict=True):
                         out[k].append(v)
         take = pa.array(out["row"], pa.int64())
         return pa.table([shard.column("id").take(take), shard.column("th").take(take), pa.array(out["lo"], pa.int32()), pa.array(out["hi"], pa.int32()), pa.array(out["a"], pa.int64()), pa.array(out["c"], pa.int64())], names=["id", "th", "lo", "hi", "a", "c"])
