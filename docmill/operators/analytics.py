@@ -54,31 +54,32 @@ def load_summary(runs: DataFrame) -> DataFrame:
     )
 
 
-def ranked_percentiles(df: DataFrame, keys: list[str], value: str, percents: tuple[int, ...] = (50, 95, 99), limit: float | None = None, ranges: int = 128) -> DataFrame:
+def ranked_percentiles(df: DataFrame, keys: list[str], value: str, percents: tuple[int, ...] = (50, 95, 99), limit: float | None = None) -> DataFrame:
     """The value at place floor(n * p / 100), the last one at most, of the sorted values; with mean, ends and a verdict.
 
-    Exact without sorting a group in one task: approximate quantiles cut each group into ranges, counts of ranges tell
-    which one holds a place, and only that range is ranked.
+    Exact: values are counted first, so one that a third of all rows have is one row; the counts are dealt by ranges of
+    (keys, value), the ranges' sums tell which of them hold a place, and only those are summed value by value. What meets
+    in one task is one sum for each range of a group, or one range's distinct values. Null values count for nothing, null
+    keys are a group.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__x"), F.col(value).alias("__value"))
-    cuts = rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("__x", F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 8 * ranges)).alias("__cuts"))
-    cuts = staged(cuts, "cuts")
-    same = lambda other: [F.col(k).eqNullSafe(F.col(f"__{other}{i}")) for i, k in enumerate(keys)]
-    named = lambda d, other: d.select(*[F.col(k).alias(f"__{other}{i}") for i, k in enumerate(keys)], *[c for c in d.columns if c not in keys])
-    dealt = rows.join(small(named(cuts, "c")), same("c")).withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col("__x")))).select(*keys, "__value", "__range")
-    counts = dealt.groupBy(*keys, "__range").agg(F.count("*").alias("__m"))
+    counts = staged(df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("__x")).agg(F.count("*").alias("__m")), "value-counts")
+    order = [*[F.col(k).asc_nulls_first() for k in keys], F.col("__x").asc()]
+    dealt = staged(counts.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "value-ranges")
+    sums = [F.sum("__m").alias("__m"), F.sum(F.col("__x").cast("double") * F.col("__m")).alias("__s"), F.min("__x").alias("__low"), F.max("__x").alias("__high")]
+    parts = staged(dealt.groupBy(*keys, "__part").agg(*sums), "range-sums")
     w = W.partitionBy(*keys)
-    counts = counts.withColumns({"__n": F.sum("__m").over(w), "__before": F.sum("__m").over(w.orderBy("__range").rowsBetween(W.unboundedPreceding, 0)) - F.col("__m")})
+    placed = parts.withColumns({"__n": F.sum("__m").over(w), "__before": F.sum("__m").over(w.orderBy("__part").rowsBetween(W.unboundedPreceding, 0)) - F.col("__m")})
     place = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.least(F.floor(F.col("__n") * p / 100), F.col("__n") - 1).alias("i")) for p in percents]))
-    wanted = counts.select(*keys, "__range", "__before", "__m", place.alias("__t")).where((F.col("__t.i") >= F.col("__before")) & (F.col("__t.i") < F.col("__before") + F.col("__m")))
-    wanted = wanted.groupBy(*keys, "__range").agg(F.collect_list(F.struct("__t.p", (F.col("__t.i") - F.col("__before")).alias("i"))).alias("__wanted"))
-    wanted = staged(wanted, "places")
-    near = dealt.join(small(named(wanted.withColumnRenamed("__range", "__r"), "w")), [*same("w"), F.col("__range") == F.col("__r")])
-    near = near.withColumn("__i", F.row_number().over(W.partitionBy(*keys, "__range").orderBy("__value")) - 1)
-    hits = near.select(*keys, "__value", "__i", F.explode("__wanted").alias("__t")).where(F.col("__i") == F.col("__t.i"))
-    places = hits.groupBy(*keys).agg(*[F.max(F.when(F.col("__t.p") == p, F.col("__value"))).alias(f"p{p}") for p in percents])
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg("__value"), 4).alias("avg"), F.min("__value").alias("min"), F.max("__value").alias("max"))
-    out = out.join(named(places, "p"), same("p")).select(*keys, "n", "avg", "min", "max", *[f"p{p}" for p in percents])
+    wanted = placed.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__range"), "__before", "__m", place.alias("__t"))
+    wanted = wanted.where((F.col("__t.i") >= F.col("__before")) & (F.col("__t.i") < F.col("__before") + F.col("__m"))).drop("__m")
+    same = lambda other: [F.col(k).eqNullSafe(F.col(f"__{other}{i}")) for i, k in enumerate(keys)]
+    wanted = wanted.groupBy(*[c for c in wanted.columns if c != "__t"]).agg(F.collect_list("__t").alias("__wanted"))
+    near = dealt.join(small(wanted), [*same("k"), F.col("__part") == F.col("__range")])
+    near = near.withColumn("__up", F.col("__before") + F.sum("__m").over(W.partitionBy(*keys, "__part").orderBy("__x").rowsBetween(W.unboundedPreceding, 0)))
+    hit = near.select(*keys, "__x", "__m", "__up", F.explode("__wanted").alias("__t")).where((F.col("__t.i") < F.col("__up")) & (F.col("__t.i") >= F.col("__up") - F.col("__m")))
+    places = hit.groupBy(*[F.col(k).alias(f"__p{i}") for i, k in enumerate(keys)]).agg(*[F.max(F.when(F.col("__t.p") == p, F.col("__x"))).alias(f"p{p}") for p in percents])
+    out = parts.groupBy(*keys).agg(F.sum("__m").alias("n"), F.round(F.sum("__s") / F.sum("__m"), 4).alias("avg"), F.min("__low").alias("min"), F.max("__high").alias("max"))
+    out = out.join(places, same("p")).select(*keys, "n", "avg", "min", "max", *[f"p{p}" for p in percents])
     return out if limit is None else out.withColumn("passed", F.col("avg") < limit)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions.text import any_of
 
+from .ranks import ranked
 from .storage import small
 
 # Shapes of chunks and of sections that say nothing.
@@ -122,8 +123,8 @@ def work_order(df: DataFrame, suffix: str, size: str, key: str, fast: dict[str,
 
 
 def work_rank(df: DataFrame, suffix: str, size: str, key: str, fast: dict[str, int]) -> DataFrame:
-    """Each row's place in that order, from 1, as a column."""
-    return global_rank(df, F.struct(priority(F.col(suffix), fast), F.col(size)), key)
+    """(suffix, size, key) with each row's place in that order, from 1; nulls first."""
+    return ranked(df.select(suffix, size, key), [priority(F.col(suffix), fast).asc(), F.asc_nulls_first(size), F.asc_nulls_first(key)])
 
 
 def admission(df: DataFrame, limits: DataFrame, least_bytes: int = 1) -> DataFrame:
@@ -135,22 +136,3 @@ def admission(df: DataFrame, limits: DataFrame, least_bytes: int = 1) -> DataFra
 
 def numbered(df: DataFrame, partition: list[str], order: list, name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(W.partitionBy(*partition).orderBy(*order)))
-
-
-def key_range(df: DataFrame, key: str) -> Column:
-    """A coarse value in the order of key: ranges of numbers, the first four characters of text."""
-    kind = df.schema[key].dataType.simpleString()
-    return F.substring(key, 1, 4) if kind == "string" else F.floor(F.col(key) / 65536)
-
-
-def global_rank(df: DataFrame, by: Column, key: str, name: str = "rank") -> DataFrame:
-    """Rank from 1 over all rows by a column, then a unique key: counts per value and range of keys, then ranks within those.
-
-    Only such counts meet in one task, never the rows, so a value that a third of all rows have is no hot group.
-    """
-    d = df.withColumns({"__v": by, "__b": key_range(df, key)})
-    counts = d.groupBy("__v", "__b").agg(F.count("*").alias("__n"))
-    skip = counts.select(F.col("__v").alias("__w"), F.col("__b").alias("__c"), (F.sum("__n").over(W.orderBy("__v", "__b").rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__skip"))
-    within = F.row_number().over(W.partitionBy("__v", "__b").orderBy(key))
-    joined = d.withColumn("__r", within).join(skip, F.col("__v").eqNullSafe(F.col("__w")) & (F.col("__b") == F.col("__c")))
-    return joined.withColumn(name, F.col("__skip") + F.col("__r")).drop("__v", "__w", "__b", "__c", "__skip", "__r")

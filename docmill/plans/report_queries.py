@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docmill.functions import text as tx
 from docmill.operators import analytics as an, filters as fl
+from docmill.operators.ranks import ranked
 
 from .registry import query
 from .views import CHUNKS_SQL, EVENTS_SQL, chunks, events, table
@@ -247,7 +248,7 @@ def e6(spark, d):
 
 @query("e9_worker_slices", "SELECT doc_id, (row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1) % 4 AS worker FROM documents")
 def e9(spark, d):
-    r = fl.global_rank(table(spark, d, DOCS), -F.col("n_chars"), "doc_id")
+    r = ranked(table(spark, d, DOCS).select("doc_id", "n_chars"), [F.desc("n_chars"), F.asc("doc_id")])
     return r.select("doc_id", ((F.col("rank") - 1) % 4).cast("long").alias("worker"))
 
 
@@ -260,8 +261,8 @@ def e11(spark, d):
 
 @query("e12_length_batches", "SELECT doc_id, ntile(16) OVER (ORDER BY n_chars, doc_id)::BIGINT AS batch FROM documents")
 def e12(spark, d):
-    docs = table(spark, d, DOCS)
-    r = fl.global_rank(docs, F.col("n_chars"), "doc_id").join(F.broadcast(docs.agg(F.count("*").alias("total"))))
+    docs = table(spark, d, DOCS).select("doc_id", "n_chars")
+    r = ranked(docs, [F.asc("n_chars"), F.asc("doc_id")]).join(F.broadcast(docs.agg(F.count("*").alias("total"))))
     # Batches of nearly equal size; the first ones are larger by one.
     size, rest, at = F.floor(F.col("total") / 16), F.col("total") % 16, F.col("rank") - 1
     batch = F.when(at < rest * (size + 1), F.floor(at / (size + 1))).otherwise(rest + F.floor((at - rest * (size + 1)) / F.greatest(size, F.lit(1))))
