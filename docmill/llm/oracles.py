@@ -65,4 +65,29 @@ k AS (SELECT a AS vec_id, min(root) AS component_id FROM r GROUP BY a),
 n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM k LEFT JOIN n USING (vec_id)"""
 
-ORACLES = {"op7_embedding_near_dedup": OP7, "op1_line_dedup": OP1, "op3_mixing": OP3, "op5_decontamination": OP5, "op6_minhash_near_dedup": OP6}
+# crc32 by the usual table of 256 remainders, which SQL computes.
+_CRC_TABLE = """c AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda x, i: xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))) AS tab)"""
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda x: ascii(x)::BIGINT)), lambda x, b: xor(x >> 8, tab[(xor(x, b) & 255) + 1])), 4294967295)"
+
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+OP11 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '-' ELSE '=' || lang END AS g,
+  {_FIELD.format('doc_id')} || {_FIELD.format('source')} || {_FIELD.format('lang')} AS a, n_chars, {_FIELD.format('text')} AS b,
+  n_chars + CASE WHEN {_CRC.format('doc_id::VARCHAR')} % 7 = 0 THEN 1 ELSE 0 END AS claimed FROM documents, c),
+l AS (SELECT doc_id, g, sha256(a || {_FIELD.format('n_chars')} || b) AS h, sha256(a || {_FIELD.format('claimed')} || b) AS x FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM l),
+t AS (SELECT g, 0 AS k, i, n, h FROM p UNION ALL
+  SELECT g, k + 1, i // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY g, k, i // 2),
+s AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS k, i, n, h FROM s UNION ALL
+  SELECT k + 1, i // 2, (any_value(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY k, i // 2),
+f AS (SELECT doc_id, g, h AS leaf, 0 AS k, i, n, x, '' AS proof FROM p UNION ALL
+  SELECT doc_id, f.g, leaf, f.k + 1, f.i // 2, (f.n + 1) // 2, sha256(CASE WHEN f.i % 2 = 0 THEN x || coalesce(t.h, '') ELSE t.h || x END), proof || coalesce(t.h, '')
+  FROM f LEFT JOIN t ON t.g = f.g AND t.k = f.k AND t.i = xor(f.i, 1) WHERE f.n > 1),
+v AS (SELECT doc_id, f.leaf, s.h AS subroot, 0 AS k, s.i, s.n, x, proof FROM f JOIN s ON f.g = s.g WHERE f.n = 1 UNION ALL
+  SELECT doc_id, leaf, subroot, v.k + 1, v.i // 2, (v.n + 1) // 2, sha256(CASE WHEN v.i % 2 = 0 THEN x || coalesce(u.h, '') ELSE u.h || x END), proof || coalesce(u.h, '')
+  FROM v LEFT JOIN u ON u.k = v.k AND u.i = xor(v.i, 1) WHERE v.n > 1)
+SELECT doc_id, leaf, subroot, u.h AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = u.h AS verified FROM v, u WHERE v.n = 1 AND u.n = 1"""
+
+ORACLES = {"op11_merkle_manifest": OP11, "op7_embedding_near_dedup": OP7, "op1_line_dedup": OP1, "op3_mixing": OP3, "op5_decontamination": OP5, "op6_minhash_near_dedup": OP6}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, line_dedup, lm, minhash, mixing, phrase_dedup, quality, suffix_dedup, toxicity
+from . import decontamination, embedding_dedup, line_dedup, lm, merkle, minhash, mixing, phrase_dedup, quality, suffix_dedup, toxicity
 from .common import table
 from .oracles import ORACLES
 
@@ -61,7 +61,16 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "quality.held_out", "quality.score", "quality.predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_lm_scoring, op3_mixing, op4_substring_dedup, op5_decontamination, op6_minhash_near_dedup, op7_embedding_near_dedup, op8_toxicity, op9_suffix_array_dedup, op10_quality_classifier)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tampering of the contract: every row with 7 | crc32(doc_id) claims one character more."""
+    docs = table(spark, sf_dir, "documents")
+    seventh = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    claims = {"n_chars": F.when(seventh, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars").cast("decimal(20,0)"))}
+    d = merkle.build_manifest(docs, ("doc_id", "source", "lang", "n_chars", "text"), group_col="lang", id_col="doc_id", claims=claims, arity=2)
+    return d.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_digests(F.col("path")).cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_lm_scoring, op3_mixing, op4_substring_dedup, op5_decontamination, op6_minhash_near_dedup, op7_embedding_near_dedup, op8_toxicity, op9_suffix_array_dedup, op10_quality_classifier, op11_merkle_manifest)}
 
 
 def queries() -> dict:
