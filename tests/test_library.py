@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docmill.functions import files, text as tx
-from docmill.operators import analytics as an, chunking as ck, context as cx, evaluation as ev, filters as fl, fusion as fu, graph as gr, quality as qu, retrieval as rt, sinks as si
-from docmill.operators.ranks import ranked
+from docmill.operators import analytics as an, chunking as ck, context as cx, evaluation as ev, filters as fl, fusion as fu, graph as gr, quality as qu, ranks as rk, retrieval as rt, sinks as si
 from docmill.sources import readers as rd
 from docmill.streaming import jobs
 
@@ -169,9 +168,9 @@ def test_percentiles_of_skewed_groups(spark):
 def test_ranks_and_rank_precision(spark):
     d = spark.createDataFrame([(i, None if i % 9 == 0 else i % 3) for i in range(200)], "id long, v int")
     want = {i: n for n, (_, i) in enumerate(sorted((-1 if i % 9 == 0 else i % 3, i) for i in range(200)), 1)}
-    assert {r.id: r.rank for r in ranked(d, [F.asc("v"), F.asc("id")]).collect()} == want
+    assert {r.id: r.rank for r in rk.ranked(d, [F.asc("v"), F.asc("id")]).collect()} == want
     names = spark.createDataFrame([(f"k{i:03}", i % 2) for i in range(50)], "id string, v int")
-    assert [r.id for r in ranked(names, [F.asc("v"), F.asc("id")]).orderBy("rank").limit(2).collect()] == ["k000", "k002"]
+    assert [r.id for r in rk.ranked(names, [F.asc("v"), F.asc("id")]).orderBy("rank").limit(2).collect()] == ["k000", "k002"]
     v = spark.createDataFrame([("q", i, i % 4 == 0) for i in range(1, 51)], "query_id string, rank int, relevant boolean")
     hits = [sum(j % 4 == 0 for j in range(1, i + 1)) / i for i in range(4, 51, 4)]
     assert ev.rank_precision(v, span=8).first().average_precision == round(sum(hits) / len(hits), 6)
