@@ -147,17 +147,17 @@ def build_manifest(
     levels, tops = climbed(leaves.select("g", "i", "n", "h"), arity, "tree")
     tops = staged(tops, "subroots")
 
-    roots = ranked(tops, [F.asc("g")], "place").crossJoin(F.broadcast(tops.agg(F.count("*").alias("n"))))  # one row
-    roots = staged(roots.select(F.lit("").alias("g"), (F.col("place") - 1).alias("i"), "n", "h", F.col("g").alias("name")), "roots")
+    roots = ranked(tops, [F.asc("g")], "place").select(F.lit("").alias("g"), (F.col("place") - 1).alias("i"), F.lit(tops.count()).alias("n"), "h", F.col("g").alias("name"))
+    roots = staged(roots, "roots")
     upper, top = climbed(roots.select("g", "i", "n", "h"), arity, "root")
     upper_paths = descended(upper, top.withColumn("path", F.lit("")), arity, "root").drop("g").withColumnRenamed("i", "at")
     named = roots.join(upper_paths, F.col("i") == F.col("at")).select(F.col("name").alias("tg"), "path", F.col("h").alias("subroot"))
     crowned = staged(tops.join(named, F.col("g") == F.col("tg")).select("g", "height", "path", "subroot"), "crowned")
-    root = top.select(F.col("h").alias("root"))
+    root = F.lit(getattr(top.first(), "h", None))
 
     paths = descended(levels, crowned, arity, "tree").select(F.col("g").alias("pg"), F.col("i").alias("pi"), "path")
     subroots = crowned.select(F.col("g").alias("sg"), "subroot")
     subroots = F.broadcast(subroots) if subroots.limit(TASK_NODES + 1).count() <= TASK_NODES else subroots
-    all_ = leaves.join(paths, (F.col("g") == F.col("pg")) & (F.col("i") == F.col("pi"))).join(subroots, F.col("g") == F.col("sg")).crossJoin(F.broadcast(root))
+    all_ = leaves.join(paths, (F.col("g") == F.col("pg")) & (F.col("i") == F.col("pi"))).join(subroots, F.col("g") == F.col("sg")).withColumn("root", root)
     all_ = all_.withColumn("folded_root", folded(F.col("path"), F.col("claimed")))
     return all_.select(F.col("id").alias(id_col), F.col("h").alias("leaf"), "subroot", "root", "path", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
