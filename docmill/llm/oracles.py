@@ -1,5 +1,7 @@
 """DuckDB SQL for the operators that SQL can express."""
 
+from .quality_rules import PHRASES, SENTENCE_END, SEPARATORS, SYMBOLS
+
 _STRIP = "E' \\t\\n\\x0b\\x0c\\r'"
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -90,4 +92,22 @@ v AS (SELECT doc_id, f.leaf, s.h AS subroot, 0 AS k, s.i, s.n, x, proof FROM f J
   FROM v LEFT JOIN u ON u.k = v.k AND u.i = xor(v.i, 1) WHERE v.n > 1)
 SELECT doc_id, leaf, subroot, u.h AS root, sha256(proof) AS proof_sha256, x AS folded_root, x = u.h AS verified FROM v, u WHERE v.n = 1 AND u.n = 1"""
 
-ORACLES = {"op11_merkle_manifest": OP11, "op7_embedding_near_dedup": OP7, "op1_line_dedup": OP1, "op3_mixing": OP3, "op5_decontamination": OP5, "op6_minhash_near_dedup": OP6}
+_W = r"[^\x20\x09-\x0D]+"
+OP12 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_W}') AS w, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+g AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, unnest([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS gram FROM d),
+r AS (SELECT doc_id, list(i) AS places FROM g GROUP BY doc_id, gram HAVING count(*) > 1),
+n AS (SELECT doc_id, len(list_distinct(flatten(list(list_transform(places, lambda i: [i, i + 1, i + 2]).flatten()))))::BIGINT AS n_repeat_words FROM r GROUP BY doc_id),
+l AS (SELECT doc_id, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS line FROM (SELECT doc_id, unnest(ls) AS line FROM d)),
+v AS (SELECT doc_id, line, regexp_extract_all(line, '{_W}') AS w, {_LOW.format('line')} AS low FROM l WHERE line <> ''),
+f AS (SELECT doc_id, len(w) AS n, len(list_filter(w, lambda x: x IN ({", ".join("'" + x + "'" for x in SEPARATORS)}))) AS sep,
+    {" OR ".join(f"contains(low, '{p}')" for p in PHRASES)} AS phrase, regexp_matches(line, '{SENTENCE_END.replace("'", "''")}') AS ended,
+    len(list_filter(w, lambda x: regexp_matches(x, '[{SYMBOLS}]{{2}}'))) AS signs, len(list_filter(w, lambda x: suffix(x, '!!'))) AS shouts FROM v),
+b AS (SELECT doc_id, sum(n) FILTER ((sep >= 3 AND sep * 5 >= n) OR phrase OR NOT ended OR signs * 4 >= n OR shouts * 4 >= n)::BIGINT AS n_lost FROM f GROUP BY doc_id),
+x AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, len(regexp_extract_all(text, '[{SYMBOLS}]'))::BIGINT AS n_symbols,
+    (len(list_filter(ls, lambda y: regexp_matches(y, '{_W}'))) - len(list_distinct(list_filter(ls, lambda y: regexp_matches(y, '{_W}')))))::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lost, 0) AS n_lost FROM d LEFT JOIN n USING (doc_id) LEFT JOIN b USING (doc_id)),
+y AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM x)
+SELECT *, NOT base_failed AND n_lost * 100 <= n_words * 30 AND n_words - n_lost >= 50 AS kept FROM y"""
+
+ORACLES = {"op12_quality_rules": OP12, "op11_merkle_manifest": OP11, "op7_embedding_near_dedup": OP7, "op1_line_dedup": OP1, "op3_mixing": OP3, "op5_decontamination": OP5, "op6_minhash_near_dedup": OP6}

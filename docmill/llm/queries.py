@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, line_dedup, lm, merkle, minhash, mixing, phrase_dedup, quality, suffix_dedup, toxicity
+from . import decontamination, embedding_dedup, line_dedup, lm, merkle, minhash, mixing, phrase_dedup, quality, quality_rules, suffix_dedup, toxicity
 from .common import table
 from .oracles import ORACLES
 
@@ -70,7 +70,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof_digests(F.col("path")).cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_lm_scoring, op3_mixing, op4_substring_dedup, op5_decontamination, op6_minhash_near_dedup, op7_embedding_near_dedup, op8_toxicity, op9_suffix_array_dedup, op10_quality_classifier, op11_merkle_manifest)}
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = quality_rules.clean_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), least_words=50, most_repeat_percent=50, most_lost_percent=30, keep_text=False)
+    r = [f"rules.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lost")]
+    return d.select("doc_id", *r)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_lm_scoring, op3_mixing, op4_substring_dedup, op5_decontamination, op6_minhash_near_dedup, op7_embedding_near_dedup, op8_toxicity, op9_suffix_array_dedup, op10_quality_classifier, op11_merkle_manifest, op12_quality_rules)}
 
 
 def queries() -> dict:

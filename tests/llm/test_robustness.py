@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from docmill.llm import decontamination, embedding_dedup, line_dedup, lm, minhash, mixing, phrase_dedup, quality, suffix_dedup, toxicity
+from docmill.llm import decontamination, embedding_dedup, line_dedup, lm, minhash, mixing, phrase_dedup, quality, quality_rules, suffix_dedup, toxicity
 
 CLASHES = ["__dm_id", "__dm_th", "__dm_key", "__dm_figures", "__dm_hits", "__dm_ranges", "__dm_held", "__dm_size", "__dm_src", "__dm_hash", "__dm_sub", "__dm_rank", "__dm_plan", "__dm_cid", "id", "th", "text_", "class", "token", "a", "c", "n", "at", "h1", "lid", "did", "y", "held", "batch", "w", "spots", "k_src"]
 
@@ -40,6 +40,7 @@ OPERATORS = {
     "minhash": lambda s, d: minhash.near_duplicates(d, shingle=2),
     "toxicity": lambda s, d: toxicity.score_toxicity(d, labels_of(s, "toxic")),
     "suffix": lambda s, d: suffix_dedup.remove_repeats(d, window=50, gram=20),
+    "rules": lambda s, d: quality_rules.clean_lines(d, slice_bytes=20_000),
     "quality": lambda s, d: quality.score_quality(d, labels_of(s, "quality")),
 }
 
