@@ -72,7 +72,7 @@ def test_equals_the_plain_version(spark):
 
 
 def test_verdicts(spark):
-    clean = " ".join(f"The {a}{b} word{b} stands{a} here." for a in "abcdefgh" for b in "stuvwxyz")
+    clean = " ".join(f"The {a}{b} word{a}{b} stands{b}{a} here." for a in "abcdefgh" for b in "stuvwxyz")
     menu = " ".join(f"Item{i} |" for i in range(300))
     rows = [(0, clean), (1, f"{clean}\n{menu}"), (2, f"{clean}\nHome | About | Help | Contact\nAll rights reserved."), (3, clean[:200]), (4, "Say it again. " * 60), (5, clean.replace(" ", "$$$ "))]
     got = {r.doc_id: r.rules.reason for r in qr.clean_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
