@@ -110,4 +110,38 @@ x AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x
 y AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM x)
 SELECT *, NOT base_failed AND n_lost * 100 <= n_words * 30 AND n_words - n_lost >= 50 AS kept FROM y"""
 
-ORACLES = {"op12_quality_rules": OP12, "op11_merkle_manifest": OP11, "op7_embedding_near_dedup": OP7, "op1_line_dedup": OP1, "op3_mixing": OP3, "op5_decontamination": OP5, "op6_minhash_near_dedup": OP6}
+
+
+def _edit(state: str, cost: str, letter: str, line: str = "''", when: str = "true") -> str:
+    """A state, ['0000000cost' || audit, repaired], and one more edit; null where the state or the condition is not there."""
+    return f"CASE WHEN {state} IS NOT NULL AND {when} THEN [printf('%010d', left({state}[1], 10)::INT + {cost}) || substr({state}[1], 11) || '{letter}', {state}[2] || {line}] END"
+
+
+_LINE, _NEW = "chr(10) || {0} || ':' || text", "chr(10) || '{0}:'"
+_MAY, _PEN = "fault IN ('', 'truncated')", "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+#: States: e nothing yet, s system, u user, a assistant. Each step takes one row of every conversation.
+OP13 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+x AS (SELECT *, {_CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations, c),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy,
+  CASE WHEN k = 1 THEN '' WHEN k = 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text FROM x WHERE k > 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS r, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last FROM d),
+m AS (SELECT *, CASE WHEN last = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY r) > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  left(role, 1) AS i, coalesce(left(lag(role) OVER (PARTITION BY conv_id ORDER BY r), 1) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS bad FROM o),
+t AS (SELECT conv_id, 0 AS r, ['0000000000', ''] AS e, NULL::VARCHAR[] AS s, ['0000000005I', chr(10) || 'user:'] AS u, ['0000000010II', chr(10) || 'user:' || chr(10) || 'assistant:'] AS a FROM (SELECT DISTINCT conv_id FROM m) UNION ALL
+  SELECT conv_id, r, e, s, u, list_min([a, {_edit('u', '5', 'I', _NEW.format('assistant'))}]) AS a FROM (
+    SELECT conv_id, r, e, s, list_min([u, {_edit('q', '5', 'I', _NEW.format('user'))}]) AS u, a FROM (
+      SELECT *, list_min([e, s, a]) AS q FROM (
+        SELECT conv_id, r, {_edit('e', '2', 'D')} AS e,
+          list_min([{_edit('s', '2', 'D')}, {_edit('e', _PEN, 'K', _LINE.format('role'), _MAY + " AND i = 's'")}]) AS s,
+          list_min([{_edit('u', '2', 'D')}, {_edit('p', _PEN, 'K', _LINE.format('role'), _MAY + " AND i = 'u'")}, {_edit('p', _PEN + ' + 1', 'R', _LINE.format("'user'"), _MAY)}]) AS u,
+          list_min([{_edit('a', '2', 'D')}, {_edit('u', _PEN, 'K', _LINE.format('role'), _MAY + " AND i = 'a'")}, {_edit('u', _PEN + ' + 1', 'R', _LINE.format("'assistant'"), _MAY)}]) AS a
+        FROM (SELECT t.*, list_min([e, s, a]) AS p FROM t) t1 JOIN (SELECT conv_id AS mc, r AS mr, role, text, fault, i FROM m) m1 ON t1.conv_id IS NOT DISTINCT FROM m1.mc AND m1.mr = t1.r + 1))))""".replace("SELECT conv_id, r, CASE", "SELECT conv_id, mr AS r, CASE") + """,
+z AS (SELECT conv_id, list_min([arg_max(e, r), arg_max(a, r)]) AS best FROM t GROUP BY conv_id),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (bad) AS illegal FROM m GROUP BY conv_id)
+SELECT v.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(left(best[1], 10)::BIGINT, 0) AS cost, coalesce(substr(best[1], 11), '') AS audit, sha256(coalesce(substr(best[2], 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) v LEFT JOIN z ON v.conv_id IS NOT DISTINCT FROM z.conv_id LEFT JOIN g ON v.conv_id IS NOT DISTINCT FROM g.conv_id"""
+
+ORACLES = {"op13_conversation_repair": OP13, "op12_quality_rules": OP12, "op11_merkle_manifest": OP11, "op7_embedding_near_dedup": OP7, "op1_line_dedup": OP1, "op3_mixing": OP3, "op5_decontamination": OP5, "op6_minhash_near_dedup": OP6}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embedding_dedup, line_dedup, lm, merkle, minhash, mixing, phrase_dedup, quality, quality_rules, suffix_dedup, toxicity
+from . import conversation, decontamination, embedding_dedup, line_dedup, lm, merkle, minhash, mixing, phrase_dedup, quality, quality_rules, suffix_dedup, toxicity
 from .common import table
 from .oracles import ORACLES
 
@@ -76,7 +76,13 @@ def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *r)
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_lm_scoring, op3_mixing, op4_substring_dedup, op5_decontamination, op6_minhash_near_dedup, op7_embedding_near_dedup, op8_toxicity, op9_suffix_array_dedup, op10_quality_classifier, op11_merkle_manifest, op12_quality_rules)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The damage of the contract, then its repair; conversations that lost all rows stay in the result."""
+    rows, present = conversation.damaged(table(spark, sf_dir, "conversations"))
+    return conversation.repair(rows, present=present)
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_lm_scoring, op3_mixing, op4_substring_dedup, op5_decontamination, op6_minhash_near_dedup, op7_embedding_near_dedup, op8_toxicity, op9_suffix_array_dedup, op10_quality_classifier, op11_merkle_manifest, op12_quality_rules, op13_conversation_repair)}
 
 
 def queries() -> dict:
