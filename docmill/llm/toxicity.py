@@ -7,11 +7,14 @@ channel costs and log probabilities under a character trigram model of the whole
 without such signs have one path and stay as they are.
 
 The classifier learns weights of restored words and word beginnings from a bounded sample of labelled rows, and a
-logistic curve over their sum. The lexicon holds every feature of that sample that tells, so its size is bounded by the
-sample's; whole texts, words of any length and all evidence count.
+logistic curve over their sum. A weight is a smoothed log-odds, for or against, drawn to 0 by some of its standard
+deviations; no feature is dropped for being rare, so small tables teach as well. The curve is fitted on each labelled
+text's evidence without what the text itself taught, and so is the number of deviations chosen. The lexicon's size is bounded by the sample's; whole texts, words
+of any length and all evidence count.
 
 Defined results: null and empty texts have no words and get the curve's value at 0; a text's score depends on it
-alone, so repeated rows and ties agree; other columns pass through, whatever their names; without labels every score is 0; an empty table gives an
+alone, so repeated rows and ties agree; other columns pass through, whatever their names; without labels every score is 0, and
+with labels of one kind only no word tells anything, so all scores are equal; an empty table gives an
 empty result.
 """
 
@@ -33,6 +36,8 @@ from .training import held_out, labelled_sample
 #: What signs stand for in disguised words.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 EDGES = ".,;:!?\"'()[]{}<>*#%&$-_"
+#: Standard deviations by which weights may be drawn to 0; the labelled texts tell which does best.
+CERTAIN = (2.0, 2.5, 3.0, 3.5)
 SIGN = re.compile(r"[^\W\d_]+[0-9@$!|+(€£]|[0-9@$|+(€£][^\W\d_]")
 DRAWN = re.compile(r"([^\W\d_])\1\1")
 APART = re.compile(r"(?<!\S)(?:[\w@$!|+€£][ .\-_*]){2,}[\w@$!|+€£](?!\S)")
@@ -192,8 +197,21 @@ def features(word: str) -> list[str]:
     return [word, *(word[:k] + "~" for k in (4, 5, 6) if len(word) > k)]
 
 
-def weigh(sample: DataFrame, decoder: Decoder, least: int) -> dict[str, float]:
-    """Log-odds weights of all features that tell; what fewer than `least` positive texts hold is chance and teaches nothing."""
+def weight(pos: float, neg: float, n_pos: float, n_neg: float, certain: float) -> float:
+    """What a feature tells: its smoothed log-odds, drawn to 0 by some standard deviations.
+
+    One pseudo-text is shared by the classes as their texts are, so what is in no text says nothing.
+    """
+    p, n = pos + n_pos / (n_pos + n_neg), neg + n_neg / (n_pos + n_neg)
+    odds = math.log(p / n_pos) - math.log(n / n_neg)
+    return math.copysign(max(0.0, abs(odds) - certain * math.sqrt(1 / p + 1 / n)), odds)
+
+
+def weigh(sample: DataFrame, decoder: Decoder) -> tuple[dict[str, tuple[int, int]], int, int]:
+    """(positive, negative) texts of every feature whose weight is not 0, for toxic and clean alike, and of all.
+
+    How rare a feature is shows in its weight's deviation only; there is no least number of texts.
+    """
 
     def count(batches):
         for batch in batches:
@@ -206,35 +224,50 @@ def weigh(sample: DataFrame, decoder: Decoder, least: int) -> dict[str, float]:
     totals = sample.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
     pos, neg = totals[0], totals[1] - totals[0]
     if not pos or not neg:
-        return {}
+        return {}, pos, neg
     counts = sample.select("text", "y").mapInArrow(count, "f string, neg long, pos long").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    odds = F.log((F.col("pos") + 0.5) / (pos + 1)) - F.log((F.col("neg") + 0.5) / (neg + 1))
-    told = counts.where(F.col("pos") >= least).withColumn("w", odds).where("w > 1.5").select("f", "w").collect()
-    return {r.f: r.w for r in told}
-
-
-def evidence(decoder: Decoder, weights: dict[str, float]):
-    """A function from a text to the sum of its words' best weights, each word once."""
-    memo: dict[str, float] = {}
-
-    def of(text: str) -> float:
+    p, n = F.col("pos") + pos / (pos + neg), F.col("neg") + neg / (pos + neg)
+    odds = F.log(p / pos) - F.log(n / neg)
+    told = counts.where(F.abs(odds) > CERTAIN[0] * F.sqrt(1 / p + 1 / n)).select("f", "pos", "neg").collect()
+    return {r.f: (r.pos, r.neg) for r in told}, pos, neg
+
+
+def evidence(decoder: Decoder, told: dict[str, tuple[int, int]], n_pos: int, n_neg: int, levels: tuple[float, ...]):
+    """A function from a text to sums of its words' strongest weights, each word once; one sum for each of levels.
+
+    Given a text's own label, what the text itself taught is left out: counts are those of all other texts.
+    """
+    memo: dict[tuple[str, int | None], tuple[float, ...]] = {}
+    known: dict[tuple[int, int, int | None], tuple[float, ...]] = {}
+    nothing = (0.0,) * len(levels)
+
+    def weights(f: str, own: int | None) -> tuple[float, ...]:
+        if (counts := told.get(f)) is None:
+            return nothing
+        if (x := known.get((*counts, own))) is None:
+            p, n, p_all, n_all = counts[0] - (own == 1), counts[1] - (own == 0), n_pos - (own == 1), n_neg - (own == 0)
+            x = known[*counts, own] = tuple(weight(p, n, p_all, n_all, k) for k in levels) if min(p, n) >= 0 and min(p_all, n_all) > 0 else nothing
+        return x
+
+    def of(text: str, own: int | None = None) -> list[float]:
         low = text.lower()
         extra = [w for m in APART.finditer(low) if (t := decoder.apart(m[0])) for w in t.split()]
-        total = 0.0
+        total = list(nothing)
         for w in {*low.split(), *extra}:
-            if (x := memo.get(w)) is None:
-                x = max((weights.get(f, 0.0) for f in features(decoder.word(w))), default=0.0)
+            if (x := memo.get((w, own))) is None:
+                x = tuple(max(each, key=abs) for each in zip(*[weights(f, own) for f in features(decoder.word(w))], strict=True))
                 if len(memo) >= MEMO:
                     memo.clear()
-                memo[w] = x
-            total += x
+                memo[w, own] = x
+            for i, v in enumerate(x):
+                total[i] += v
         return total
 
     return of
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> tuple[float, float]:
-    """Intercept and slope of a one-dimensional logistic curve, by Newton steps; the slope is not negative."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> tuple[float, float, float]:
+    """Intercept, slope and log likelihood of a one-dimensional logistic curve, by Newton steps; the slope is not negative."""
     a, b = 0.0, 0.0
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
@@ -243,23 +276,28 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50
         h = np.array([[w.sum(), (w * x).sum()], [(w * x).sum(), (w * x * x).sum() + ridge]])
         step = np.linalg.solve(h, g)
         a, b = a - step[0], b - step[1]
-    return float(a), max(0.0, float(b))
+    b = max(0.0, float(b))
+    z = np.clip(a + b * x, -30, 30)
+    return float(a), b, float((y * z - np.log1p(np.exp(z))).sum())
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, train_rows: int = 20_000, least_texts: int = 5, keep_text: bool = True) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7, train_rows: int = 20_000, keep_text: bool = True) -> DataFrame:
     """docs with a struct column toxicity: held_out, score, predicted, restored (the restored text, null without keep_text)."""
     decoder = Decoder(character_model(docs, text_col))
     sample = staged(labelled_sample(docs, labels, id_col, text_col, label_col, train_rows), "toxic-sample")
-    weights = weigh(sample, decoder, least_texts)
-    of = evidence(decoder, weights)
+    told, n_pos, n_neg = weigh(sample, decoder)
+    tried = evidence(decoder, told, n_pos, n_neg, CERTAIN)
 
     def sums(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([of(t) for t in batch.column(0).to_pylist()], pa.float64()), batch.column(1)], names=["x", "y"])
-
-    points = sample.select("text", "y").mapInArrow(sums, "x double, y int").collect() if weights else []
-    x, y = np.array([p.x for p in points]), np.array([float(p.y) for p in points])
-    a, b = logistic(x, y) if len(x) else (-math.inf, 0.0)
+            rows = [tried(t, y) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
+
+    points = sample.select("text", "y").mapInArrow(sums, "x array<double>, y int").collect()
+    y = np.array([float(p.y) for p in points])
+    fits = [(k, *logistic(np.array([p.x[i] for p in points]), y)) for i, k in enumerate(CERTAIN)] if points else []
+    certain, a, b, _ = max(fits, key=lambda f: f[3], default=(CERTAIN[0], -math.inf, 0.0, 0.0))
+    of = evidence(decoder, told, n_pos, n_neg, (certain,))
     name = free_name(docs, "toxicity")
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T._parse_datatype_string("held_out boolean, score double, predicted int, restored string"))])
     flag = free_name(docs, "__dm_held")
@@ -267,7 +305,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     def run(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
-            z = np.clip(a + b * np.array([of(t) for t in texts]), -700, 700) if len(texts) else np.zeros(0)
+            z = np.clip(a + b * np.array([of(t)[0] for t in texts]), -700, 700) if len(texts) else np.zeros(0)
             p = np.where(z <= -700, 0.0, 1 / (1 + np.exp(-z)))
             figures = pa.StructArray.from_arrays([batch.column(batch.num_columns - 1), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array([decoder.restored(t) for t in texts] if keep_text else [None] * len(texts), pa.string())], names=["held_out", "score", "predicted", "restored"])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], figures], names=[*batch.schema.names[:-1], name])
