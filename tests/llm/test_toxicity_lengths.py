@@ -42,7 +42,7 @@ def test_evidence_counts_the_words_of_a_run(decoder):
     assert of("a i d i o t m o r o n") == [w("idiot", k) + w("moron", k) for k in (2.0, 3.0)]
     assert of("idi" + "o" * 80 + "t") == [w("idiot", k) for k in (2.0, 3.0)]
     assert of("rener idiot", 1) == [toxicity.weight(39, 0, 99, 900, k) for k in (2.0, 3.0)]  # without its own teaching; "rener" in no toxic text is left out
-    assert w("idiot", 2.0) > 0 > toxicity.weight(0, 500, *n, 2.0) and toxicity.weight(0, 0, *n, 0.0) == 0.0
+    assert w("idiot", 2.0) > 0 > toxicity.weight(1, 600, *n, 2.0) and toxicity.weight(0, 0, *n, 0.0) == 0.0
 
 
 def plain_scores(texts, labels, train):
