@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +16,7 @@ from docmill.functions import text as tx
 from docmill.functions.text import tokens
 
 from . import fusion as fu, graph as gr
+from .keyword import TextIndex, keyword_top, text_index
 from .storage import SMALL_ROWS, small, staged  # noqa: F401
 
 #: Vectors of queries are held by tasks in blocks of so many bytes.
@@ -76,52 +77,29 @@ def best_of(rows: list, k: int, digits: int | None, schema: T.StructType) -> Cal
     return run
 
 
-@dataclass
-class TextIndex:
-    """Postings (chunk_id, field, term, len, tf), document frequencies (field, term, df) and (field, n_docs, avg_len)."""
-
-    postings: DataFrame
-    frequencies: DataFrame
-    statistics: DataFrame
-
-
-def postings(docs: DataFrame, fields: list[str], key: str = "chunk_id") -> DataFrame:
-    """(chunk_id, field, term, len, tf): how often each term stands in each field. Texts are dealt by key before they are cut."""
-    one = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.coalesce(F.col(f), F.lit(""))).alias("t")) for f in fields]))
-    t = docs.select(key, *fields).repartition(key).select(key, one.alias("x")).select(key, "x.field", F.size("x.t").alias("len"), F.explode("x.t").alias("term"))
-    return t.groupBy(key, "field", "term", "len").agg(F.count("*").alias("tf"))
-
-
-def text_index(docs: DataFrame, fields: list[str]) -> TextIndex:
-    """What BM25 needs of the documents, each text cut into terms once; fields without terms do not count."""
-    p = staged(postings(docs, fields), "postings")
-    statistics = p.groupBy("chunk_id", "field").agg(F.first("len").alias("len")).groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    return TextIndex(p, staged(p.groupBy("field", "term").agg(F.count("*").alias("df")), "frequencies"), staged(statistics, "statistics"))
-
-
 def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
 
 
-def bm25(terms: DataFrame, index: TextIndex, boosts: dict[str, float], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """H2: (query_id, chunk_id, score), the best field's BM25 with boosts; terms are (query_id, term[, weight])."""
-    fields = F.col("field").isin(list(boosts))
-    t = terms.join(index.frequencies.where(fields), "term").join(F.broadcast(index.statistics), "field")  # one row for each field
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (F.col("weight") if "weight" in terms.columns else 1.0)
-    t = staged(t.select("query_id", "term", "field", idf.alias("idf"), "avg_len"), "query-terms")
-    gain = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    boost = F.element_at(F.create_map(*[F.lit(x) for kv in boosts.items() for x in kv]), F.col("field"))
-    per = index.postings.where(fields).join(small(t), ["term", "field"]).groupBy("query_id", "chunk_id", "field").agg(F.sum(gain).alias("s"))
-    return per.groupBy("query_id", "chunk_id").agg(F.max(F.col("s") * boost).alias("score"))
-
-
 def rounded(scores: DataFrame, digits: int | None) -> DataFrame:
     return scores if digits is None else scores.withColumn("score", F.round("score", digits))
 
 
-def keyword_search(queries: DataFrame, docs: DataFrame | TextIndex, boosts: dict[str, float], k: int = 10, digits: int | None = None) -> DataFrame:
+def keyword_search(queries: DataFrame, docs: DataFrame | TextIndex, boosts: dict[str, float], k: int = 10, digits: int | None = None, fuzzy: bool = False) -> DataFrame:
+    """H2: (query_id, chunk_id, score, rank), the best field's BM25 with boosts; with fuzzy also for words like the query's."""
     index = docs if isinstance(docs, TextIndex) else text_index(docs, list(boosts))
-    return top(rounded(bm25(query_terms(queries), index, boosts), digits), k, ["query_id"], "chunk_id")
+    terms = query_terms(queries)
+    return keyword_top(fuzzy_weights(terms, index) if fuzzy else terms, index, boosts, k, digits).drop("channel")
+
+
+def fuzzy_weights(terms: DataFrame, index: TextIndex) -> DataFrame:
+    """(query_id, term, weight): what stands for a query's terms in the documents, exact ones with weight 1.
+
+    A word e edits away weighs 1 - e / length of the shorter of both; of several terms that a word is like the nearest counts.
+    """
+    like = fuzzy_terms(terms, index.frequencies.select("term"))
+    near = 1 - F.levenshtein("term", "word") / F.least(F.length("term"), F.length("word"))
+    return like.groupBy("query_id", F.col("word").alias("term")).agg(F.max(near).alias("weight")).where("weight > 0")
 
 
 def pieces(word: Column, length: Column, edits: Column, shifts: bool) -> Column:
@@ -151,9 +129,9 @@ def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return terms.select("query_id", "term").distinct().join(pairs.select("term", "word"), "term").select("query_id", "term", "word")
 
 
-def sparse_weights(index: TextIndex, field: str, n_docs: int, least: float = 0.01, most: int = 50, digits: int = 6) -> DataFrame:
-    """(chunk_id, token, weight): tf * idf of the heaviest tokens of each document."""
-    w = index.postings.where(F.col("field") == field).join(index.frequencies.where(F.col("field") == field).drop("field"), "term")
+def sparse_weights(index: TextIndex, field: str, n_docs: int, least: float = 0.01, most: int = 50, digits: int = 6, only: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, token, weight): tf * idf of the heaviest tokens of each document, or of those of only (chunk_id)."""
+    w = index.term_counts(field, only).join(index.frequencies.where(F.col("field") == field).drop("field"), "term")
     w = w.select("chunk_id", F.col("term").alias("token"), F.round(F.col("tf") / F.col("len") * F.log(F.lit(n_docs) / F.col("df")), digits).alias("weight"))
     return top(w.where(F.col("weight") >= least), most, ["chunk_id"], "token", "weight").drop("rank")
 
@@ -182,51 +160,65 @@ def graph_names(queries: DataFrame, mentions: DataFrame, edges: DataFrame | None
     return e.select("query_id", "name", F.row_number().over(W.partitionBy("query_id").orderBy("hop", "name")).alias("r"))
 
 
-def graph_scores(queries: DataFrame, names: DataFrame, docs: DataFrame | TextIndex, boosts: dict[str, float], field: str, boost: float = 1.5, most_names: int = 10, scores: DataFrame | None = None) -> DataFrame:
-    """H5: keyword scores plus 1.5 times the score in a field of each expanded name (query_id, name, r), for the texts that match the query.
+def name_terms(names: DataFrame, boost: float = 1.5, most_names: int = 10) -> DataFrame:
+    """(query_id, term, weight) of a query's first names (query_id, name, r).
 
-    Queries without a name find nothing. docs holds the rows that the query may see, so filters hold here as in the
-    other channels. scores: the queries' own BM25, where it is at hand.
+    Each name is a clause of its own, so a term counts once for each name that holds it.
     """
-    index = docs if isinstance(docs, TextIndex) else text_index(docs, list(boosts))
-    first = staged(names.where(F.col("r") <= most_names).select("query_id", "name"), "query-names")
-    named = first.select("query_id").distinct()
-    base = bm25(query_terms(queries.join(named, "query_id", "left_semi")), index, boosts) if scores is None else scores.join(small(named), "query_id", "left_semi")
-    # Each name is a clause of its own, so a term counts once for each name that holds it.
-    extra = first.select("query_id", F.explode(F.array_distinct(tokens(F.col("name")))).alias("term")).groupBy("query_id", "term").agg((F.count("*") * boost).alias("weight"))
-    more = bm25(extra, index, {field: 1.0}).withColumnRenamed("score", "more")
-    return base.join(more, ["query_id", "chunk_id"], "left").select("query_id", "chunk_id", (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"))
+    first = names.where(F.col("r") <= most_names).select("query_id", "name")
+    return first.select("query_id", F.explode(F.array_distinct(tokens(F.col("name")))).alias("term")).groupBy("query_id", "term").agg((F.count("*") * boost).alias("weight"))
 
 
 def graph_search(queries: DataFrame, names: DataFrame, docs: DataFrame | TextIndex, boosts: dict[str, float], field: str, k: int = 10, digits: int | None = None) -> DataFrame:
-    return top(rounded(graph_scores(queries, names, docs, boosts, field), digits), k, ["query_id"], "chunk_id")
+    """H5: keyword scores plus 1.5 times the score in a field of each expanded name (query_id, name, r), for the texts that match the query.
+
+    Queries without a name find nothing. docs holds the rows that the query may see, so filters hold here as in the
+    other channels.
+    """
+    index = docs if isinstance(docs, TextIndex) else text_index(docs, list(boosts))
+    both = keyword_top(query_terms(queries), index, boosts, 1, digits, name_terms(names), field, k)
+    return both.where("channel = 1").drop("channel")
 
 
 CHANNELS = ("vector", "keyword", "sparse", "graph")
 
 
 def search_channels(
-    queries: DataFrame, docs: DataFrame, vectors: DataFrame, mentions: DataFrame, boosts: dict[str, float], k: int = 20, graph_k: int = 10, keep: Column | None = None, field: str = "content", digits: int = 6, index: TextIndex | None = None
-) -> DataFrame:
-    """(query_id, channel, chunk_id, rank, score) of all channels for queries (query_id, query, vector), computed once.
-
-    docs: (chunk_id, *boosts, ...); keep filters what all channels may find. Sparse vectors score what the dense and
-    keyword channels found.
+    queries: DataFrame, docs: DataFrame, vectors: DataFrame, mentions: DataFrame, boosts: dict[str, float], k: int = 20, graph_k: int = 10, keep: Column | None = None, field: str = "content", digits: int = 6, index: TextIndex | None = None,
+    use: Sequence[str] = CHANNELS, fuzzy: bool = False, keep_in_graph: bool = True
+) -> DataFrame:
+    """(query_id, channel, chunk_id, rank, score) of the channels in use for queries (query_id, query, vector), computed once.
+
+    docs: (chunk_id, *boosts, ...); keep filters what all channels may find, the graph channel unless keep_in_graph is
+    false. Sparse vectors score what the dense and keyword channels found. The keyword and graph channels are one pass
+    over the documents.
     """
+    if unknown := set(use) - set(CHANNELS):
+        raise ValueError(f"no such channel: {', '.join(sorted(unknown))}")
+    everything = docs
     if keep is not None:
         docs = docs.where(keep)
-        ids = docs.select("chunk_id").distinct()
-        vectors = vectors.join(ids, "chunk_id", "left_semi")
+        vectors = vectors.join(docs.select("chunk_id").distinct(), "chunk_id", "left_semi")
     index = index or text_index(docs, list(boosts))
-    a = staged(dense_search(queries.select("query_id", "vector"), vectors, k, digits), "vector-channel")
-    scores = staged(bm25(query_terms(queries), index, boosts), "scores")  # of two channels
-    b = staged(top(rounded(scores, digits), k, ["query_id"], "chunk_id"), "keyword-channel")
-    both = a.select("query_id", "chunk_id").unionByName(b.select("query_id", "chunk_id"))
-    terms = query_terms(queries).select("query_id", F.col("term").alias("token"), F.lit(1.0).alias("weight"))
-    c = sparse_search(terms, sparse_weights(index, field, docs.count(), digits=digits), both, k, digits)
-    d = top(rounded(graph_scores(queries, graph_names(queries, mentions), index, boosts, field, scores=scores), digits), graph_k, ["query_id"], "chunk_id")
     mark = lambda df, name: df.select("query_id", "chunk_id", "rank", "score", F.lit(name).alias("channel"))
-    return staged(mark(a, "vector").unionByName(mark(b, "keyword")).unionByName(mark(c, "sparse")).unionByName(mark(d, "graph")), "channels")
+    found = []
+    if {"vector", "sparse"} & set(use):
+        found.append(mark(staged(dense_search(queries.select("query_id", "vector"), vectors, k, digits), "vector-channel"), "vector"))
+    if {"keyword", "graph", "sparse"} & set(use):
+        terms = query_terms(queries)
+        names = name_terms(graph_names(queries, mentions)) if "graph" in use else None
+        apart = names is not None and keep is not None and not keep_in_graph
+        best = staged(keyword_top(fuzzy_weights(terms, index) if fuzzy else terms, index, boosts, k, digits, None if apart else names, field, graph_k), "text-channels")
+        found.append(mark(best.where("channel = 0"), "keyword"))
+        if names is not None:
+            best = keyword_top(terms, text_index(everything, list(boosts)), boosts, 1, digits, names, field, graph_k) if apart else best
+            found.append(mark(best.where("channel = 1"), "graph"))
+    if "sparse" in use:
+        both = found[0].unionByName(found[1]).select("query_id", "chunk_id").distinct()
+        asked = query_terms(queries).select("query_id", F.col("term").alias("token"), F.lit(1.0).alias("weight"))
+        weights = sparse_weights(index, field, docs.count(), digits=digits, only=both.select("chunk_id").distinct())
+        found.append(mark(sparse_search(asked, weights, both, k, digits), "sparse"))
+    return staged(reduce(DataFrame.unionByName, found).where(F.col("channel").isin(list(use))), "channels")
 
 
 def routed(channels: DataFrame, queries: DataFrame) -> DataFrame:
