@@ -5,7 +5,7 @@ Late rows: minute windows wait for one hour, day windows for one day; later rows
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from docmill.operators.ranks import ranked
 from docmill.operators.storage import staged
 
 
@@ -40,10 +41,17 @@ def sliding_errors(df: DataFrame, width: str, step: str, failed: Column, value:
 
 
 def sustained(rows: DataFrame, firing: Column, at_least: int, step_seconds: int) -> DataFrame:
-    """K4, batch: runs of evaluations one step apart that fire, if they are long enough: (start, end, n)."""
-    r = rows.where(firing).withColumn("no", F.unix_timestamp("start").cast("long") / step_seconds)
-    r = r.withColumn("island", (F.col("no") - F.row_number().over(W.orderBy("start"))).cast("long"))
-    return r.groupBy("island").agg(F.min("start").alias("start"), F.max("start").alias("end"), F.count("*").alias("n")).where(F.col("n") >= at_least).drop("island")
+    """K4, batch: runs of evaluations one step apart that fire, if they are long enough: (start, end, n).
+
+    A run starts where the evaluation before does not fire and ends where the next one does not; the runs' starts and
+    ends, in order, belong together. Places in that order are found over the cluster.
+    """
+    no = F.floor(F.unix_timestamp("start").cast("long") / step_seconds).cast("long")
+    r = staged(rows.where(firing).select("start", no.alias("no")), "firing")
+    beside = lambda step: r.select((F.col("no") + step).alias("no"))
+    starts = ranked(r.join(beside(1), "no", "left_anti"), [F.asc("no")], "run")
+    ends = ranked(r.join(beside(-1), "no", "left_anti"), [F.asc("no")], "run").select("run", F.col("start").alias("end"), F.col("no").alias("last"))
+    return starts.join(ends, "run").select("start", "end", (F.col("last") - F.col("no") + 1).alias("n")).where(F.col("n") >= at_least)
 
 
 def rates_over(df: DataFrame, width: str, key: str, most: int) -> DataFrame:
@@ -65,6 +73,29 @@ def first_by_hash(df: DataFrame, key: str = "hash") -> DataFrame:
     return d.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy("ts", "event_id"))).where("r = 1").drop("r")
 
 
+def once_by_hash(seen_table: str, write: Callable[[DataFrame, int], None], key: str = "hash", order: Sequence[str] = ("ts", "event_id"), buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """K7, unbounded: a foreachBatch function that hands to write only rows whose content no earlier batch has had.
+
+    Hashes that were seen are kept for good in a table bucketed by them, with the number of the batch that brought them:
+    a batch meets the table bucket by bucket, the table is not shuffled. A batch that is run again looks at earlier
+    batches only, so it finds the same rows and adds nothing that changes an answer; write, given the batch's number, has
+    to be as repeatable. Of a content's rows in a batch the first by order counts; rows without a hash always pass.
+    """
+
+    def run(df: DataFrame, no: int) -> None:
+        spark = df.sparkSession
+        first = df.withColumn("__r", F.row_number().over(W.partitionBy(key).orderBy(*order))).where((F.col("__r") == 1) | F.col(key).isNull()).drop("__r")
+        if spark.catalog.tableExists(seen_table):
+            known = spark.table(seen_table).where(F.col("batch") < no).select(key)
+            first = first.join(known, key, "left_anti")
+        new = staged(first, "fresh")
+        fresh = new.where(F.col(key).isNotNull()).select(key, F.lit(no).cast("long").alias("batch"))
+        fresh.repartition(buckets, key).write.mode("append").format("parquet").bucketBy(buckets, key).sortBy(key).saveAsTable(seen_table)
+        write(new, no)
+
+    return run
+
+
 def cache_replay(df: DataFrame, key: str, ttl_seconds: int) -> DataFrame:
     """K8, batch: is a look-up a hit, the same key having been written within the time to live? A hit does not renew it.
 
