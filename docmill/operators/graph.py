@@ -85,24 +85,36 @@ def topic_experts(nodes: DataFrame, edges: DataFrame, word: str, most: int, most
     return g.join(projects, F.col("person") == F.col("node"), "left").drop("node").withColumn("projects", F.coalesce("projects", F.array().cast("array<string>")))
 
 
+def grams_of(text: Column, least: int, most: int = 3) -> Column:
+    """The distinct substrings of least to most characters."""
+    sizes = F.array(*[F.lit(n) for n in range(least, most + 1)])
+    parts = F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i: F.substr(text, i, n)))
+    return F.array_distinct(F.flatten(parts))
+
+
 def name_matches(words: DataFrame, names: DataFrame, partial: int = 15, most: int = 20, gram: int = 3) -> DataFrame:
     """Names equal to a word of a query, then names that contain one; (query_id, word) against distinct (name).
 
-    Candidates come from an equi-join on the first three characters of a word (fewer, if it is shorter) with such parts of
-    the names; only these are compared, so dictionaries of any size are never crossed with the words. Words shorter than
+    A word meets names on the rarest of its parts of three characters (fewer, if it is shorter) only, by the number of
+    names that hold each; a word with a part that no name holds meets none. What meets is compared, so a dictionary of any
+    size is never crossed with the words, and no list is longer than that of a word's rarest part. Words shorter than
     `gram` only match whole names. A word that many queries share is looked up once, and of what it is part of only as
     many names go on as any query can show.
     """
+    least = min(gram, 3)
     low = names.select("name", F.lower("name").alias("low"))
-    sizes = F.array(*[F.lit(n) for n in range(min(gram, 3), 4)])
-    parts = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("low") - n + 1)), lambda i: F.substr("low", i, n))))
-    grams = low.select("name", "low", F.explode(F.array_distinct(parts)).alias("g"))
     w = staged(words.select("query_id", F.lower("word").alias("word")).distinct(), "query-words")
     each = w.select("word").distinct()
     exact = staged(each.join(low, F.col("word") == F.col("low")).select("word", "name", F.lit(0).alias("kind")), "same-names")
     # Names that equal another word of the query stand elsewhere; so many more have to be at hand.
     shown = partial + (w.join(exact, "word").groupBy("query_id").agg(F.count_distinct("name").alias("n")).agg(F.max("n")).first()[0] or 0)
-    part = each.where(F.length("word") >= gram).join(grams, F.substring("word", 1, 3) == F.col("g")).where(F.contains("low", "word") & (F.col("low") != F.col("word"))).select("word", "name").distinct()
+    grams = staged(low.select("low").distinct().select("low", F.explode(grams_of(F.col("low"), least)).alias("g")), "name-grams")
+    held = grams.groupBy("g").agg(F.count("*").alias("df"))
+    size = F.least(F.length("word"), F.lit(3))
+    own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - size + 1), lambda i: F.substr("word", i, size)))
+    asked = each.where(F.length("word") >= gram).select("word", F.explode(own).alias("g")).join(held, "g", "left")
+    rarest = asked.groupBy("word").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")).alias("x")).where("x.df > 0").select("word", F.col("x.g").alias("g"))
+    part = rarest.join(grams, "g").where(F.contains("low", "word") & (F.col("low") != F.col("word"))).select("word", "low").join(low, "low").select("word", "name")
     part = part.withColumn("r", F.row_number().over(W.partitionBy("word").orderBy("name"))).where(F.col("r") <= shown).select("word", "name", F.lit(1).alias("kind"))
     best = w.join(exact.unionByName(part), "word").groupBy("query_id", "name").agg(F.min("kind").alias("kind"))
     r = best.withColumn("r", F.row_number().over(W.partitionBy("query_id", "kind").orderBy("name"))).where((F.col("kind") == 0) | (F.col("r") <= partial))

@@ -117,7 +117,7 @@ def best_documents(rows: pa.Table, index_fields: list[str], avg_len: dict[str, f
     own = [Table(rows.filter(pc.and_(pc.equal(rows["channel"], 0), pc.equal(rows["field"], f))), ids) for f in index_fields]
     extra = rows.filter(pc.equal(rows["channel"], 1))
     named = pc.is_in(ids, value_set=extra["query_id"]).to_numpy(False)
-    more = Table(extra, ids) if extra_field else None
+    more = Table(extra.filter(pc.is_valid(extra["term"])), ids) if extra_field else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [Best(len(ids), ks[0]), Best(int(named.sum()), ks[1])]
@@ -139,7 +139,8 @@ def best_documents(rows: pa.Table, index_fields: list[str], avg_len: dict[str, f
                     found = total
                     if channel:
                         scores = np.zeros_like(total)
-                        more.add(scores, part.column(1 + index_fields.index(extra_field)), avg_len[extra_field], k1, b)
+                        if len(more.words):
+                            more.add(scores, part.column(1 + index_fields.index(extra_field)), avg_len[extra_field], k1, b)
                         found = np.where(total > 0, total + scores, 0.0)[named]
                     hit = found > 0
                     best_.take(np.where(hit, found if digits is None else np.round(found, digits), -1.0), chunk)
@@ -163,7 +164,8 @@ def keyword_top(
     """
     gains = term_gains(terms, index, boosts).withColumn("channel", F.lit(0))
     if extra is not None:
-        gains = gains.unionByName(term_gains(extra, index, {extra_field: 1.0}).withColumn("channel", F.lit(1)))
+        there = extra.select("query_id", F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("term"), F.lit(0.0).alias("gain")).distinct()  # also if no text has its terms
+        gains = gains.unionByName(term_gains(extra, index, {extra_field: 1.0}).unionByName(there).withColumn("channel", F.lit(1)))
     gains = staged(gains, "gains")
     avg_len = {r.field: r.avg_len for r in index.statistics.collect()}  # a row for each field
     blocks = max(1, -(-gains.count() // block_terms))

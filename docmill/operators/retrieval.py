@@ -50,7 +50,8 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10, digits: in
         rows = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).where(F.size("vector") == width).collect()
         if rows:
             part = vectors.where(F.size("vector") == width).select("chunk_id", "vector").mapInArrow(best_of(rows, k, digits, schema), schema)
-            out = part if b == 0 else out.unionByName(part)
+            part = part if blocks == 1 else staged(top(part, k, ["query_id"], "chunk_id").drop("rank"), "block-best")  # one block is held at a time
+            out = out.unionByName(part) if blocks > 1 else part
     return top(out, k, ["query_id"], "chunk_id")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,32 @@ def upserted(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return base.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+def validated(new: DataFrame, key: str, rules: dict[str, Column], order: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
+    """L1: (rows to write, errors): what breaks a rule goes to the errors with the first rule's name as reason.
+
+    rules say what must hold; null counts as broken. A row without a key breaks "key". Of several rows of a key that break
+    none the last by order is written, the others are errors with the reason "superseded"; of rows equal in order any one.
+    """
+    reason = F.when(F.col(key).isNull(), "key")
+    for name, holds in rules.items():
+        reason = reason.when(~F.coalesce(holds, F.lit(False)), name)
+    judged = new.withColumn("reason", reason)
+    sound = judged.where(F.col("reason").isNull())
+    # The last row of a key is an aggregate, so a key with very many new rows is combined before it is shuffled.
+    best = F.max_by(F.struct(*new.columns), F.struct(*order, F.xxhash64(*new.columns))).alias("row")
+    last = sound.groupBy(F.col(key).alias("__key")).agg(best, F.count("*").alias("n")).select("row.*", "n")
+    older = last.where("n > 1").select(F.col(key).alias("__key"), F.struct(*order, F.xxhash64(*new.columns)).alias("__last"))
+    superseded = sound.join(older, F.col(key) == F.col("__key")).where(F.struct(*order, F.xxhash64(*new.columns)) < F.col("__last")).drop("__key", "__last")
+    errors = judged.where(F.col("reason").isNotNull()).unionByName(superseded.withColumn("reason", F.lit("superseded")))
+    return last.drop("n"), errors
+
+
+def upserted_checked(base: DataFrame, new: DataFrame, key: str, rules: dict[str, Column], order: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
+    """L1: base with the sound new rows, and the error rows (all columns of new, reason); broken rows stop nothing."""
+    sound, errors = validated(new, key, rules, order)
+    return upserted(base, sound, key), errors
+
+
 def insert_or_update(base: DataFrame, new: DataFrame, key: str, keep: list[str]) -> DataFrame:
     """L2: rows of base keep the columns `keep`, the others take new values where there are any."""
     n = new.select(*[F.col(c).alias(f"__n_{c}") for c in new.columns])

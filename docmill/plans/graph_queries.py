@@ -161,6 +161,21 @@ def l1(spark, d):
     return si.upserted(base, hit.unionByName(hit.withColumn("doc_id", F.col("doc_id") + 10_000_000)), "doc_id")
 
 
+@query("l1_checked_upsert", """WITH new AS (SELECT CASE WHEN doc_id % 9 = 0 THEN NULL ELSE doc_id - doc_id % 3 END AS doc_id, n_chars, lang, doc_id AS version FROM documents),
+j AS (SELECT *, CASE WHEN doc_id IS NULL THEN 'key' WHEN NOT coalesce(n_chars >= 200, false) THEN 'size' WHEN lang = 'fr' THEN 'lang' END AS reason FROM new),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY version DESC) AS r FROM j WHERE reason IS NULL),
+b AS (SELECT doc_id, n_chars, lang, -1 AS version FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM s))
+SELECT 'row' AS kind, doc_id, n_chars, lang, version, NULL AS reason FROM b UNION ALL SELECT 'row', doc_id, n_chars, lang, version, NULL FROM s WHERE r = 1
+UNION ALL SELECT 'error', coalesce(doc_id, -1), n_chars, lang, version, reason FROM j WHERE reason IS NOT NULL UNION ALL SELECT 'error', doc_id, n_chars, lang, version, 'superseded' FROM s WHERE r > 1""")
+def l1_checked(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "n_chars", "lang")
+    new = docs.select(F.when(F.col("doc_id") % 9 != 0, F.col("doc_id") - F.col("doc_id") % 3).alias("doc_id"), "n_chars", "lang", F.col("doc_id").alias("version"))
+    rules = {"size": F.col("n_chars") >= 200, "lang": F.col("lang") != "fr"}
+    rows, errors = si.upserted_checked(docs.withColumn("version", F.lit(-1).cast("long")), new, "doc_id", rules, [F.col("version")])
+    one = lambda df, kind, reason: df.select(F.lit(kind).alias("kind"), F.coalesce("doc_id", F.lit(-1).cast("long")).alias("doc_id"), "n_chars", "lang", "version", reason.cast("string").alias("reason"))
+    return one(rows, "row", F.lit(None)).unionByName(one(errors, "error", F.col("reason") if "reason" in errors.columns else F.lit(None)))
+
+
 @query("l2_insert_or_update", "SELECT doc_id, lang AS title, CASE WHEN doc_id % 4 = 0 THEN 'done' ELSE source END AS status FROM documents")
 def l2(spark, d):
     base = table(spark, d, "documents").select("doc_id", F.col("lang").alias("title"), F.col("source").alias("status"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docmill.functions import text as tx
-from docmill.operators import context as cx, evaluation as ev, filters as fl, fusion as fu, retrieval as rt
+from docmill.operators import context as cx, evaluation as ev, filters as fl, fusion as fu, retrieval as rt, vector_index as vi
 
 from .registry import query
 from .views import MENTIONS_SQL, QUERIES_SQL, mentions, queries_of, table, title_of
@@ -86,6 +86,28 @@ def h3(spark, d):
     return rt.fuzzy_terms(rt.query_terms(queries_of(spark, d)), vocabulary)
 
 
+FUZZY_BM25_SQL = BM25_SQL.split("qt AS (")[0] + f"""q0 AS (SELECT DISTINCT query_id, unnest({tok('query')}) AS term FROM queries),
+df AS (SELECT field, term, count(*) AS df FROM p GROUP BY ALL), v AS (SELECT DISTINCT term AS word FROM p),
+u AS (SELECT DISTINCT term, CASE WHEN length(term) < 3 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END AS edits FROM q0),
+m AS (SELECT term, word, levenshtein({_BYTE.format('term')}, {_BYTE.format('word')}) AS e FROM u JOIN v ON term[1] = word[1] AND abs(length(term) - length(word)) <= edits WHERE levenshtein({_BYTE.format('term')}, {_BYTE.format('word')}) <= edits),
+qt AS (SELECT query_id, word AS term, max(1 - e / least(length(term), length(word))::DOUBLE) AS weight FROM q0 JOIN m USING (term) GROUP BY query_id, word HAVING max(1 - e / least(length(term), length(word))::DOUBLE) > 0),
+bf AS (""" + BM25_SQL.split("bf AS (")[1].replace("sum(ln(", "sum(weight * ln(")
+
+
+@query("h2_fuzzy_bm25", WITH + FUZZY_BM25_SQL + " SELECT query_id, chunk_id, score, rank FROM keyword")
+def h2_fuzzy(spark, d):
+    found = rt.keyword_search(queries_of(spark, d), docs_of(spark, d), FIELDS, 20, 6, fuzzy=True)
+    return found.select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("h1_indexed_search", WITH + DENSE_SQL + " SELECT query_id, chunk_id, score, rank FROM dense")
+def h1_indexed(spark, d):
+    """Over inverted lists with 10,000 candidates a query: no fewer than there are vectors here, so the exact result."""
+    q = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vector"))
+    found = vi.indexed_search(q, vi.vector_index(vectors_of(spark, d)), 20, 10_000, 6)
+    return found.select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 SPARSE_SQL = """sw AS (SELECT chunk_id, term AS token, round(tf / len::DOUBLE * ln((SELECT count(*) FROM documents) / df::DOUBLE), 6) AS weight FROM p JOIN df USING (field, term) WHERE field = 'content'),
 sk AS (SELECT chunk_id, token, weight FROM sw WHERE weight >= 0.01 QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY weight DESC, token) <= 50),
 cand AS (SELECT query_id, chunk_id FROM dense UNION SELECT query_id, chunk_id FROM keyword),
