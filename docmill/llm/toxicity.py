@@ -237,7 +237,7 @@ def evidence(decoder: Decoder, told: dict[str, tuple[int, int]], n_pos: int, n_n
 
     Given a text's own label, what the text itself taught is left out: counts are those of all other texts.
     """
-    memo: dict[tuple[str, int | None], tuple[float, ...]] = {}
+    memos: dict[int | None, dict[str, tuple[float, ...]]] = {None: {}, 0: {}, 1: {}}
     known: dict[tuple[int, int, int | None], tuple[float, ...]] = {}
     nothing = (0.0,) * len(levels)
 
@@ -252,16 +252,18 @@ def evidence(decoder: Decoder, told: dict[str, tuple[int, int]], n_pos: int, n_n
     def of(text: str, own: int | None = None) -> list[float]:
         low = text.lower()
         extra = [w for m in APART.finditer(low) if (t := decoder.apart(m[0])) for w in t.split()]
-        total = list(nothing)
+        memo, told_of = memos[own], []
         for w in {*low.split(), *extra}:
-            if (x := memo.get((w, own))) is None:
+            if (x := memo.get(w)) is None:
                 x = tuple(max(each, key=abs) for each in zip(*[weights(f, own) for f in features(decoder.word(w))], strict=True))
+                if not any(x):
+                    x = nothing
                 if len(memo) >= MEMO:
                     memo.clear()
-                memo[w, own] = x
-            for i, v in enumerate(x):
-                total[i] += v
-        return total
+                memo[w] = x
+            if x is not nothing:
+                told_of.append(x)
+        return [math.fsum(each) for each in zip(*told_of, strict=True)] if told_of else list(nothing)
 
     return of
 
