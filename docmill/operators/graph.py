@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docmill.functions.text import is_junk_name
 
-from .storage import staged
+from .storage import small, staged
 
 # The relation types that are kept; any other becomes the last.
 RELATIONS = ["USES", "IMPLEMENTS", "BELONGS_TO", "DEPENDS_ON", "CREATED_BY", "PART_OF", "RELATED_TO"]
@@ -58,19 +63,27 @@ def expanded_names(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, neighbo
 
 
 def k_hop(edges: DataFrame, centres: DataFrame, depth: int = 2, limit: int = 50) -> DataFrame:
-    """(centre, id, hop) of the nodes within so many hops, nearest first; depth is held within 1 and 5.
+    """(centre, id, hop) of the nodes within so many hops, nearest first, the centre included; depth is held within 1 and 5.
 
-    Each hop joins the frontier alone and leaves out what was visited; frontiers are written, so no hop is run twice.
+    Each hop joins the frontier alone and leaves out what was visited; frontiers are written, so no hop is run twice. A
+    centre takes the lowest ids of a hop until it has `limit` nodes and then stops. Of a node's neighbours the 2 * limit
+    lowest ids are enough for that, as fewer than limit of them can have been visited: a hub makes no hop wider. Centres
+    that are null or repeated count once, or not at all.
     """
-    both = staged(undirected(edges).select("node", "other").distinct(), "neighbours")
-    seen = centres.select(F.col("id").alias("centre"), "id", F.lit(0).alias("hop"))
-    frontier = seen
+    near = W.partitionBy("node").orderBy("other")
+    both = undirected(edges).select("node", "other").where("node IS NOT NULL AND other IS NOT NULL").distinct()
+    both = staged(both.withColumn("r", F.row_number().over(near)).where(F.col("r") <= 2 * limit).drop("r"), "neighbours")
+    seen = staged(centres.where("id IS NOT NULL").select(F.col("id").alias("centre"), "id", F.lit(0).alias("hop")).distinct(), "centres")
+    frontier, place = seen, F.row_number().over(W.partitionBy("centre").orderBy("id"))
     for hop in range(1, max(1, min(depth, 5)) + 1):
-        step = frontier.join(both, F.col("id") == F.col("node")).select("centre", F.col("other").alias("id")).distinct()
-        frontier = staged(step.join(seen, ["centre", "id"], "left_anti").withColumn("hop", F.lit(hop)), "frontier")
+        room = seen.groupBy("centre").agg((F.lit(limit) - F.count("*")).alias("room")).where("room > 0")
+        step = frontier.join(room, "centre").join(both, F.col("id") == F.col("node")).select("centre", F.col("other").alias("id"), "room").distinct()
+        new = step.join(seen, ["centre", "id"], "left_anti").withColumn("r", place).where((F.col("r") <= limit) & (F.col("r") <= F.col("room")))
+        frontier = staged(new.select("centre", "id", F.lit(hop).alias("hop")), "frontier")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
-    r = F.row_number().over(W.partitionBy("centre").orderBy("hop", "id"))
-    return seen.withColumn("r", r).where(F.col("r") <= limit).drop("r")
+    return seen
 
 
 def topic_experts(nodes: DataFrame, edges: DataFrame, word: str, most: int, most_topics: int = 10, most_projects: int = 5) -> DataFrame:
@@ -92,6 +105,21 @@ def grams_of(text: Column, least: int, most: int = 3) -> Column:
     return F.array_distinct(F.flatten(parts))
 
 
+def holders(words: DataFrame, texts: DataFrame, least: int = 3) -> DataFrame:
+    """(word, low): the distinct texts (low) that contain each distinct word (word) of `least` characters or more.
+
+    A word meets texts on the rarest of its parts of three characters (fewer, if it is shorter) only, by the number of
+    texts that hold each; a word with a part that no text holds meets none. What meets is compared.
+    """
+    grams = staged(texts.select("low").distinct().select("low", F.explode(grams_of(F.col("low"), min(least, 3))).alias("g")), "grams")
+    held = grams.groupBy("g").agg(F.count("*").alias("df"))
+    size = F.least(F.length("word"), F.lit(3))
+    own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - size + 1), lambda i: F.substr("word", i, size)))
+    asked = words.where(F.length("word") >= least).select("word", F.explode(own).alias("g")).join(held, "g", "left")
+    rarest = asked.groupBy("word").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")).alias("x")).where("x.df > 0").select("word", F.col("x.g").alias("g"))
+    return rarest.join(grams, "g").where(F.contains("low", "word")).select("word", "low")
+
+
 def name_matches(words: DataFrame, names: DataFrame, partial: int = 15, most: int = 20, gram: int = 3) -> DataFrame:
     """Names equal to a word of a query, then names that contain one; (query_id, word) against distinct (name).
 
@@ -101,20 +129,13 @@ def name_matches(words: DataFrame, names: DataFrame, partial: int = 15, most: in
     `gram` only match whole names. A word that many queries share is looked up once, and of what it is part of only as
     many names go on as any query can show.
     """
-    least = min(gram, 3)
     low = names.select("name", F.lower("name").alias("low"))
     w = staged(words.select("query_id", F.lower("word").alias("word")).distinct(), "query-words")
     each = w.select("word").distinct()
     exact = staged(each.join(low, F.col("word") == F.col("low")).select("word", "name", F.lit(0).alias("kind")), "same-names")
     # Names that equal another word of the query stand elsewhere; so many more have to be at hand.
     shown = partial + (w.join(exact, "word").groupBy("query_id").agg(F.count_distinct("name").alias("n")).agg(F.max("n")).first()[0] or 0)
-    grams = staged(low.select("low").distinct().select("low", F.explode(grams_of(F.col("low"), least)).alias("g")), "name-grams")
-    held = grams.groupBy("g").agg(F.count("*").alias("df"))
-    size = F.least(F.length("word"), F.lit(3))
-    own = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - size + 1), lambda i: F.substr("word", i, size)))
-    asked = each.where(F.length("word") >= gram).select("word", F.explode(own).alias("g")).join(held, "g", "left")
-    rarest = asked.groupBy("word").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")).alias("x")).where("x.df > 0").select("word", F.col("x.g").alias("g"))
-    part = rarest.join(grams, "g").where(F.contains("low", "word") & (F.col("low") != F.col("word"))).select("word", "low").join(low, "low").select("word", "name")
+    part = holders(each, low, gram).where(F.col("low") != F.col("word")).join(low, "low").select("word", "name")
     part = part.withColumn("r", F.row_number().over(W.partitionBy("word").orderBy("name"))).where(F.col("r") <= shown).select("word", "name", F.lit(1).alias("kind"))
     best = w.join(exact.unionByName(part), "word").groupBy("query_id", "name").agg(F.min("kind").alias("kind"))
     r = best.withColumn("r", F.row_number().over(W.partitionBy("query_id", "kind").orderBy("name"))).where((F.col("kind") == 0) | (F.col("r") <= partial))
@@ -134,10 +155,56 @@ def orphans(nodes: DataFrame, edges: DataFrame, incoming: str | None = None) ->
     return nodes.join(ends.distinct(), "id", "left_anti")
 
 
-def mention_edges(chunks: DataFrame, entities: DataFrame) -> DataFrame:
-    """C20: a chunk mentions the entities (document_id, name) of its own document that its text contains."""
-    j = chunks.select("document_id", "chunk_id", F.lower("content").alias("low")).join(entities.select("document_id", "name"), "document_id")
-    return j.where(F.contains("low", F.lower("name"))).select("chunk_id", "document_id", "name").distinct()
+def found_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (document_id, part, block, name, chunk_id, low), sorted: a document's names first, then its chunks, each read once."""
+    now, names, machine, seen, chunk = None, {}, None, set(), None
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
+        at, out = [], []
+        for i, (*group, name, chunk_id, low) in enumerate(zip(*columns, strict=True)):
+            if group != now:
+                now, names, machine, chunk = group, {}, None, None
+            if name is not None:
+                names.setdefault(low, []).append(name)
+                continue
+            if machine is None:
+                machine = ahocorasick.Automaton()
+                for word in names:
+                    if word:
+                        machine.add_word(word, word)
+                machine.make_automaton()
+            if chunk is None or chunk != (chunk_id,):
+                chunk, seen = (chunk_id,), set()
+            hits = {word for _, word in machine.iter(low)} if len(machine) else set()
+            for word in (hits | ({""} & names.keys())) - seen:  # every text contains the empty name
+                seen.add(word)
+                at.extend([i] * len(names[word]))
+                out.extend(names[word])
+        rows = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch["chunk_id"].take(rows), batch["document_id"].take(rows), pa.array(out, batch["name"].type)], names=["chunk_id", "document_id", "name"])
+
+
+def mention_edges(chunks: DataFrame, entities: DataFrame, part_chunks: int = 100_000, block_names: int = 200_000) -> DataFrame:
+    """C20: a chunk mentions the entities (document_id, name) of its own document that its text contains, upper and lower case alike.
+
+    Each chunk is read once, by an automaton of its document's names; chunks and names meet in one shuffle, sorted, and no
+    text is copied for a name. A document with more chunks than part_chunks is dealt in parts, each with its names; one with
+    more names than block_names in blocks of names, each with its chunks, so a task holds block_names or so at a time.
+    Rows that are null in document_id, name or text mention nothing; repeated rows count once.
+    """
+    c = chunks.select("document_id", "chunk_id", F.lower("content").alias("low")).where("document_id IS NOT NULL AND low IS NOT NULL")
+    n = entities.select(F.col("document_id").cast(chunks.schema["document_id"].dataType), "name").where("document_id IS NOT NULL AND name IS NOT NULL").distinct()
+    sizes = c.groupBy("document_id").agg(F.count("*").alias("c"), F.lit(0).cast("long").alias("n")).unionByName(n.groupBy("document_id").agg(F.lit(0).cast("long").alias("c"), F.count("*").alias("n")))
+    sizes = sizes.groupBy("document_id").agg(F.sum("c").alias("c"), F.sum("n").alias("n")).where((F.col("c") > part_chunks) | (F.col("n") > block_names))
+    large = small(staged(sizes.select("document_id", F.ceil(F.greatest("c", F.lit(1)) / part_chunks).cast("int").alias("parts"), F.ceil(F.greatest("n", F.lit(1)) / block_names).cast("int").alias("blocks")), "large-documents"))
+    parts, blocks = F.coalesce("parts", F.lit(1)), F.coalesce("blocks", F.lit(1))
+    each = lambda size: F.explode(F.sequence(F.lit(0), size - 1))
+    c = c.join(large, "document_id", "left").withColumns({"part": F.pmod(F.xxhash64("chunk_id"), parts).cast("int"), "block": each(blocks)})
+    n = n.join(large, "document_id", "left").withColumns({"block": F.pmod(F.xxhash64("name"), blocks).cast("int"), "part": each(parts), "chunk_id": F.lit(None).cast(chunks.schema["chunk_id"].dataType), "low": F.lower("name")})
+    columns = ["document_id", "part", "block", "name", "chunk_id", "low"]
+    rows = n.select(columns).unionByName(c.withColumn("name", F.lit(None).cast(entities.schema["name"].dataType)).select(columns))
+    rows = rows.repartition("document_id", "part", "block").sortWithinPartitions("document_id", "part", "block", F.col("name").isNull(), "chunk_id")
+    return rows.mapInArrow(found_names, T.StructType([chunks.schema["chunk_id"], chunks.schema["document_id"], entities.schema["name"]]))
 
 
 def category_tree(rows: DataFrame, levels: int = 3) -> DataFrame:

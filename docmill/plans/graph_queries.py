@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docmill.functions import text as tx
-from docmill.operators import graph as gr, quality as qu, sinks as si
+from docmill.operators import graph as gr, quality as qu, sinks as si, subgraph as sg
 from docmill.operators.storage import staged
 
 from .registry import query
+from .search_queries import tok
 from .views import CHUNKS_SQL, GRAPH_SQL, MENTIONS_SQL, chunks, graph, mentions, table
 
 UND = "u AS (SELECT src AS node, dst AS other, rel_type, weight FROM edges UNION ALL SELECT dst, src, rel_type, weight FROM edges)"
@@ -69,6 +70,36 @@ def c7(spark, d):
     return gr.k_hop(edges, nodes.where("label = 'Region'"), 2, 50)
 
 
+def asked_names(spark, d):
+    """(query_id, asked): regions by name, customers whose number is divisible by 50, nations by a part of the name or by more than it."""
+    region, nation = table(spark, d, "region"), table(spark, d, "nation")
+    ask = lambda df, kind, key, asked: df.select(F.concat(F.lit(kind), F.col(key).cast("string")).alias("query_id"), asked.alias("asked"))
+    out = ask(region, "whole:", "r_regionkey", F.concat("r_name", F.lit(" region"))).unionByName(ask(table(spark, d, "customer").where("c_custkey % 50 = 0"), "customer:", "c_custkey", F.col("c_name")))
+    return out.unionByName(ask(nation, "start:", "n_nationkey", F.substring("n_name", 1, 4))).unionByName(ask(nation, "long:", "n_nationkey", F.concat("n_name", F.lit("ese"))))
+
+
+NEAR_SQL = GRAPH_SQL + ", " + UND + f""", d AS (SELECT DISTINCT node, other FROM u), linked AS (SELECT id, name FROM nodes WHERE id IN (SELECT node FROM u)),
+asked AS (SELECT 'whole:' || r_regionkey AS query_id, r_name || ' region' AS asked FROM region UNION ALL SELECT 'customer:' || c_custkey, c_name FROM customer WHERE c_custkey % 50 = 0 UNION ALL SELECT 'start:' || n_nationkey, n_name[1:4] FROM nation UNION ALL SELECT 'long:' || n_nationkey, n_name || 'ese' FROM nation),
+nt AS (SELECT id, {tok('name')} AS t FROM linked), p AS (SELECT id, term, len, count(*) AS tf FROM (SELECT id, len(t) AS len, unnest(t) AS term FROM nt) GROUP BY ALL), st AS (SELECT count(*) AS n_docs, avg(len(t)) AS avg_len FROM nt WHERE len(t) > 0), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+qt AS (SELECT DISTINCT query_id, unnest({tok('asked')}) AS term FROM asked),
+sc AS (SELECT query_id, id, round(sum(ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len))), 6) AS s FROM qt JOIN p USING (term) JOIN df USING (term) CROSS JOIN st GROUP BY ALL),
+c1 AS (SELECT query_id, id, 'score' AS found_by FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) = 1),
+c2 AS (SELECT query_id, id, 'part' AS found_by FROM asked JOIN linked ON contains(name, asked) OR contains(asked, name) WHERE query_id NOT IN (SELECT query_id FROM c1) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY length(name) DESC, id) = 1),
+c AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2),
+h AS (SELECT DISTINCT id AS centre, id, 0 AS hop FROM c UNION SELECT centre, other, hop + 1 FROM h JOIN d ON d.node = h.id WHERE hop < 2),
+b AS (SELECT centre, id, min(hop) AS hop FROM h GROUP BY ALL), near AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY centre ORDER BY hop, id) <= 50)"""
+
+
+@query("c7_subgraph_nodes", NEAR_SQL + " SELECT query_id, c.id AS centre, found_by, near.id AS id, hop FROM c JOIN near ON near.centre = c.id")
+def c7_nodes(spark, d):
+    return sg.subgraph(asked_names(spark, d), *graph(spark, d))[0].select("query_id", "centre", "found_by", "id", "hop")
+
+
+@query("c7_subgraph_edges", NEAR_SQL + " SELECT DISTINCT query_id, least(src, dst) AS a, greatest(src, dst) AS b, rel_type FROM c JOIN near x ON x.centre = c.id JOIN edges ON src = x.id JOIN near y ON y.centre = c.id AND y.id = dst WHERE src <> dst")
+def c7_edges(spark, d):
+    return sg.subgraph(asked_names(spark, d), *graph(spark, d))[1].select("query_id", "a", "b", "rel_type")
+
+
 @query("c8_topic_experts", GRAPH_SQL + ", " + UND + """, h AS (SELECT p.id AS person, p.name AS person_name, t.id AS topic FROM nodes t JOIN u ON u.node = t.id JOIN nodes p ON p.id = u.other WHERE t.label = 'Topic' AND p.label = 'Person' AND contains(lower(t.name), 'brand#1'))
 SELECT person, person_name, count(*)::BIGINT AS relations, count(DISTINCT topic)::BIGINT AS n_topics, round(least(1.0, (count(*) + 0.5::DOUBLE * count(DISTINCT topic)) / 10), 6) AS score FROM h GROUP BY ALL ORDER BY score DESC, relations DESC, person LIMIT 25""")
 def c8(spark, d):
