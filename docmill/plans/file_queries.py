@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from docmill.functions import files as fs, records as rc, text as tx
 from docmill.operators import analytics as an, filters as fl, fusion as fu, quality as qu, retrieval as rt, sinks as si
 from docmill.operators.storage import scratch, staged
 from docmill.sources import readers as rd
-from docmill.streaming import jobs
+from docmill.streaming import jobs, latest
 
 from .registry import query
 from .search_queries import ALL_SQL, BM25_SQL, SPARSE_SQL, WITH, channels, docs_of
@@ -41,6 +43,20 @@ def a2(spark, d):
     return t.groupBy("lang", "source").agg(F.sum("n").alias("n_chars"))
 
 
+# Every text, with an accent at its start, in Latin-1 for odd numbers and in UTF-8 for even ones, one folder each; lines come back as they were.
+@query("a2_other_encodings", "SELECT doc_id % 2 AS odd, sha256(line) AS line_hash, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest(string_split('é' || regexp_replace(text, '[^\\x{0a}\\x{20}-\\x{7e}]', '?', 'g'), chr(10))) AS line FROM documents) GROUP BY ALL")
+def a2_other(spark, d):
+    path = scratch(spark, "encoded")
+    plain = F.regexp_replace("text", "[^\\x0A\\x20-\\x7E]", "?")
+    docs = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.concat(F.lit("é"), plain), "\n")).alias("line"))
+    # One column without quotes or escapes is a text file, and only this writer takes an encoding.
+    write = lambda df, odd, encoding: df.where(F.col("doc_id") % 2 == odd).select("line").write.options(encoding=encoding, quote="\u0000", sep="\u0001", emptyValue="", escape="\u0000").csv(f"{path}/odd={odd}")
+    write(docs, 0, "UTF-8")
+    write(docs, 1, "ISO-8859-1")
+    t = rd.read_texts(spark, path).select(F.regexp_extract("path", "/odd=([01])/", 1).cast("long").alias("odd"), F.explode(F.split(F.regexp_replace("text", "\n$", ""), "\n")).alias("line"))
+    return t.groupBy("odd", F.sha2("line", 256).alias("line_hash")).agg(F.count("*").alias("n"))
+
+
 # The words after "the" are taken as pictures.
 PICTURED = "regexp_replace(text, '(^| )the ([a-z]+)', '\\1![\\2 shown](img/\\2.png)', 'g')"
 @query("a6_images", f"WITH t AS (SELECT doc_id, regexp_extract_all({PICTURED}, '!\\[([^\\]]*)\\]\\(([^)]+)\\)', 1) AS alt, regexp_extract_all({PICTURED}, '!\\[([^\\]]*)\\]\\(([^)]+)\\)', 2) AS target FROM documents) SELECT doc_id, unnest(range(len(alt)))::BIGINT AS pos, unnest(alt) AS alt, unnest(target) AS target FROM t")
@@ -171,12 +187,14 @@ def h8(spark, d):
     return fu.fused(fu.contributions(channels(spark, d), weights, 10)).select("query_id", "chunk_id", "score", "n_sources")
 
 
-@query("j11_schema_drift", "SELECT * FROM (VALUES ('extra', NULL, 'int', 'unexpected'), ('lang', 'string', NULL, 'missing'), ('n_chars', 'bigint', 'int', 'type')) v(field, expected, actual, problem), (SELECT count(*)::BIGINT AS n_rows FROM documents)")
+# Each table of the given ones against the next: what a loader that expects the one finds in the other. The SQL names types as Spark does.
+PAIRS = [("documents", "pages"), ("orders", "lineitem"), ("customer", "supplier"), ("nation", "region"), ("labels", "documents"), ("conversations", "benchmark"), ("events", "events")]
+_FIELDS = "(SELECT column_name AS field, CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'timestamp' ELSE replace(lower(column_type), 'float[]', 'array<float>') END AS kind FROM (DESCRIBE {}))"
+_DRIFT = "SELECT '{0}' AS expected_table, '{1}' AS actual_table, coalesce(e.field, a.field) AS field, e.kind AS expected, a.kind AS actual, CASE WHEN a.field IS NULL THEN 'missing' WHEN e.field IS NULL THEN 'unexpected' ELSE 'type' END AS problem FROM " + _FIELDS.format("{0}") + " e FULL JOIN " + _FIELDS.format("{1}") + " a ON e.field = a.field WHERE e.kind IS DISTINCT FROM a.kind"
+@query("j11_schema_drift", " UNION ALL ".join(_DRIFT.format(*p) for p in PAIRS))
 def j11(spark, d):
-    docs = table(spark, d, "documents")
-    changed = docs.withColumns({"extra": F.lit(1), "n_chars": F.col("n_chars").cast("int")}).drop("lang")
-    drift = qu.schema_drift(spark, docs.select(*[F.col(c).cast("long").alias(c) if c == "n_chars" else c for c in docs.columns]).schema, changed.schema)
-    return drift.join(F.broadcast(docs.agg(F.count("*").alias("n_rows"))))
+    one = lambda e, a: qu.schema_drift(spark, table(spark, d, e).schema, table(spark, d, a).schema).select(F.lit(e).alias("expected_table"), F.lit(a).alias("actual_table"), "field", "expected", "actual", "problem")
+    return reduce(lambda x, y: x.unionByName(y), [one(*p) for p in PAIRS])
 
 
 _TWO = "round({c}, 2)::DECIMAL(18,2)::VARCHAR"
@@ -218,8 +236,8 @@ def k1(spark, d):
 def k10(spark, d):
     out = scratch(spark, "latest")
     step = lambda df: df.select("user_id", "event_id", "event_type", "ts")
-    finished(jobs.ingest(event_stream(spark, d), step, jobs.upsert_into(out, "user_id", ["ts", "event_id"]), scratch(spark, "upsert-log")))
-    return spark.read.parquet(out).select("user_id", "event_id", "event_type")
+    finished(jobs.ingest(event_stream(spark, d), step, latest.upsert_into(out, "user_id", ["ts", "event_id"]), scratch(spark, "upsert-log")))
+    return latest.latest(spark, out, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
 
 
 @query("l12_evaluation_report", "SELECT lang, count(*)::BIGINT AS n, round(avg(quality), 6) AS quality, round(avg(toxic), 6) AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY lang")

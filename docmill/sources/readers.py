@@ -20,7 +20,7 @@ ENCODINGS = ["utf-8", "cp949", "euc-kr", "latin-1"]
 
 
 def discover_files(spark: SparkSession, path: str, extensions: list[str] = EXTENSIONS) -> DataFrame:
-    """A1: (path, name, extension, size, modified) of the files worth reading; contents are not read."""
+    """A1: (path, name, extension, size, modified) of the files worth reading; contents are not read. Files of no bytes are left out, as Spark's readers do."""
     f = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.substring_index("path", "/", -1)
     ext = F.lower(F.substring_index(name, ".", -1))

@@ -159,29 +159,3 @@ def latest_status(df: DataFrame, key: str, as_of: str | None = None, timeout_sec
 def ingest(stream: DataFrame, step: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame, int], None], checkpoint: str):
     """Runs step on each batch of pending rows and hands the result to write, once for each batch number."""
     return stream.writeStream.foreachBatch(lambda df, no: write(step(df), no)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def upsert_into(path: str, key: str, order: list[str] | None = None, buckets: int = 16) -> Callable[[DataFrame, int], None]:
-    """A sink that keeps the last row of each key, by the columns of order (all others after the key, if none is given).
-
-    The table is partitioned by a hash of the key and a batch rewrites the partitions that it touches. What is older
-    never replaces what is newer, so a batch that is written again, or late, changes nothing.
-    """
-
-    def last(df: DataFrame) -> DataFrame:
-        by = order or [c for c in df.columns if c not in (key, "bucket")]
-        return df.groupBy("bucket", key).agg(F.max_by(F.struct(*[c for c in df.columns if c not in (key, "bucket")]), F.struct(*by)).alias("__x")).select(key, "__x.*", "bucket")
-
-    def write(df: DataFrame, no: int) -> None:
-        spark = df.sparkSession
-        new = staged(last(df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))), "upsert")
-        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # `buckets` at most
-        if not touched:
-            return
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-            old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched))
-            new = staged(last(old.unionByName(new)), "upsert")
-        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-    return write

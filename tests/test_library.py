@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from docmill.functions import files, text as tx
 from docmill.operators import analytics as an, chunking as ck, context as cx, evaluation as ev, filters as fl, fusion as fu, graph as gr, quality as qu, ranks as rk, retrieval as rt, sinks as si
 from docmill.sources import readers as rd
-from docmill.streaming import jobs
+from docmill.streaming import jobs, latest as lt
 
 
 def values(spark, rows, f, kind="string"):
@@ -301,18 +301,18 @@ def test_ingest_upserts(spark, tmp_path):
     for no, rows in enumerate([[(1, "a"), (2, "b")], [(2, "c"), (3, "d")]]):
         spark.createDataFrame(rows, "id long, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long, v string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    jobs.ingest(stream, lambda d: d.where("v <> 'x'"), jobs.upsert_into(str(tmp_path / "out"), "id"), str(tmp_path / "ck")).awaitTermination()
-    assert sorted((r.id, r.v) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+    jobs.ingest(stream, lambda d: d.where("v <> 'x'"), lt.upsert_into(str(tmp_path / "out"), "id"), str(tmp_path / "ck")).awaitTermination()
+    assert sorted((r.id, r.v) for r in lt.latest(spark, str(tmp_path / "out"), "id").collect()) == [(1, "a"), (2, "c"), (3, "d")]
 
 
 def test_upserts_keep_the_last_row_in_any_order(spark, tmp_path):
     rows = lambda *r: spark.createDataFrame(r, "id long, at int, v string")
-    write = jobs.upsert_into(str(tmp_path / "t"), "id", ["at"], buckets=2)
+    write = lt.upsert_into(str(tmp_path / "t"), "id", ["at"], bucket_rows=2)
     write(rows((1, 1, "first"), (1, 2, "last"), (2, 5, "b")), 0)
     write(rows((1, 1, "late"), (3, 1, "c")), 1)
     write(rows((1, 1, "late"), (3, 1, "c")), 1)  # again
     write(rows((9, 9, "x")).where("id < 0"), 2)
-    assert sorted((r.id, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(1, "last"), (2, "b"), (3, "c")]
+    assert sorted((r.id, r.v) for r in lt.latest(spark, str(tmp_path / "t"), "id", ["at"]).collect()) == [(1, "last"), (2, "b"), (3, "c")]
 
 
 def test_records_from_model_answers(spark):
