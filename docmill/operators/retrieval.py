@@ -228,16 +228,32 @@ def routed(channels: DataFrame, queries: DataFrame) -> DataFrame:
     return channels.join(small(plan), "query_id").where((F.col("strategy") == "hybrid") | (F.col("strategy") == F.col("channel"))).drop("strategy")
 
 
+def channel_counts(channels: DataFrame, use: Sequence[str] = CHANNELS) -> DataFrame:
+    """(query_id, vector, keyword, sparse, graph): how many rows each channel in use gave a query that has any."""
+    return channels.groupBy("query_id").agg(*[F.count_if(F.col("channel") == c).alias(c) for c in use])
+
+
+def with_entities(results: DataFrame, mentions: DataFrame, most: int = 5) -> DataFrame:
+    """Results with entities, the first names of each chunk by mentions (chunk_id, name); none is an empty array."""
+    names = gr.chunk_entities(results, mentions, most)
+    return results.join(names, "chunk_id", "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
+
+
 def hybrid_search(
-    queries: DataFrame, docs: DataFrame, vectors: DataFrame, mentions: DataFrame, boosts: dict[str, float], k: int = 10, keep: Column | None = None, weights: dict[str, float] = fu.WEIGHTS, by_type: bool = False, scorer: Callable = fu.overlap_score, channels: DataFrame | None = None
-) -> DataFrame:
-    """The channels, fused by weighted reciprocal ranks and reranked, with the texts; by_type routes queries."""
-    found = channels if channels is not None else search_channels(queries, docs, vectors, mentions, boosts, keep=keep)
+    queries: DataFrame, docs: DataFrame, vectors: DataFrame, mentions: DataFrame, boosts: dict[str, float], k: int = 10, keep: Column | None = None, weights: dict[str, float] = fu.WEIGHTS, by_type: bool = False, scorer: Callable = fu.overlap_score, channels: DataFrame | None = None,
+    use: Sequence[str] = CHANNELS, fuzzy: bool = False, keep_in_graph: bool = True, chunk_mentions: DataFrame | None = None
+) -> DataFrame:
+    """The channels in use, fused by weighted reciprocal ranks and reranked, with the texts; by_type routes queries.
+
+    Channels give 2 * k rows each, the graph channel k; with chunk_mentions (chunk_id, name) results carry their entities.
+    """
+    found = channels if channels is not None else search_channels(queries, docs, vectors, mentions, boosts, 2 * k, k, keep, use=use, fuzzy=fuzzy, keep_in_graph=keep_in_graph)
     found = routed(found, queries) if by_type else found
     best = staged(fu.fused(fu.contributions(found, weights)).where(F.col("rank") <= min(3 * k, 50)), "fused")
     # Documents that were found are few for each query; queries are a stated set of whole texts and are shuffled.
     pool = docs.select("chunk_id", "document_id", "content").join(small(best), "chunk_id").join(queries.select("query_id", "query"), "query_id")
-    return fu.reranked(pool, k, scorer)
+    out = fu.reranked(pool, k, scorer)
+    return out if chunk_mentions is None else with_entities(staged(out, "results"), chunk_mentions)
 
 
 def suggestions(history: DataFrame, part: str, most: int) -> DataFrame:

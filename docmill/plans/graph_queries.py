@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docmill.functions import text as tx
-from docmill.operators import graph as gr, quality as qu, sinks as si, subgraph as sg
+from docmill.operators import graph as gr, quality as qu, retrieval as rt, sinks as si, subgraph as sg
 from docmill.operators.storage import staged
 
 from .registry import query
-from .search_queries import tok
+from .search_queries import ALL_SQL, BM25_SQL, DENSE_SQL, FIELDS, RERANK_SQL, WITH, docs_of, searched, tok, vectors_of
 from .views import CHUNKS_SQL, GRAPH_SQL, MENTIONS_SQL, chunks, graph, mentions, table
 
 UND = "u AS (SELECT src AS node, dst AS other, rel_type, weight FROM edges UNION ALL SELECT dst, src, rel_type, weight FROM edges)"
@@ -34,6 +34,24 @@ def c2(spark, d):
     return e.select("chunk_id", F.array_join("entities", "|").alias("entities"))
 
 
+# Two channels of ten rows, fused, the best fifteen reranked to five.
+TWO_SQL = WITH + DENSE_SQL + ", " + BM25_SQL + ", " + MENTIONS_SQL + """,
+ch AS (SELECT query_id, chunk_id, rank, 'vector' AS channel, 0 AS no, 1.0::DOUBLE AS w FROM dense WHERE rank <= 10 AND query_id IN (SELECT query_id FROM queries) UNION ALL SELECT query_id, chunk_id, rank, 'keyword', 1, 1.0 FROM keyword WHERE rank <= 10),
+fu AS (""" + ALL_SQL.split("fu AS (")[1] + RERANK_SQL.removeprefix(ALL_SQL).replace("rank <= 30", "rank <= 15").replace("rerank <= 10", "rerank <= 5")
+
+
+@query("h10_entities_and_counts", TWO_SQL + f""", en AS (SELECT document_id AS chunk_id, string_agg(name, '|' ORDER BY name) AS entities FROM (SELECT document_id, name FROM m WHERE NOT ({JUNK}) QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY name) <= 5) GROUP BY 1),
+nc AS (SELECT query_id, count(*) FILTER (channel = 'vector')::BIGINT AS n_vector, count(*) FILTER (channel = 'keyword')::BIGINT AS n_keyword FROM ch GROUP BY 1)
+SELECT query_id, chunk_id, score, rerank, coalesce(entities, '') AS entities, n_vector, n_keyword FROM rk JOIN nc USING (query_id) LEFT JOIN en USING (chunk_id)""")
+def h10_parts(spark, d):
+    use, names = ("vector", "keyword"), mentions(spark, d)
+    asked, docs, vectors = searched(spark, d), docs_of(spark, d), vectors_of(spark, d)
+    found = rt.search_channels(asked, docs, vectors, names, FIELDS, 10, 5, use=use)
+    best = rt.hybrid_search(asked, docs, vectors, names, FIELDS, 5, channels=found, chunk_mentions=names.withColumnRenamed("document_id", "chunk_id"))
+    n = rt.channel_counts(found, use).withColumnsRenamed({"vector": "n_vector", "keyword": "n_keyword"})
+    return best.join(n, "query_id").select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rerank").cast("long").alias("rerank"), F.array_join("entities", "|").alias("entities"), "n_vector", "n_keyword")
+
+
 @query("c3_resolved_relations", GRAPH_SQL + "SELECT e.src, e.dst, a.name AS src_name, b.name AS dst_name, CASE WHEN upper(e.rel_type) IN ('PART_OF', 'RELATED_TO') THEN upper(e.rel_type) ELSE 'RELATED_TO' END AS rel_type FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE a.label <> 'Topic' AND b.label <> 'Topic'")
 def c3(spark, d):
     nodes, edges = graph(spark, d)

@@ -7,7 +7,7 @@ from collections import deque
 import pandas as pd
 from pyspark.sql import functions as F
 
-from docmill.operators import fusion as fu, graph as gr, subgraph as sg
+from docmill.operators import fusion as fu, graph as gr, retrieval as rt, subgraph as sg
 
 
 def edge_table(spark, pairs):
@@ -93,3 +93,13 @@ def test_scorers_that_fail_or_are_late_leave_the_order(spark):
     for scorer in (fu.guarded(broken), fu.guarded(late, 0.2), fu.guarded(lambda q, c: c.map(ord).head(1))):
         found, rows = order(scorer)
         assert found == ["abc", "abc"] and all(r.score == r.original_score for r in rows)
+
+
+def test_hits_with_entities_and_counts(spark):
+    hits = spark.createDataFrame([("q", "a"), ("r", "a"), ("q", "b")], "query_id string, chunk_id string")
+    names = spark.createDataFrame([("a", n) for n in ["Zed", "Ann", "x", "Bob", "Cid", "Dan", "Eve", "Ann"]] + [("c", "Far"), (None, "Nul")], "chunk_id string, name string")
+    got = {(r.query_id, r.chunk_id): r.entities for r in rt.with_entities(hits, names).collect()}
+    assert got == {("q", "a"): ["Ann", "Bob", "Cid", "Dan", "Eve"], ("r", "a"): ["Ann", "Bob", "Cid", "Dan", "Eve"], ("q", "b"): []}
+    assert rt.with_entities(hits.limit(0), names).isEmpty() and rt.with_entities(hits, names.limit(0)).count() == 3
+    channels = spark.createDataFrame([("q", "vector"), ("q", "vector"), ("q", "graph"), ("r", "keyword")], "query_id string, channel string")
+    assert sorted(tuple(r) for r in rt.channel_counts(channels).collect()) == [("q", 2, 0, 0, 1), ("r", 0, 1, 0, 0)]
