@@ -16,6 +16,7 @@ from docmill.functions import text as tx
 from docmill.functions.text import tokens
 
 from . import fusion as fu, graph as gr
+from .best import CELLS, Best
 from .keyword import TextIndex, keyword_top, text_index
 from .storage import SMALL_ROWS, small, staged  # noqa: F401
 
@@ -57,23 +58,18 @@ def dense_search(queries: DataFrame, vectors: DataFrame, k: int = 10, digits: in
 
 def best_of(rows: list, k: int, digits: int | None, schema: T.StructType) -> Callable:
     """For each query of a block its k best vectors of a partition, lower ids first among equal scores."""
-    ids, matrix = [r.query_id for r in rows], np.array([r.vector for r in rows]).T
+    ids, matrix = pa.array([r.query_id for r in rows]), np.array([r.vector for r in rows])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_score, kept_id = np.zeros((matrix.shape[1], 0)), None
+        best, step = Best(len(ids), k, digits), max(1, CELLS // len(ids))  # however many queries a block has
         for batch in batches:
-            if batch.num_rows:
-                score = (1 + as_matrix(batch.column(1)) @ matrix).T / 2
-                score = score if digits is None else np.round(score, digits)
-                id_ = batch.column(0).to_numpy(zero_copy_only=False)
-                both = np.concatenate([kept_score, score], 1)
-                all_ids = np.broadcast_to(id_, score.shape) if kept_id is None else np.concatenate([kept_id, np.broadcast_to(id_, score.shape)], 1)
-                order = np.lexsort((all_ids, -both), axis=1)[:, :k] if both.shape[1] else np.zeros((len(both), 0), int)
-                kept_score, kept_id = np.take_along_axis(both, order, 1), np.take_along_axis(all_ids, order, 1)
-        if kept_id is not None:
-            per = kept_id.shape[1]
-            names = pa.array([i for i in ids for _ in range(per)])
-            yield pa.RecordBatch.from_arrays([names, pa.array(kept_id.ravel()), pa.array(kept_score.ravel())], names=schema.names)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                chunk = part.column(0).to_numpy(zero_copy_only=False)
+                best.take((1 + matrix @ as_matrix(part.column(1)).T) / 2, chunk.astype(str) if chunk.dtype == object else chunk)
+        query, chunk, score = best.rows()
+        if len(query):
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), pa.array(chunk), pa.array(score)], names=schema.names)
 
     return run
 

@@ -102,9 +102,9 @@ def h2_fuzzy(spark, d):
 
 @query("h1_indexed_search", WITH + DENSE_SQL + " SELECT query_id, chunk_id, score, rank FROM dense")
 def h1_indexed(spark, d):
-    """Over inverted lists with 10,000 candidates a query: no fewer than there are vectors here, so the exact result."""
+    """Over inverted lists with 10,000 candidates a query, then the lists that can still hold one of its best: the exact result."""
     q = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").cast("string").alias("query_id"), F.col("embedding").alias("vector"))
-    found = vi.indexed_search(q, vi.vector_index(vectors_of(spark, d)), 20, 10_000, 6)
+    found = vi.indexed_search(q, vi.vector_index(vectors_of(spark, d)), 20, 10_000, 6, exact=True)
     return found.select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
