@@ -13,9 +13,12 @@ from .registry import query
 from .views import EVENTS_SQL, events, table
 
 
-# Scripts, styles, comments and tags end a text node; the entities are those of these pages.
+# Scripts, styles, comments and tags end a text node; the entities are those of these pages, which count without their
+# semicolon too, as in HTML (titles that are cut within one have such).
 _NODES = "regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', chr(1), 'g'), '(?s)<!--.*?-->|<[^>]*>', chr(1), 'g')"
-_PLAIN = "replace(replace(replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&')"
+_PLAIN = "x"
+for _name, _is in {"copy": "'©'", "middot": "'·'", "lt": "'<'", "gt": "'>'", "quot": "chr(34)", "amp": "'&'"}.items():
+    _PLAIN = f"regexp_replace({_PLAIN}, '&{_name};?', {_is}, 'g')"
 A3_SQL = f"WITH t AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split({_NODES}, chr(1)), lambda x: regexp_replace({_PLAIN}, '^[\\s\\x{{a0}}]+|[\\s\\x{{a0}}]+$', '', 'g')), lambda x: x <> ''), chr(10)) AS text FROM pages) SELECT page_id, text, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''))::BIGINT AS n_words, length(text)::BIGINT AS n_chars FROM t"
 
 
