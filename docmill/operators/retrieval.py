@@ -22,6 +22,8 @@ from .storage import SMALL_ROWS, small, staged  # noqa: F401
 
 #: Vectors of queries are held by tasks in blocks of so many bytes.
 BLOCK_BYTES = 32 << 20
+#: Fuzzy terms of more characters meet words on parts, others on what is left without a few characters.
+LONG = 12
 
 
 def top(df: DataFrame, k: int, partition: list[str], key: str, score: str = "score") -> DataFrame:
@@ -111,19 +113,40 @@ def allowed_edits(length: Column) -> Column:
     return F.when(length < 3, 0).when(length <= 5, 1).otherwise(2)
 
 
+def variants(word: Column, edits: Column) -> Column:
+    """Hashes of the word and of what is left of it without up to `edits` of its characters, the first one always kept."""
+    less = lambda w: F.transform(F.sequence(F.lit(2), F.length(w)), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
+    none = F.array().cast("array<string>")
+    one = F.when((edits > 0) & (F.length(word) > 1), less(word)).otherwise(none)
+    two = F.when(edits > 1, F.flatten(F.transform(F.filter(one, lambda w: F.length(w) > 1), less))).otherwise(none)
+    return F.transform(F.array_distinct(F.concat(F.array(word), one, two)), lambda w: F.xxhash64(w))
+
+
 def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """H3: (query_id, term, word) with the same first letter, within 0, 1 or 2 edits by the term's length.
 
-    A word within e edits keeps one of the term's e + 1 parts, at most e places away; candidates meet on those parts.
+    Words within e edits have a common rest once up to e characters are left out of each; candidates meet on whole rests,
+    which few words share, and the first letter stays, as that of both is the same. Terms longer than LONG, with many
+    rests, meet on parts: a word within e edits keeps one of the term's e + 1 parts, at most e places away. Candidates
+    are compared where they meet, and only like words are shuffled.
     """
-    t = terms.select("term").distinct().withColumn("size", F.length("term")).withColumn("edits", allowed_edits(F.col("size")))
-    t = t.select("term", "edits", F.substring("term", 1, 1).alias("lead"), "size", F.explode(pieces(F.col("term"), F.col("size"), F.col("edits"), False)).alias("p")).select("term", "edits", "lead", "size", "p.*")
-    v = vocabulary.select(F.col("term").alias("word")).distinct().where(F.length("word") > 0)
-    near = F.sequence(F.greatest(F.lit(1), F.length("word") - 2), F.length("word") + 2)
-    v = v.select("word", F.substring("word", 1, 1).alias("lead"), F.explode(near).alias("size")).withColumn("e", allowed_edits(F.col("size"))).where(F.abs(F.col("size") - F.length("word")) <= F.col("e"))
-    v = v.select("word", "lead", "size", F.explode(pieces(F.col("word"), F.col("size"), F.col("e"), True)).alias("p")).select("word", "lead", "size", "p.*")
-    pairs = t.join(v, ["lead", "size", "j", "piece"]).select("term", "word", "edits").distinct().where(F.levenshtein("term", "word") <= F.col("edits"))
-    return terms.select("query_id", "term").distinct().join(pairs.select("term", "word"), "term").select("query_id", "term", "word")
+    t = staged(terms.select("term").distinct().where(F.length("term") > 0).withColumn("size", F.length("term")).withColumn("edits", allowed_edits(F.col("size"))), "terms-asked")
+    v = staged(vocabulary.select(F.col("term").alias("word")).distinct().where(F.length("word") > 0), "vocabulary")
+    like = F.levenshtein("term", "word") <= F.col("edits")
+    short = t.where(F.col("size") <= LONG).select("term", "edits", F.explode(variants(F.col("term"), F.col("edits"))).alias("rest"))
+    # What a term two characters longer may differ in, at most.
+    most = allowed_edits(F.length("word") + 2)
+    rests = v.where(F.length("word") <= LONG + 2).select("word", F.explode(variants(F.col("word"), most)).alias("rest"))
+    # Rows are exploded after their size is estimated, so a join left to choose might broadcast them through the driver.
+    pairs = short.join(rests.hint("merge"), "rest").where(like).select("term", "word").distinct()
+    t = t.where(F.col("size") > LONG).withColumn("lead", F.substring("term", 1, 1))
+    if not t.isEmpty():
+        t = t.select("term", "edits", "lead", "size", F.explode(pieces(F.col("term"), F.col("size"), F.col("edits"), False)).alias("p")).select("term", "edits", "lead", "size", "p.*")
+        sizes = F.sequence(F.greatest(F.lit(LONG + 1), F.length("word") - 2), F.length("word") + 2)
+        w = v.where(F.length("word") >= LONG - 1).select("word", F.substring("word", 1, 1).alias("lead"), F.explode(sizes).alias("size")).withColumn("e", allowed_edits(F.col("size")))
+        w = w.select("word", "lead", "size", F.explode(pieces(F.col("word"), F.col("size"), F.col("e"), True)).alias("p")).select("word", "lead", "size", "p.*")
+        pairs = pairs.unionByName(t.join(w.hint("merge"), ["lead", "size", "j", "piece"]).where(like).select("term", "word").distinct())
+    return terms.select("query_id", "term").distinct().join(staged(pairs, "like-words").hint("merge"), "term").select("query_id", "term", "word")
 
 
 def sparse_weights(index: TextIndex, field: str, n_docs: int, least: float = 0.01, most: int = 50, digits: int = 6, only: DataFrame | None = None) -> DataFrame:
