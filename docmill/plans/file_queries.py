@@ -43,17 +43,24 @@ def a2(spark, d):
     return t.groupBy("lang", "source").agg(F.sum("n").alias("n_chars"))
 
 
+# A file is decoded whole by one worker, so files are of bounded length, and more of them are written of more rows.
+LINES_PER_FILE = 50_000
+
+
 # Every text, with an accent at its start, in Latin-1 for odd numbers and in UTF-8 for even ones, one folder each; lines come back as they were.
 @query("a2_other_encodings", "SELECT doc_id % 2 AS odd, sha256(line) AS line_hash, count(*)::BIGINT AS n FROM (SELECT doc_id, unnest(string_split('é' || regexp_replace(text, '[^\\x{0a}\\x{20}-\\x{7e}]', '?', 'g'), chr(10))) AS line FROM documents) GROUP BY ALL")
 def a2_other(spark, d):
     path = scratch(spark, "encoded")
     plain = F.regexp_replace("text", "[^\\x0A\\x20-\\x7E]", "?")
     docs = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.concat(F.lit("é"), plain), "\n")).alias("line"))
+    # The writer leaves empty rows out, so each line has a mark at its end.
+    docs = docs.withColumn("line", F.concat("line", F.lit("|")))
     # One column without quotes or escapes is a text file, and only this writer takes an encoding.
-    write = lambda df, odd, encoding: df.where(F.col("doc_id") % 2 == odd).select("line").write.options(encoding=encoding, quote="\u0000", sep="\u0001", emptyValue="", escape="\u0000").csv(f"{path}/odd={odd}")
+    write = lambda df, odd, encoding: df.where(F.col("doc_id") % 2 == odd).select("line").write.options(encoding=encoding, quote="\u0000", sep="\u0001", emptyValue="", escape="\u0000", maxRecordsPerFile=LINES_PER_FILE).csv(f"{path}/odd={odd}")
     write(docs, 0, "UTF-8")
     write(docs, 1, "ISO-8859-1")
-    t = rd.read_texts(spark, path).select(F.regexp_extract("path", "/odd=([01])/", 1).cast("long").alias("odd"), F.explode(F.split(F.regexp_replace("text", "\n$", ""), "\n")).alias("line"))
+    t = rd.read_texts(spark, path).select(F.regexp_extract("path", "/odd=([01])/", 1).cast("long").alias("odd"), F.explode(F.split(F.regexp_replace("text", "\n\\z", ""), "\n")).alias("line"))
+    t = t.withColumn("line", F.substr("line", F.lit(1), F.length("line") - 1))
     return t.groupBy("odd", F.sha2("line", 256).alias("line_hash")).agg(F.count("*").alias("n"))
 
 
