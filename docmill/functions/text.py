@@ -238,4 +238,6 @@ def highlighted(c: Column, term: str, size: int = 200, most: int = 3) -> Column:
     literal = "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E"
     side, apart = max(1, (size - len(term)) // 2 - 1), "[^\\p{L}\\p{N}_]"
     found = F.regexp_extract_all(c, F.lit(f"(?is)(?:\\A|.{{0,{side}}}{apart}){literal}(?:\\z|{apart}.{{0,{side}}})"), F.lit(0))
+    # The fragments' pattern looks a whole side ahead of each character: only texts that have the term somewhere go there.
+    found = F.when(c.isNull() | c.rlike(f"(?i){literal}"), found).otherwise(F.array().cast("array<string>"))
     return F.transform(F.slice(found, 1, most), lambda x: F.regexp_replace(x, f"(?i)(\\A|{apart})({literal})(?=\\z|{apart})", "$1<em>$2</em>"))
