@@ -71,19 +71,22 @@ def k_hop(edges: DataFrame, centres: DataFrame, depth: int = 2, limit: int = 50)
     """(centre, id, hop) of the nodes within so many hops, nearest first, the centre included; depth is held within 1 and 5.
 
     Each hop joins the frontier alone and leaves out what was visited; frontiers are written, so no hop is run twice. A
-    centre takes the lowest ids of a hop until it has `limit` nodes and then stops. Of a node's neighbours the 2 * limit
-    lowest ids are enough for that, as fewer than limit of them can have been visited: a hub makes no hop wider. Centres
-    that are null or repeated count once, or not at all.
+    centre takes the lowest ids of a hop until it has `limit` nodes and then stops. A centre that has seen n nodes takes
+    limit - n more at most, so the `limit` lowest ids are enough, of a node's neighbours and of a hop's: a hub makes no
+    hop wider, and both are cut before they are shuffled. Only neighbours of the frontier are looked up. Centres that are
+    null or repeated count once, or not at all.
     """
-    near = W.partitionBy("node").orderBy("other")
-    both = undirected(edges).select("node", "other").where("node IS NOT NULL AND other IS NOT NULL").distinct()
-    both = staged(both.withColumn("r", F.row_number().over(near)).where(F.col("r") <= 2 * limit).drop("r"), "neighbours")
+    ends = staged(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL"), "ends")
+    both = ends.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionByName(ends.select(F.col("dst").alias("node"), F.col("src").alias("other")))
+    lowest = lambda df, key, value: df.withColumn("r", F.dense_rank().over(W.partitionBy(key).orderBy(value))).where(F.col("r") <= limit).select(key, value).distinct()
     seen = staged(centres.where("id IS NOT NULL").select(F.col("id").alias("centre"), "id", F.lit(0).alias("hop")).distinct(), "centres")
     frontier, place = seen, F.row_number().over(W.partitionBy("centre").orderBy("id"))
     for hop in range(1, max(1, min(depth, 5)) + 1):
         room = seen.groupBy("centre").agg((F.lit(limit) - F.count("*")).alias("room")).where("room > 0")
-        step = frontier.join(room, "centre").join(both, F.col("id") == F.col("node")).select("centre", F.col("other").alias("id"), "room").distinct()
-        new = step.join(seen, ["centre", "id"], "left_anti").withColumn("r", place).where((F.col("r") <= limit) & (F.col("r") <= F.col("room")))
+        reached = frontier.join(room.select("centre"), "centre", "left_semi").select("centre", F.col("id").alias("node"))
+        near = staged(lowest(both.join(small(reached.select("node").distinct()), "node", "left_semi"), "node", "other"), "neighbours")
+        step = lowest(reached.join(near, "node").select("centre", F.col("other").alias("id")), "centre", "id")
+        new = step.join(seen, ["centre", "id"], "left_anti").join(room, "centre").withColumn("r", place).where((F.col("r") <= limit) & (F.col("r") <= F.col("room")))
         frontier = staged(new.select("centre", "id", F.lit(hop).alias("hop")), "frontier")
         if frontier.isEmpty():
             break

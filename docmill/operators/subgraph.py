@@ -7,13 +7,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .graph import holders, k_hop, undirected
-from .retrieval import keyword_search
+from .keyword import text_index
+from .rarest import rarest_first
+from .retrieval import query_terms
 from .storage import staged
 
 
+#: Strings that are compared with every text.
+FEW = 200
+
+
 def overlapping(asked: DataFrame, texts: DataFrame) -> DataFrame:
-    """(asked, text) of distinct non-empty strings where either contains the other, case counting; both one column."""
+    """(asked, text) of distinct non-empty strings where either contains the other, case counting; both one column.
+
+    A few strings are compared with each text where it lies; more of them meet texts on parts.
+    """
     a, t = asked.toDF("word"), texts.toDF("low")
+    if a.limit(FEW + 1).count() <= FEW:
+        return t.join(F.broadcast(a), F.contains("low", "word") | F.contains("word", "low")).select(F.col("word").alias("asked"), F.col("low").alias("text")).distinct()
     holds = holders(a, t, 1)
     held = holders(t.select(F.col("low").alias("word")), a.select(F.col("word").alias("low")), 1)
     return holds.toDF("asked", "text").unionByName(held.toDF("text", "asked")).distinct()
@@ -32,7 +43,8 @@ def centres(asked: DataFrame, nodes: DataFrame, edges: DataFrame, titles: DataFr
     linked = staged(nodes.where("id IS NOT NULL AND name <> ''").select("id", "name").join(undirected(edges).select(F.col("node").alias("id")).distinct(), "id", "left_semi"), "linked-nodes")
     q = staged(asked.where("query_id IS NOT NULL AND asked <> ''").select("query_id", "asked").distinct(), "asked")
     each = q.select("asked").distinct()
-    scored = keyword_search(each.select(F.col("asked").alias("query_id"), F.col("asked").alias("query")), linked.select(F.col("id").alias("chunk_id"), "name"), {"name": 1.0}, 1, 6)
+    words = query_terms(each.select(F.col("asked").alias("query_id"), F.col("asked").alias("query")))
+    scored = rarest_first(words, text_index(linked.select(F.col("id").alias("chunk_id"), "name"), ["name"]), {"name": 1.0}, 1, 6)
     found = staged(scored.select(F.col("query_id").alias("asked"), F.col("chunk_id").alias("id"), F.lit("score").alias("found_by")), "centres")
     # The lowest id of a name first, so that what is left for each name is one row.
     of_name = linked.groupBy("name").agg(F.min("id").alias("id"))
@@ -54,6 +66,7 @@ def subgraph(asked: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int =
 
     Each centre is walked once, whatever asks for it. Edges are first cut to those with both ends in any answer.
     """
+    edges = staged(edges, "edges")  # as they may be joins and sums, and are read for centres, for hops and for what is inside
     c = staged(centres(asked, nodes, edges, titles, mentions), "query-centres")
     near = staged(k_hop(edges, c.select("id").distinct(), depth, limit), "near")
     found = c.withColumnRenamed("id", "centre").join(near, "centre").select("query_id", "centre", "found_by", "id", "hop")
